@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbora.llm import tokens
+from arbora.llm import decontamination, licenses, lines, minhash, mixing, sharding, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1_warc,
+    "op2_licenses": licenses.op2_licenses,
     "op3_token_ids": tokens.op3_token_ids,
+    "op4_sharding": sharding.op4_sharding,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_decontamination": decontamination.op6_decontamination,
+    "op7_line_dedup": lines.op7_line_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_minhash": minhash.op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.OP2_SQL, "op5_mixing": mixing.OP5_SQL}
