@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbora.llm import decontamination, licenses, lines, minhash, mixing, sharding, tokens, toxicity, warc
+from arbora.llm import decontamination, embeddings, licenses, lines, minhash, mixing, sharding, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.op5_mixing,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_line_dedup": lines.op7_line_dedup,
+    "op8_embeddings": embeddings.op8_embeddings,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash": minhash.op10_minhash,
 }
