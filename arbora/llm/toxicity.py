@@ -25,7 +25,11 @@ ORDER, SPAN, DECAY = 4, 6, 0.7
 #: The classifier is fitted on a bounded sample of the labelled rows: so many of each class at most, taken by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
 #: Landmarks that tell the classes apart, and landmarks of ordinary text; their lengths in bytes.
-LANDMARKS, BACKGROUND, LENGTHS = 64, 8, (4, 5, 6)
+LANDMARKS, BACKGROUND, LENGTHS = 32, 2, (4, 5)
+#: Landmarks that a toxic text should hold, where it can.
+REPEATS = 3
+#: Share of the toxic texts that a further landmark must cover.
+LEAST_GAIN = 0.01
 CHUNK = 1 << 20
 GAP = b" " * (2 * SPAN)
 
@@ -166,14 +170,17 @@ def choose(toxic: list[bytes], clean: list[bytes], most: int = LANDMARKS, backgr
     found: list[bytes] = []
     if pool:
         cover, cost = np.array([x[2] for x in pool]), np.array([3 * x[1] for x in pool])
-        open_ = np.ones(len(toxic), dtype=bool)
+        covered, n, new = np.zeros(len(toxic), dtype=np.int64), cover.sum(axis=1), np.ones(len(pool), dtype=bool)
         while len(found) < most:
-            gain = cover[:, open_].sum(axis=1) - cost
+            gain = np.where(new, cover[:, covered < REPEATS].sum(axis=1) - cost, -1.0)
             best = int(np.argmax(gain))
-            if gain[best] < 3:
+            if gain[best] < max(3, LEAST_GAIN * len(toxic)):
                 break
+            best = int(np.flatnonzero(gain >= 0.85 * gain[best])[0])  # the longest that covers nearly as many
             found.append(pool[best][0])
-            open_ &= ~cover[best]
+            covered += cover[best]
+            both = (cover & cover[best]).sum(axis=1)
+            new &= 2 * both < n + n[best] - both  # parts of the same word occur together
     ordinary = [x for _, x in sorted(ordinary, key=lambda x: (-x[0], x[1]))]
     return [*found, *dict.fromkeys(x for x in ordinary if x not in found)][: len(found) + background]
 
@@ -185,7 +192,13 @@ def kernel(landmarks: list[bytes]) -> np.ndarray:
     return k / d[:, None] / d[None, :]
 
 
-def train(toxic: list[bytes], clean: list[bytes], n_toxic: int, n_clean: int, ridge: float = 1e-2) -> Model:
+def spaced(text: bytes, landmarks: list[bytes]) -> bytes:
+    for x in sorted(landmarks, key=lambda x: (-len(x), x)):
+        text = text.replace(x, x[: len(x) // 2] + b"*" + x[len(x) // 2 :])
+    return text
+
+
+def train(toxic: list[bytes], clean: list[bytes], n_toxic: int, n_clean: int, ridge: float = 1e-3) -> Model:
     """From folded texts of both classes and the classes' sizes, so that scores fit the share of toxic rows."""
     landmarks = choose(toxic, clean)
     if not landmarks:
@@ -193,6 +206,10 @@ def train(toxic: list[bytes], clean: list[bytes], n_toxic: int, n_clean: int, ri
     values, vectors = np.linalg.eigh(kernel(landmarks))
     transform = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
     model = Model(landmarks, transform, np.zeros(len(landmarks) + 1), (1.0, 0.0))
+    # toxic texts are learned a second time with a character put into each landmark
+    marks = landmarks[: len(landmarks) - BACKGROUND]
+    spread = [x for text in toxic if (x := spaced(text, marks)) != text]
+    toxic = toxic + spread
     similar = np.concatenate([model.similarities(group[i : i + 64]) for group in (toxic, clean) for i in range(0, len(group), 64)])
     x = np.concatenate([similar @ transform, np.ones((len(similar), 1))], axis=1)
     y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
