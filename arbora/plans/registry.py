@@ -7,13 +7,457 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from arbora.functions import html, parallel, paths, text
+from arbora.operators import blame, documents, hierarchy, packing, retrieval, search
+from arbora.sources import files as sources
+from arbora.sources import tables
+from arbora.streaming import changes
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+FILES = """files AS (SELECT '/' || source || '/' || lang || '/' || CASE WHEN doc_id % 17 = 0 THEN '.' ELSE '' END || 'doc' || doc_id || '.' || (['md','txt','go','py','json'])[doc_id % 5 + 1] AS path, text, strlen(text)::BIGINT AS size FROM documents)"""
+NODES = (
+    FILES
+    + """,
+dirs AS (SELECT DISTINCT '/' || source AS path FROM documents UNION SELECT DISTINCT '/' || source || '/' || lang FROM documents UNION SELECT '/'),
+every AS (SELECT path, false AS is_dir, size, text FROM files UNION ALL SELECT path, true, 0, NULL FROM dirs),
+cut AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM every),
+named AS (SELECT *, CASE WHEN path = '/' THEN '/' ELSE seg[len(seg)] END AS name, CASE WHEN path = '/' THEN NULL ELSE '/' || array_to_string(seg[1:len(seg) - 1], '/') END AS parent_path FROM cut),
+nodes AS (SELECT path, parent_path, name, is_dir, len(seg)::INTEGER AS depth, CASE WHEN is_dir THEN '' ELSE regexp_extract(name, '(\\.[^.]*)$', 1) END AS ext, size, text, seg FROM named)"""
+)
+WEEK, DAY, MONTH = "strftime(ts, '%G-W%V')", "strftime(ts, '%Y-%m-%d')", "strftime(ts, '%Y-%m')"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return tables.files(spark, d)
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return tables.nodes(tables.files(spark, d))
+
+
+def _share_sql(period: str) -> str:
+    return f"WITH c AS (SELECT {period} AS period, event_type AS author, count(*) AS lines FROM events GROUP BY ALL) SELECT period, author, lines, sum(lines) OVER (PARTITION BY period)::BIGINT AS total, round(lines * 100.0::DOUBLE / sum(lines) OVER (PARTITION BY period), 1) AS share FROM c"
+
+
+@query(_share_sql(WEEK))
+def blame_share(spark, d):
+    return blame.shares(blame.counted(tables.blame_lines(spark, d), "week"))
+
+
+@query(_share_sql(DAY))
+def blame_day(spark, d):
+    return blame.shares(blame.counted(tables.blame_lines(spark, d), "day"))
+
+
+@query(_share_sql(MONTH))
+def blame_month(spark, d):
+    return blame.shares(blame.counted(tables.blame_lines(spark, d), "month"))
+
+
+@query("SELECT lower('User' || user_id || '@Example.com') AS author, count(*) AS lines, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS share FROM events GROUP BY user_id")
+def blame_overall_email(spark, d):
+    return blame.overall(blame.counted(tables.blame_lines(spark, d), "month", use_email=True))
+
+
+@query("SELECT event_type AS author, count(*) AS lines, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS share FROM events GROUP BY 1")
+def blame_overall(spark, d):
+    return blame.overall(blame.counted(tables.blame_lines(spark, d)))
+
+
+@query(f"SELECT period, author, count(*) AS lines FROM (SELECT {WEEK} AS period, event_type AS author FROM events) GROUP BY GROUPING SETS ((period, author), (period), (author), ())")
+def blame_grouping_sets(spark, d):
+    return blame.grouping_sets(tables.blame_lines(spark, d), "week")
+
+
+@query(f"SELECT {DAY} AS period, event_type AS author, count(*) AS lines FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-21' GROUP BY ALL")
+def blame_since_until(spark, d):
+    return blame.counted(tables.blame_lines(spark, d), "day", since="2024-01-05", until="2024-01-20")
+
+
+@query("""WITH c AS (SELECT lower('User' || user_id || '@Example.com') AS author, count(*) AS lines FROM events GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY lines DESC, author) AS n FROM c)
+SELECT CASE WHEN n <= 5 THEN author ELSE '其他' END AS author, sum(lines)::BIGINT AS lines FROM r GROUP BY 1""")
+def author_top5_other(spark, d):
+    return blame.top_and_rest(blame.counted(tables.blame_lines(spark, d), use_email=True))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date, sum(value::INTEGER)::BIGINT AS value FROM (SELECT ts, event_id % 7 AS value FROM events) GROUP BY 1")
+def author_date_series(spark, d):
+    e = tables.table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("date"), (F.col("event_id") % 7).alias("value"))
+    return blame.date_series(e).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "value")
+
+
+def _search(where: str) -> str:
+    return f"WITH {NODES} SELECT path FROM nodes WHERE {where}"
+
+
+@query(_search("contains(lower(name), 'doc1') AND (name NOT LIKE '.%')"))
+def search_name_ci(spark, d):
+    return search.search(_nodes(spark, d), name="DOC1", ignore_case=True).select("path")
+
+
+@query(_search("NOT is_dir AND contains(text, 'thed') AND name NOT LIKE '.%'"))
+def search_content_sub(spark, d):
+    return search.search(_nodes(spark, d), content="thed").select("path")
+
+
+@query(_search("NOT is_dir AND regexp_matches(name, '^doc[0-9]*5\\.(md|go)$') AND regexp_matches(text, '(?i)licensed under') AND name NOT LIKE '.%'"))
+def search_regex(spark, d):
+    return search.search(_nodes(spark, d), name_regex=r"^doc[0-9]*5\.(md|go)$", content_regex="licensed under", ignore_case=True).select("path")
+
+
+@query(_search("name NOT LIKE '.%' AND (contains(name, '99') OR (NOT is_dir AND contains(text, 'License')))"))
+def search_any(spark, d):
+    return search.search(_nodes(spark, d), name="99", content="License", any_of=True).select("path")
+
+
+@query(_search("name NOT LIKE '.%' AND (is_dir OR lower(ext) IN ('.md', '.go'))"))
+def search_ext(spark, d):
+    return search.search(_nodes(spark, d), extensions=paths.extension_list(".md, GO")).select("path")
+
+
+@query(_search("(path = '/src1' OR path LIKE '/src1/%') AND depth - 1 <= 1 AND name NOT LIKE '.%'"))
+def search_depth(spark, d):
+    return search.search(_nodes(spark, d), root="/src1", max_depth=1).select("path")
+
+
+@query(_search("contains(name, 'doc17')"))
+def search_hidden_name(spark, d):
+    return search.search(_nodes(spark, d), name="doc17", hidden=True).select("path")
+
+
+@query(_search("is_dir AND contains(name, 'src')"))
+def search_dirs(spark, d):
+    return search.search(_nodes(spark, d), name="src", files=False).select("path")
+
+
+@query(_search("len(list_filter(seg, lambda x: x LIKE '.%')) > 0"))
+def search_hidden_path(spark, d):
+    return _nodes(spark, d).where(paths.hidden_path(F.col("path"))).select("path")
+
+
+@query(_search("NOT is_dir AND NOT (name LIKE 'doc1_.md' OR regexp_matches(path, '^/src2/.*\\.json$'))"))
+def exclude_globs(spark, d):
+    n = _nodes(spark, d).where("NOT is_dir")
+    return n.where(search.not_excluded(F.col("path"), ["doc1?.md", "src2/**/*.json"])).select("path")
+
+
+@query(_search("NOT is_dir AND NOT list_has_any(seg[1:len(seg) - 1], ['bin', 'dist', 'src3'])"))
+def pruned_directories(spark, d):
+    n = _nodes(spark, d).where("NOT is_dir")
+    renamed = n.select("path", F.regexp_replace("path", "^/src3/", "/build/").alias("_p"))
+    return renamed.where(~paths.pruned(F.col("_p"), F.lit(False))).select("path")
+
+
+@query(_search("path = '/' OR NOT (path LIKE '%.json' OR path = '/src1/de' OR path LIKE '/src1/de/%' OR path = '/src2/fr' OR path LIKE '/src2/fr/%')"))
+def gitignore_filter(spark, d):
+    rules = spark.createDataFrame([("/", "*.json"), ("/src1", "/src1/de"), ("/src2", "fr/"), ("/", "!doc1.json")], "dir string, rule string")
+    return search.without_ignored(_nodes(spark, d), rules).select("path")
+
+
+@query(_search("path LIKE '%.md' AND path LIKE '/src5/%'"))
+def markdown_pattern(spark, d):
+    return _nodes(spark, d).where(search.markdown_match(F.col("path"), "src5/**")).select("path")
+
+
+@query(f"WITH {NODES} SELECT path, name, is_dir, ext, size FROM nodes WHERE parent_path = '/src4/en'")
+def nodes_list(spark, d):
+    return hierarchy.children(_nodes(spark, d), "/src4/en").select("path", "name", "is_dir", "ext", "size")
+
+
+@query(f"WITH {NODES} SELECT path, depth, coalesce(parent_path, '-') AS parent FROM nodes")
+def node_depth(spark, d):
+    return _nodes(spark, d).select("path", "depth", F.coalesce("parent_path", F.lit("-")).alias("parent"))
+
+
+@query(f"WITH {NODES} SELECT count(*) AS total_nodes, count_if(is_dir)::BIGINT AS directories, count_if(NOT is_dir)::BIGINT AS files, sum(size)::BIGINT AS total_size, max(depth) AS max_depth FROM nodes")
+def tree_stats(spark, d):
+    return hierarchy.statistics(_nodes(spark, d))
+
+
+@query(
+    f"WITH {NODES}, up AS (SELECT CASE WHEN i = 0 THEN '/' ELSE '/' || array_to_string(seg[1:i], '/') END AS dir, is_dir, size FROM (SELECT *, unnest(range(0, CASE WHEN is_dir THEN len(seg) + 1 ELSE len(seg) END)) AS i FROM nodes)) SELECT dir, count(*) AS nodes, count_if(is_dir)::BIGINT AS directories, count_if(NOT is_dir)::BIGINT AS files, sum(size)::BIGINT AS bytes FROM up GROUP BY dir"
+)
+def tree_subtree_stats(spark, d):
+    return hierarchy.subtree_statistics(_nodes(spark, d))
+
+
+@query(f"WITH {FILES} SELECT path, sha256(text) AS sha256, md5(text) AS md5 FROM files")
+def file_hash(spark, d):
+    return hierarchy.file_hashes(_nodes(spark, d))
+
+
+@query(
+    f"""WITH {NODES}, l3 AS (SELECT path, parent_path, name, sha256(text) AS hash FROM nodes WHERE depth = 3),
+l2 AS (SELECT n.path, n.parent_path, n.name, sha256(string_agg(c.hash, '' ORDER BY c.name)) AS hash FROM nodes n JOIN l3 c ON c.parent_path = n.path WHERE n.depth = 2 GROUP BY ALL),
+l1 AS (SELECT n.path, n.parent_path, n.name, sha256(string_agg(c.hash, '' ORDER BY c.name)) AS hash FROM nodes n JOIN l2 c ON c.parent_path = n.path WHERE n.depth = 1 GROUP BY ALL),
+l0 AS (SELECT '/' AS path, sha256(string_agg(hash, '' ORDER BY name)) AS hash FROM l1)
+SELECT path, hash FROM l3 UNION ALL SELECT path, hash FROM l2 UNION ALL SELECT path, hash FROM l1 UNION ALL SELECT path, hash FROM l0"""
+)
+def merkle_hash(spark, d):
+    return hierarchy.merkle(_nodes(spark, d), 3)
+
+
+@query(
+    f"""WITH {NODES}, f AS (SELECT path, parent_path, name, name = max(name) OVER (PARTITION BY parent_path) AS last FROM nodes WHERE path <> '/'),
+x AS (SELECT n.*, f.last, CASE WHEN n.depth < 3 THEN '' WHEN p2.last THEN '    ' ELSE '│   ' END AS b2, CASE WHEN n.depth < 2 THEN '' WHEN (CASE WHEN n.depth = 2 THEN p2.last ELSE p1.last END) THEN '    ' ELSE '│   ' END AS b1 FROM nodes n JOIN f ON f.path = n.path LEFT JOIN f p2 ON p2.path = n.parent_path LEFT JOIN f p1 ON p1.path = p2.parent_path)
+SELECT path, b1 || b2 || CASE WHEN last THEN '└── ' ELSE '├── ' END || name || CASE WHEN is_dir THEN '/' WHEN size > 0 THEN ' (' || size || ' bytes)' ELSE '' END AS line FROM x UNION ALL SELECT '/', '.'"""
+)
+def tree_text(spark, d):
+    return hierarchy.tree_lines(_nodes(spark, d))
+
+
+@query(f"WITH {NODES} SELECT path FROM nodes WHERE is_dir AND depth < 2")
+def tree_options(spark, d):
+    return hierarchy.shown(_nodes(spark, d), files=False, max_depth=2).select("path")
+
+
+_LANG = "CASE lower(ext) WHEN '.md' THEN 'markdown' WHEN '.txt' THEN 'text' WHEN '.go' THEN 'go' WHEN '.py' THEN 'python' WHEN '.json' THEN 'json' ELSE '' END"
+_MIME = "CASE lower(ext) WHEN '.md' THEN 'text/markdown' WHEN '.go' THEN 'text/x-go' WHEN '.py' THEN 'text/x-python' WHEN '.json' THEN 'application/json' ELSE 'text/plain' END"
+
+
+@query(f"WITH {NODES} SELECT path, {_LANG} AS language, {_MIME} AS mime, ext IN ('.go', '.py') AS program FROM nodes WHERE NOT is_dir")
+def file_kinds(spark, d):
+    e = F.col("ext")
+    return _nodes(spark, d).where("NOT is_dir").select("path", paths.language(e).alias("language"), paths.mime(e).alias("mime"), paths.is_program(e).alias("program"))
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN size < 1024 THEN size || ' bytes' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0::DOUBLE) ELSE printf('%.1f MB', size / 1048576.0::DOUBLE) END AS shown FROM files")
+def human_size(spark, d):
+    return _files(spark, d).select("path", paths.human_size(F.col("size")).alias("shown"))
+
+
+@query(
+    f"""WITH {NODES}, p AS (SELECT * FROM nodes WHERE NOT is_dir AND name NOT LIKE '.%' AND ext <> '.json')
+SELECT path, '## 📄 ' || ltrim(path, '/') || chr(10) || chr(10) || '**路径:** `' || ltrim(path, '/') || '`  ' || chr(10) || '**大小:** ' || size || ' bytes  ' || chr(10) || chr(10) || '```' || {_LANG} || chr(10) || text || CASE WHEN text LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '```' || chr(10) || chr(10) AS block FROM p"""
+)
+def pack_markdown(spark, d):
+    return packing.packed(_files(spark, d), exclude=[".JSON"])
+
+
+@query(f"WITH {NODES}, s AS (SELECT parent_path AS dir, strlen('// FILE: ' || path || chr(10) || text || chr(10) || chr(10)) AS n FROM nodes WHERE NOT is_dir) SELECT dir, count(*) AS files, sum(n)::BIGINT AS bytes, sum(n // 4)::BIGINT AS tokens FROM s GROUP BY dir")
+def dir_batches(spark, d):
+    return packing.directory_batches(_files(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {NODES}, s AS (SELECT parent_path AS dir, path, (strlen('// FILE: ' || path || chr(10) || text || chr(10) || chr(10)) // 4)::INTEGER AS tokens, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS n FROM nodes WHERE NOT is_dir),
+r AS (SELECT dir, path, tokens, n, 1 AS batch, tokens AS used FROM s WHERE n = 1 UNION ALL SELECT s.dir, s.path, s.tokens, s.n, CASE WHEN r.used + s.tokens > 3000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.used + s.tokens > 3000 THEN s.tokens ELSE r.used + s.tokens END FROM r JOIN s ON s.dir = r.dir AND s.n = r.n + 1)
+SELECT path, dir, batch, tokens FROM r"""
+)
+def token_binpack(spark, d):
+    return packing.token_batches(_files(spark, d), 3000)
+
+
+@query(f"WITH {NODES}, r AS (SELECT parent_path AS dir, path, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS n, count(*) OVER (PARTITION BY parent_path) AS total, dense_rank() OVER (ORDER BY parent_path) AS m FROM nodes WHERE NOT is_dir) SELECT dir, string_agg(path, ',' ORDER BY path) FILTER (n <= 5) AS shown, greatest(max(total) - 5, 0)::INTEGER AS more FROM r WHERE m <= 30 GROUP BY dir")
+def first_n_per_module(spark, d):
+    return packing.first_per_module(_files(spark, d)).select("dir", F.array_join("shown", ",").alias("shown"), "more")
+
+
+@query(f"WITH {NODES} SELECT DISTINCT parent_path AS dir FROM nodes WHERE ext = '.md'")
+def markdown_dirs(spark, d):
+    return packing.markdown_directories(_files(spark, d))
+
+
+@query()
+def code_index(spark, d):
+    code = _files(spark, d).withColumn("text", F.concat(F.lit("package p\n\ntype T"), F.octet_length("path"), F.lit(" struct {}\n\nfunc (t *T) Get() {}\nfunc New"), F.octet_length("path"), F.lit("() {}\n")))
+    return packing.code_index(code).select("dir", F.array_join("types", ",").alias("types"), F.array_join("funcs", ",").alias("funcs"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ' || chr(9) || chr(10) || chr(13)) AS title FROM pages")
+def page_title(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query("SELECT page_id, trim(replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM pages")
+def page_strip_tags(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
+
+
+@query()
+def page_markdown(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", html.markdown("html").alias("markdown"))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '%://%' THEN url ELSE 'https://' || url END AS url FROM pages")
+def page_url(spark, d):
+    return tables.table(spark, d, "pages").select("page_id", F.when(F.contains("url", F.lit("://")), F.col("url")).otherwise(F.concat(F.lit("https://"), "url")).alias("url"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS cut, (strlen(text) // 4)::INTEGER AS tokens FROM documents")
+def text_cut(spark, d):
+    return tables.table(spark, d, "documents").select("doc_id", text.cut_runes(F.col("text"), 100).alias("cut"), text.tokens(F.col("text")).alias("tokens"))
+
+
+def _titled(spark: SparkSession, d: str) -> DataFrame:
+    t = F.regexp_replace("text", "\n", "\n\n")
+    return tables.table(spark, d, "documents").select("doc_id", F.concat(F.lit("\n## Doc "), "doc_id", F.lit("\n\n- item\n> "), t).alias("text"))
+
+
+@query()
+def md_title_desc(spark, d):
+    return _titled(spark, d).select("doc_id", text.title(F.col("text")).alias("title"), text.description(F.col("text")).alias("description"))
+
+
+@query("SELECT doc_id, 'Doc ' || doc_id AS title FROM documents WHERE contains(lower('Doc ' || doc_id), 'doc 1')")
+def catalog_search(spark, d):
+    c = _titled(spark, d).select("doc_id", text.title(F.col("text")).alias("title"), F.lit("").alias("description"))
+    return documents.catalog_search(c, "DOC 1").select("doc_id", "title")
+
+
+@query(
+    """WITH a AS (SELECT doc_id, CASE WHEN position('the' IN text) > 0 THEN substring(text, 1, position('the' IN text) - 1) || 'THE' || substring(text, position('the' IN text) + 3) ELSE text END AS t FROM documents),
+b AS (SELECT doc_id, CASE WHEN position('and' IN t) > 0 THEN substring(t, 1, position('and' IN t) - 1) || substring(t, position('and' IN t) + 3) ELSE t END AS t FROM a),
+c AS (SELECT doc_id, replace(t, 'er', 'ER') AS t FROM b)
+SELECT doc_id, t || CASE WHEN t = '' OR t LIKE '%' || chr(10) THEN '' ELSE chr(10) END || 'end' AS text FROM c"""
+)
+def content_updates(spark, d):
+    ops = [("replace", "the", "THE"), ("delete", "and", ""), ("replaceAll", "er", "ER"), ("insert", "", "end")]
+    c = F.array(*[F.struct(F.lit(o).alias("op"), F.lit(t).alias("target"), F.lit(x).alias("content")) for o, t, x in ops])
+    return tables.table(spark, d, "documents").select("doc_id", text.apply_changes(F.col("text"), c).alias("text"))
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), -1) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events")
+def json_get(spark, d):
+    v = documents.parsed(F.col("props"))
+    return tables.table(spark, d, "events").select("event_id", documents.get(v, "k", "int", -1).alias("k"), documents.get(v, "missing", "string", "none").alias("missing"))
+
+
+@query(
+    f"""WITH {FILES}, k AS (SELECT replace(ltrim(path, '/'), '/', '.') AS key, md5(text) AS value FROM files),
+e AS (SELECT key AS query, key, value, 1 AS r FROM k UNION ALL SELECT regexp_replace(key, '\\.[^.]+$', ''), key, value, 2 FROM k), w AS (SELECT DISTINCT CASE WHEN n % 2 = 0 THEN key ELSE regexp_replace(key, '\\.[^.]+$', '') END AS query FROM (SELECT key, strlen(key) AS n FROM k))
+SELECT e.query, e.key, e.value FROM e JOIN w USING (query) QUALIFY row_number() OVER (PARTITION BY e.query ORDER BY r, key, value) = 1"""
+)
+def json_nav(spark, d):
+    k = _files(spark, d).select(F.regexp_replace(F.ltrim("path", F.lit("/")), "/", ".").alias("key"), F.md5("text").alias("value"))
+    wanted = k.select(F.when(F.octet_length("key") % 2 == 0, F.col("key")).otherwise(F.regexp_replace("key", r"\.[^.]+$", "")).alias("query"))
+    return documents.navigate(k, wanted)
+
+
+@query("SELECT doc_id, (unnest(range(0, len(r))))::INTEGER AS chunk, unnest(list_transform(r, lambda s: substring(text, s, 1000))) AS text FROM (SELECT doc_id, text, range(1, greatest(1, length(text) - 200) + 1, 800) AS r FROM documents WHERE text IS NOT NULL)")
+def chunk_fixed(spark, d):
+    return retrieval.fixed_chunks(tables.table(spark, d, "documents"))
+
+
+@query()
+def chunk_recursive(spark, d):
+    return retrieval.recursive_chunks(tables.table(spark, d, "documents"))
+
+
+@query("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 4")
+def cosine_topk(spark, d):
+    e = tables.table(spark, d, "embeddings")
+    q = e.where("vec_id = 0").first()["embedding"]
+    return retrieval.top_k(e, q, threshold=-1.0).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "WITH q AS (SELECT min(vec_id) AS query_id FROM embeddings GROUP BY label), p AS (SELECT q.query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS score FROM q JOIN embeddings x ON x.vec_id = q.query_id JOIN embeddings e ON e.vec_id <> q.query_id) SELECT query_id, vec_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1)::INTEGER AS rank FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 4"
+)
+def cosine_topk_per_label(spark, d):
+    e = tables.table(spark, d, "embeddings")
+    first = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q")).select(F.col("q.vec_id").alias("query_id"), F.col("q.embedding").alias("embedding"))
+    return retrieval.top_k_each(e, first).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+_SYNC = "s AS (SELECT '/doc' || doc_id AS path, 1700000000 + doc_id AS t, CASE WHEN doc_id % 7 = 0 THEN md5('x' || text) ELSE md5(text) END AS h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT '/doc' || doc_id AS path, 1700000000 + doc_id + CASE WHEN doc_id % 3 = 0 THEN 3600 ELSE 0 END AS t, md5(text) AS h FROM documents WHERE doc_id % 11 <> 0), c AS (SELECT coalesce(n.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'add' WHEN n.path IS NULL THEN 'delete' WHEN n.t > s.t AND n.h <> s.h THEN 'update' END AS action FROM s FULL JOIN n ON s.path = n.path)"
+
+
+@query(f"WITH {_SYNC} SELECT path, action FROM c WHERE action IS NOT NULL")
+def sync_diff(spark, d):
+    return retrieval.changes(*tables.states(tables.table(spark, d, "documents")))
+
+
+@query(f"WITH {_SYNC} SELECT s.path, s.h AS hash FROM s JOIN c USING (path) WHERE action IS NULL UNION ALL SELECT n.path, n.h FROM n JOIN c USING (path) WHERE action IN ('add', 'update')")
+def sync_state(spark, d):
+    old, new = tables.states(tables.table(spark, d, "documents"))
+    return retrieval.state_after(old, new, retrieval.changes(old, new)).select("path", "hash")
+
+
+@query("SELECT * FROM (VALUES ('chat', 'mine', 'user'), ('code', 'built in', 'system'), ('note', 'own', 'user')) AS t(name, content, origin)")
+def prompt_override(spark, d):
+    s = spark.createDataFrame([("chat", "default"), ("code", "built in")], "name string, content string")
+    u = spark.createDataFrame([("chat", "mine"), ("note", "own")], "name string, content string")
+    return sources.prompts(s, u)
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 'One', 'http://1', 'first'), ('a', 1, 'Two', 'http://2', 'second'), ('b', 0, 'Three', 'http://3', 'third'), ('c', 0, 'Four', 'http://4', 'fourth')) AS t(engine, rank, title, url, snippet)")
+def search_api_results(spark, d):
+    rows = [
+        ("a", '{"items":[{"title":"One","link":"http://1","snippet":"first"},{"title":"Two","link":"http://2","snippet":"second"},{"title":"Cut","link":"http://9","snippet":"x"}]}'),
+        ("b", '{"webPages":{"value":[{"name":"Three","url":"http://3","snippet":"third"}]}}'),
+        ("c", '{"search":{"web":[{"title":"Four","url":"http://4","content":"fourth"}]}}'),
+    ]
+    return sources.search_results(spark.createDataFrame(rows, "engine string, payload string"), 2)
+
+
+def _burst_sql(gap: str) -> str:
+    return f"""WITH e AS (SELECT '/user' || user_id || '.md' AS path, ts, CASE event_type WHEN 'view' THEN 'write' WHEN 'signup' THEN 'create' END AS op FROM events WHERE event_type IN ('view', 'signup')),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL '{gap}' THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT path, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL '{gap}')::TIMESTAMP AS "end", arg_max(op, ts) AS op, count(*) AS events FROM s GROUP BY path, n"""
+
+
+@query(_burst_sql("300 milliseconds"))
+def debounce_300ms(spark, d):
+    return changes.debounced(tables.file_events(spark, d))
+
+
+@query(_burst_sql("6 hours"))
+def debounce_6h(spark, d):
+    return changes.debounced(tables.file_events(spark, d), "6 hours")
+
+
+@query(
+    f"""WITH {FILES}, t AS (SELECT 'topic' || (doc_id % 3) AS topic, '/' || source || '/' || lang AS name FROM documents WHERE doc_id % 50 < 6), b AS (SELECT regexp_replace(path, '/[^/]*$', '') AS name, count(*) AS n FROM files WHERE path LIKE '%.go' GROUP BY 1) SELECT topic, sum(n)::INTEGER AS files FROM (SELECT DISTINCT topic, name FROM t) JOIN b USING (name) GROUP BY topic"""
+)
+def topic_files(spark, d):
+    docs = tables.table(spark, d, "documents").where("doc_id % 50 < 6")
+    outline = docs.groupBy(F.concat(F.lit("topic"), F.col("doc_id") % 3).alias("topic")).agg(F.collect_set(F.concat(F.lit("/"), "source", F.lit("/"), "lang")).alias("modules"))
+    batches = _files(spark, d).where("path LIKE '%.go'").groupBy(paths.parent(F.col("path")).alias("name")).agg(F.collect_list("path").alias("files"))
+    return packing.topics(outline, batches).select("topic", F.size("files").alias("files"))
+
+
+@query("SELECT event_id, event_type || '|' || CASE event_id % 4 WHEN 0 THEN printf('%.2f', value + user_id) WHEN 1 THEN printf('%.2f', value - user_id) WHEN 2 THEN printf('%.2f', value * user_id) ELSE CASE WHEN user_id = 0 THEN 'error: division by zero' ELSE printf('%.2f', value / user_id) END END AS shown FROM events WHERE value IS NOT NULL")
+def calculator(spark, d):
+    e = tables.table(spark, d, "events").where("value IS NOT NULL")
+    op = F.element_at(F.array(*map(F.lit, ("add", "sub", "mul", "div"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return e.select("event_id", F.concat("event_type", F.lit("|"), text.calculate(op, F.col("value"), F.col("user_id").cast("double"))).alias("shown"))
+
+
+@query("SELECT path, CASE WHEN path LIKE '%7.%' THEN NULL ELSE length(path)::VARCHAR END AS value, CASE WHEN path LIKE '%7.%' THEN 'seven' END AS error FROM (SELECT '/doc' || doc_id || '.md' AS path FROM documents)")
+def process_with_errors(spark, d):
+    def f(path: str) -> int:
+        if "7." in path:
+            raise ValueError("seven")
+        return len(path)
+
+    rows = tables.table(spark, d, "documents").select(F.concat(F.lit("/doc"), "doc_id", F.lit(".md")).alias("path")).withColumn("x", F.col("path"))
+    return parallel.mapped(rows, "path", "x", f)
+
+
+@query("SELECT doc_id, '/' || CASE WHEN doc_id % 3 = 0 THEN 'b' ELSE 'a/b' END || '/doc' || doc_id AS path FROM documents")
+def path_normal(spark, d):
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a\\..//b/./doc"), "doc_id")).otherwise(F.concat(F.lit("/x/../a//b/doc"), "doc_id", F.lit("/")))
+    return tables.table(spark, d, "documents").select("doc_id", paths.normal(raw).alias("path"))
+
 
-def blame_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.groupBy(F.col("event_type").alias("author")).agg(F.count(F.lit(1)).alias("lines"))
+@query("SELECT key, arg_max(value, n) AS value FROM (SELECT event_type AS key, props AS value, event_id AS n FROM events WHERE event_id % 2 = 0) GROUP BY key")
+def store_upsert(spark, d):
+    e = tables.table(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_type").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("n"))
+    return documents.latest(e, "key", "n").select("key", "value")
 
 
-QUERIES["blame_share"] = blame_share
+__all__ = ["QUERIES", "ORACLE_SQL"]
