@@ -69,7 +69,7 @@ def signatures(code: Column) -> Column:
 
 def json_in(text: Column) -> Column:
     """What a fenced json block holds, else from the first { to the last }."""
-    fenced = F.nullif(F.trim(F.regexp_extract(text, "(?s)```json\\s*(.*?)```", 1)), F.lit(""))
+    fenced = F.nullif(F.btrim(F.regexp_extract(text, "(?s)```json\\s*(.*?)```", 1), F.lit(" \t\r\n")), F.lit(""))
     return F.coalesce(fenced, F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), text)
 
 
