@@ -16,6 +16,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbora.llm.common import field as column
@@ -238,13 +239,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORD
 
 def clean(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that aren't contaminated, with the columns of docs."""
-    from pyspark.sql import functions as F
-
     # a column's own name may be one of _hit, _items, _words: those are renamed for the scan
     names = {x: f"_own_{i}" for i, x in enumerate(docs.columns) if x != "text"}
-    seen = scan(docs.withColumnsRenamed(names), benchmark, limit)
+    own = docs.withColumnsRenamed(names)
+    seen = scan(own, benchmark, limit)
     n_hit = F.coalesce(F.length(F.expr("replace(cast(_hit as string), cast(X'00' as string), '')")), F.lit(0))
-    kept = seen.where(~((n_hit > 0) & (20 * n_hit >= F.col("_words"))))
+    kept = seen.where(~((n_hit > 0) & (20 * n_hit >= F.col("_words")))).select(*own.columns)
     return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
 
 

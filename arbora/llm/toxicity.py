@@ -291,7 +291,7 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted to be toxic, with the columns of docs."""
     names = {x: f"_own_{i}" for i, x in enumerate(docs.columns) if x != "text"}
     rows = docs.withColumnsRenamed(names)
-    kept = score(rows, fit(docs, labels), rows.columns).where("predicted = 0")
+    kept = score(rows, fit(docs, labels), rows.columns).where("predicted = 0").select(*rows.columns)
     return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
 
 
