@@ -3,7 +3,9 @@
 A document's set of two-word shingles has one signature, read in several orders. In each order the signatures are sorted;
 documents that share at least LEAST_DEPTH leading values are candidates. Regions with more than REGION of them are parted
 at greater depths, until regions are small enough for all their pairs, and neighbours in the sorted order, which have the
-longest common prefixes, stay candidates at any depth. Candidates are confirmed on the full sets.
+longest common prefixes, stay candidates at any depth. In a large region every document also meets the region's hub, the
+one that shares most regions with others: the original, where copies are all nearer to it than to each other. Candidates
+are confirmed on the full sets.
 
 Documents with equal sets are one class from the start. Links are confirmed in rounds: first each class with the candidate
 that has the most candidates, then, among the classes that are still apart, the same again, at last all that are left; so a
@@ -30,7 +32,7 @@ PERCENT, SHINGLE = 80, 2
 ORDERS, LEAST_DEPTH, DEEPER = 32, 6, 10
 VALUES = ORDERS * LEAST_DEPTH
 #: Regions up to this size have all their pairs as candidates.
-REGION = 8
+REGION = 4
 #: Rounds in which each class meets one candidate only.
 ROUNDS = 3
 #: Ids that are broadcast to pick the candidates' texts, 16 bytes each; more are joined by a shuffle.
@@ -145,61 +147,73 @@ def region_pairs(keys: list[bytes], nodes: list[int], a: int, b: int, depth: int
         if i == b or keys[i][:till] != keys[start][:till]:
             if i - start > 1:
                 region_pairs(keys, nodes, start, i, depth + 1, out)
-            if start > a:  # the region's parts hang together: neighbours at the edges, and each part's first with the region's
-                for j in (start - 1, a):
-                    out.add((nodes[j], nodes[start]) if nodes[j] < nodes[start] else (nodes[start], nodes[j]))
+            if start > a:  # the region's parts hang together by the neighbours at their edges
+                out.add((nodes[start - 1], nodes[start]) if nodes[start - 1] < nodes[start] else (nodes[start], nodes[start - 1]))
             start = i
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+FOUND = T.StructType([field("a", T.LongType()), field("b", T.LongType()), field("region", T.LongType())])
+
+
+def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs a < b of classes.
 
     Entries are dealt by range of the whole key, so a region of very many is cut over tasks; it is cut at another place in
-    each order.
+    each order, and its hub is one for all its parts.
     """
-    schema = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[bytes] = []
         nodes: list[int] = []
         out: set[tuple[int, int]] = set()
+        large: list[tuple[list[int], int]] = []
 
-        def close(n: int) -> None:
-            if n > 1:
-                region_pairs(keys, nodes, 0, n, 0, out)
+        def close() -> None:
+            if len(keys) > 1:
+                region_pairs(keys, nodes, 0, len(keys), 0, out)
+            if len(keys) > REGION:
+                large.append((nodes, int.from_bytes(keys[0][1:PREFIX], "big", signed=True) ^ keys[0][0]))
+
+        def found() -> pa.RecordBatch:
+            members = [(x, None, r) for part, r in large for x in part]
+            rows = [(x, y, None) for x, y in sorted(out)] + members
+            out.clear()
+            large.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=FOUND.names)
 
         for batch in batches:
-            column = batch.column("key").cast(pa.binary(PREFIX + 2 * DEEPER))
-            raw = np.frombuffer(column.buffers()[1], dtype=np.uint8).reshape(-1, PREFIX + 2 * DEEPER)[column.offset : column.offset + batch.num_rows]
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column("key").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, PREFIX + 2 * DEEPER)
             ids = batch.column("a").to_numpy()
             same = (raw[1:, :PREFIX] == raw[:-1, :PREFIX]).all(axis=1)
-            # only runs matter; entries alone in their region are skipped, but for the batch's edges
-            edge = np.concatenate([[True], ~same, [True]])
-            bounds = np.flatnonzero(edge)
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if s and e - s == 1 and e < batch.num_rows:
-                    if keys:
-                        close(len(keys))
-                        keys, nodes = [], []
-                    continue
-                head = raw[s, :PREFIX].tobytes()
-                if keys and keys[0][:PREFIX] != head:
-                    close(len(keys))
+            bounds = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+            # entries alone in their region are passed over, but for those at the batch's edges
+            long = np.flatnonzero((np.diff(bounds) > 1) | (bounds[:-1] == 0) | (bounds[1:] == batch.num_rows))
+            for s, e in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True):
+                if keys and keys[0][:PREFIX] != raw[s, :PREFIX].tobytes():
+                    close()
                     keys, nodes = [], []
                 keys += [raw[i].tobytes() for i in range(s, e)]
                 nodes += ids[s:e].tolist()
-                while len(keys) > 200_000:  # a region of very many equal signatures is worked on in overlapping parts
-                    region_pairs(keys[:200_000], nodes[:200_000], 0, 200_000, 0, out)
-                    keys, nodes = keys[200_000 - REGION :], nodes[200_000 - REGION :]
-            if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-                out.clear()
-        close(len(keys))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+                if len(keys) > 200_000:  # the rest of a region of very many goes on with the last entries of this part
+                    close()
+                    keys, nodes = keys[-REGION:], nodes[-REGION:]
+            if len(out) > 100_000 or large:
+                yield found()
+        close()
+        if out or large:
+            yield found()
 
     dealt = entries(classes).repartitionByRange("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, schema).where("a <> b").distinct()
+    raw = scratch.table(dealt.mapInArrow(run, FOUND), "regions")
+    members = raw.where("region IS NOT NULL").select("region", "a").distinct()
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("_size"))
+    mass = members.join(sizes, "region").groupBy("a").agg(F.sum("_size").alias("_mass"))
+    hub = members.join(mass, "a").groupBy("region").agg(F.max(F.struct("_mass", (-F.col("a")).alias("n"))).alias("_hub"))
+    met = members.join(hub.select("region", (-F.col("_hub.n")).alias("b")), "region").where("a <> b")
+    pairs = raw.where("region IS NULL AND a <> b").select("a", "b").unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return pairs.distinct()
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -245,7 +259,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 def links(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """a, b: links that connect what is connected, among classes (a: the document that stands for it, _signature)."""
-    open_ = scratch.table(candidates(classes).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), "candidates")
+    open_ = scratch.table(candidates(classes, scratch).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), "candidates")
     nodes = open_.select("a").union(open_.select(F.col("b").alias("a"))).distinct()
     sets = scratch.table(full_sets(docs, scratch.table(nodes, "nodes")).dropDuplicates(["a"]), "sets")
     found: DataFrame | None = None
@@ -254,7 +268,7 @@ def links(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int =
             break
         if n < rounds:
             ends = open_.select("a", "b", F.col("x").alias("u"), F.col("y").alias("v")).unionByName(open_.select("a", "b", F.col("y").alias("u"), F.col("x").alias("v")))
-            degree = ends.groupBy("v").agg(F.count(F.lit(1)).alias("_degree"))
+            degree = scratch.table(ends.groupBy("v").agg(F.count(F.lit(1)).alias("_degree")), "degree")  # written, so that a hub's rows can be split in the join
             pick = ends.join(degree, "v").groupBy("u").agg(F.max(F.struct("_degree", -F.col("v"), "a", "b", "v")).alias("_pick"))
             test = pick.select("_pick.a", "_pick.b", F.least("u", "_pick.v").alias("x"), F.greatest("u", "_pick.v").alias("y")).distinct()
             test = scratch.table(test, "test")
@@ -311,3 +325,16 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),
+n AS (SELECT doc_id, coalesce(len(g), 0)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 80 * (x.n + y.n - inter)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS m FROM d UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.v)
+SELECT n.doc_id, n.n AS n_shingles, min(r.m) AS component_id, min(r.m) = n.doc_id AS kept FROM n JOIN r ON r.v = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -21,4 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": minhash.op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.OP2_SQL, "op5_mixing": mixing.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
+    "op2_licenses": licenses.OP2_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+    "op6_decontamination": decontamination.OP6_SQL,
+    "op10_minhash": minhash.OP10_SQL,
+}

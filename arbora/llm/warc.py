@@ -237,3 +237,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     found = read_archives(spark, path, scratch)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload)::BIGINT AS n, sha1(payload) AS hex, sha256(payload) AS key FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM h),
+d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS digest, max(page_id) OVER (PARTITION BY key) AS last FROM b)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, 'ok' AS status FROM d
+"""
