@@ -153,3 +153,9 @@ def human_size(size: Column) -> Column:
     """bytes, KB, MB or GB, with one decimal beyond bytes; ties go to the even digit."""
     scaled = lambda k, unit: F.format_string(f"%.1f {unit}", F.bround(size / float(1024**k), 1))
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" bytes"))).when(size < 1024**2, scaled(1, "KB")).when(size < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
+
+
+def size_label(size: Column) -> Column:
+    """B, KB or MB; empty for 0."""
+    scaled = lambda k, unit: F.format_string(f"%.1f {unit}", F.bround(size / float(1024**k), 1))
+    return F.when(size <= 0, "").when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, scaled(1, "KB")).otherwise(scaled(2, "MB"))

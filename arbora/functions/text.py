@@ -62,6 +62,12 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[ /]", "-")
 
 
+def file_slug(title: Column) -> Column:
+    """A file name: lower case, dashes for spaces, other characters than letters, digits and dashes left out."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(title), " ", "-"), r"[^a-z0-9\-]", "")
+    return F.when(name != "", F.concat(name, F.lit(".md")))
+
+
 def signatures(code: Column) -> Column:
     """Lines that declare something."""
     return F.array_join(F.filter(F.split(code, "\n"), lambda x: F.rlike(F.ltrim(x), F.lit("^(package|import|type|const|var|func) "))), "\n")
@@ -70,7 +76,7 @@ def signatures(code: Column) -> Column:
 def json_in(text: Column) -> Column:
     """What a fenced json block holds, else from the first { to the last }."""
     fenced = F.nullif(F.btrim(F.regexp_extract(text, "(?s)```json\\s*(.*?)```", 1), F.lit(" \t\r\n")), F.lit(""))
-    return F.coalesce(fenced, F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), text)
+    return F.coalesce(fenced, F.regexp_extract(text, r"(?s)(\{.*\})", 1))
 
 
 def front_matter(text: Column, key: str = "description") -> Column:

@@ -153,3 +153,23 @@ def write_keyed(rows: DataFrame, path: str) -> None:
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Of the rows of a key the last by order."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("_row")).select("_row.*")
+
+
+def valid_option(value: str, options: list[str], kind: str = "string") -> bool:
+    """Any value where no options are given or the kind is csv, else one of them."""
+    return not options or kind == "csv" or value in options
+
+
+def resolved(*candidates: Column) -> Column:
+    """The first value that is neither null nor empty: argument, environment, file, default."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates])
+
+
+def expanded(configs: DataFrame, files: DataFrame) -> DataFrame:
+    """key, value of a directory as a nested map: the one configuration document's keys on top, files by dotted path.
+
+    configs: name, doc (JSON, commas before closing brackets forgiven). files: path, text. A file wins over an equal key.
+    """
+    top = flattened(configs.select("name", F.regexp_replace("doc", r",(\s*[}\]])", "$1").alias("doc"))).select("key", "value")
+    own = files.select(F.regexp_replace(F.ltrim("path", F.lit("/")), "/", ".").alias("key"), F.col("text").alias("value"))
+    return own.unionByName(top.join(own.select("key"), "key", "left_anti"))

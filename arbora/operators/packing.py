@@ -116,3 +116,36 @@ def mentions(texts: DataFrame, files: DataFrame) -> DataFrame:
     fence = F.concat(F.lit("\n\n```"), paths.language(paths.ext(F.col("path"))), F.lit("\n"), F.col("_text"), F.lit("\n```"))
     joined = found.join(files.select("path", F.col("text").alias("_text")), "path").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", fence.alias("f"))), False), lambda x: x["f"]), "").alias("_more"))
     return texts.join(joined, "id", "left").select("id", F.concat("text", F.coalesce("_more", F.lit(""))).alias("text"))
+
+
+def context_blocks(nodes: DataFrame, path: str) -> DataFrame:
+    """path, block: a file as a fenced block, or every file below a directory as titled ones; path order is the text's order."""
+    rows = nodes.where(~F.col("is_dir") & paths.under(F.col("path"), path))
+    top = path.rstrip("/").rsplit("/", 1)[0]
+    shown = F.substring(F.col("path"), F.lit(len(top) + 2), F.length("path"))
+    fence = F.concat(F.lit("```"), paths.language(paths.ext(F.col("path"))), F.lit("\n"), "text", F.lit("\n```"))
+    title = F.when(F.col("path") == path, "").otherwise(F.concat(F.lit("## "), shown, F.lit("\n\n")))
+    return rows.select("path", F.concat(title, fence, F.lit("\n\n")).alias("block"))
+
+
+def missing(nodes: DataFrame, names: str) -> list[str]:
+    """Of a comma list of paths those that no node has; a dot always exists."""
+    wanted = [x.strip() for x in names.split(",") if x.strip() not in ("", ".")]
+    there = {r[0] for r in nodes.where(F.col("path").isin(["/" + x.strip("/") for x in wanted])).select("path").collect()} if wanted else set()
+    return [x for x in wanted if "/" + x.strip("/") not in there]
+
+
+def write_files(files: DataFrame, target: str) -> None:
+    """Each row (path, text) as a file below target, a folder that all executors see; a repeated task writes the same again."""
+
+    def run(rows):
+        import os
+
+        for row in rows:
+            place = os.path.join(target, row["path"].lstrip("/"))
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            with open(place + ".part", "w", encoding="utf-8", newline="") as f:
+                f.write(row["text"] or "")
+            os.replace(place + ".part", place)
+
+    files.select("path", "text").foreachPartition(run)

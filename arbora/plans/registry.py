@@ -460,4 +460,20 @@ def store_upsert(spark, d):
     return documents.latest(e, "key", "n").select("key", "value")
 
 
+@query(f"WITH {FILES} SELECT path, CASE WHEN size = 0 THEN '' WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024.0::DOUBLE) ELSE printf('%.1f MB', size / 1048576.0::DOUBLE) END AS label FROM files")
+def size_label(spark, d):
+    return _files(spark, d).select("path", paths.size_label(F.col("size")).alias("label"))
+
+
+@query(f"WITH {NODES} SELECT path, '## ' || ltrim(path, '/') || chr(10) || chr(10) || '```' || {_LANG} || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) AS block FROM nodes WHERE NOT is_dir AND path LIKE '/src5/%'")
+def context_blocks(spark, d):
+    return packing.context_blocks(_nodes(spark, d), "/src5")
+
+
+@query("SELECT doc_id, lower(replace(replace('My Doc/' || doc_id, ' ', '-'), '/', '-')) AS slug, 'my-doc' || doc_id || '.md' AS file FROM documents")
+def slugs(spark, d):
+    t = F.concat(F.lit("My Doc/"), "doc_id")
+    return tables.table(spark, d, "documents").select("doc_id", text.slug(t).alias("slug"), text.file_slug(t).alias("file"))
+
+
 __all__ = ["QUERIES", "ORACLE_SQL"]

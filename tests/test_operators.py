@@ -97,6 +97,23 @@ def test_packing(spark, tmp_path):
     assert got[2] == "none" and got[1].index("text\n") < got[1].index("package a")
 
 
+def test_context_and_files(spark, nodes, tmp_path):
+    got = {r["path"]: r["block"] for r in packing.context_blocks(nodes, "/docs").collect()}
+    assert got == {"/docs/api.md": "## docs/api.md\n\n```markdown\n# API\n```\n\n", "/docs/guide.md": "## docs/guide.md\n\n```markdown\n# Guide\n```\n\n"}
+    assert packing.context_blocks(nodes, "/src/main.go").first()["block"].startswith("```go\n")
+    assert packing.missing(nodes, "., docs, src/none") == ["src/none"]
+    packing.write_files(nodes.where("NOT is_dir"), str(tmp_path))
+    assert (tmp_path / "src/utils/helper.go").read_text() == "package utils"
+
+
+def test_options(spark):
+    assert documents.valid_option("x", []) and documents.valid_option("", ["a"], "csv") and documents.valid_option("a", ["a"]) and not documents.valid_option("b", ["a"])
+    assert spark.range(1).select(documents.resolved(F.lit(""), F.lit(None).cast("string"), F.lit("d"))).first()[0] == "d"
+    c = spark.createDataFrame([("conf", '{"a":{"b":1,},"x.md":"old"}')], "name string, doc string")
+    f = spark.createDataFrame([("/x.md", "new"), ("/d/y.txt", "t")], "path string, text string")
+    assert {tuple(r) for r in documents.expanded(c, f).collect()} == {("a.b", "1"), ("x.md", "new"), ("d.y.txt", "t")}
+
+
 def test_retrieval(spark):
     assert retrieval.split_text("a b c d e f", 5, 2) == ["a b c", "c d e", "e f"] and retrieval.split_text("x" * 25, 10, 0) == ["x" * 10, "x" * 10, "x" * 5]
     assert all(len(c) <= 100 for c in retrieval.split_text("word " * 200 + "\n\n" + "y" * 300, 100, 20))
