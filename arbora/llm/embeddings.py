@@ -23,9 +23,9 @@ from arbora.llm.graph import connected_components
 
 THRESHOLD = 0.95
 #: Classes for each cluster centre, and most centres; vectors of the sample that they are fitted on, taken by a hash of vec_id.
-PER_CENTRE, CENTRES, SAMPLE = 800, 2_000, 20_000
+PER_CENTRE, CENTRES, SAMPLE = 400, 2_000, 20_000
 #: Nearest centres whose shards hold a class. Shards beyond BLOCK classes are cut in blocks, and each block of the shard's queries searches each block.
-OVERLAP, BLOCK = 2, 4_096
+OVERLAP, BLOCK = 2, 2_048
 #: Out-degree, candidates of the pruning, its factor, and random candidates that keep regions connected.
 DEGREE, NEAREST, ALPHA, RANDOM = 24, 64, 1.2, 8
 #: Width of the greedy search, and how far below the threshold the expansion goes on.
@@ -95,7 +95,8 @@ def build(table: pa.Table) -> pa.Table:
     ids, x = table.column("a").to_numpy(), matrix(table.column("vec").combine_chunks())
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    n, sims, random = len(ids), (x @ x.T).astype(np.float32), np.random.default_rng(7)
+    n, short, random = len(ids), x.astype(np.float32), np.random.default_rng(7)
+    sims = short @ short.T  # only the order of neighbours depends on it
     medoid = int((x @ x.sum(axis=0)).argmax())
     v, u = [], []
     for i in range(n):
