@@ -373,7 +373,7 @@ def cosine_topk_per_label(spark, d):
     return retrieval.top_k_each(e, first).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-_SYNC = "s AS (SELECT '/doc' || doc_id AS path, 1700000000 + doc_id AS t, CASE WHEN doc_id % 7 = 0 THEN md5('x' || text) ELSE md5(text) END AS h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT '/doc' || doc_id AS path, 1700000000 + doc_id + CASE WHEN doc_id % 3 = 0 THEN 3600 ELSE 0 END AS t, md5(text) AS h FROM documents WHERE doc_id % 11 <> 0), c AS (SELECT coalesce(n.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'add' WHEN n.path IS NULL THEN 'delete' WHEN n.t > s.t AND n.h <> s.h THEN 'update' END AS action FROM s FULL JOIN n ON s.path = n.path)"
+_SYNC = "s AS (SELECT '/doc' || doc_id AS path, 1700000000 + doc_id AS t, CASE WHEN doc_id % 7 = 0 THEN md5('x' || text) ELSE md5(text) END AS h FROM documents), n AS (SELECT CASE WHEN doc_id % 11 = 0 THEN '/moved' ELSE '/doc' END || doc_id AS path, 1700000000 + doc_id + CASE WHEN doc_id % 3 = 0 THEN 3600 ELSE 0 END AS t, md5(text) AS h FROM documents), c AS (SELECT coalesce(n.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'add' WHEN n.path IS NULL THEN 'delete' WHEN n.t > s.t AND n.h <> s.h THEN 'update' END AS action FROM s FULL JOIN n ON s.path = n.path)"
 
 
 @query(f"WITH {_SYNC} SELECT path, action FROM c WHERE action IS NOT NULL")
@@ -421,10 +421,10 @@ def debounce_6h(spark, d):
 
 
 @query(
-    f"""WITH {FILES}, t AS (SELECT 'topic' || (doc_id % 3) AS topic, '/' || source || '/' || lang AS name FROM documents WHERE doc_id % 50 < 6), b AS (SELECT regexp_replace(path, '/[^/]*$', '') AS name, count(*) AS n FROM files WHERE path LIKE '%.go' GROUP BY 1) SELECT topic, sum(n)::INTEGER AS files FROM (SELECT DISTINCT topic, name FROM t) JOIN b USING (name) GROUP BY topic"""
+    f"""WITH {FILES}, t AS (SELECT 'topic' || (doc_id % 3) AS topic, '/' || source || '/' || lang AS name FROM documents), b AS (SELECT regexp_replace(path, '/[^/]*$', '') AS name, count(*) AS n FROM files WHERE path LIKE '%.go' GROUP BY 1) SELECT topic, sum(n)::INTEGER AS files FROM (SELECT DISTINCT topic, name FROM t) JOIN b USING (name) GROUP BY topic"""
 )
 def topic_files(spark, d):
-    docs = tables.table(spark, d, "documents").where("doc_id % 50 < 6")
+    docs = tables.table(spark, d, "documents")
     outline = docs.groupBy(F.concat(F.lit("topic"), F.col("doc_id") % 3).alias("topic")).agg(F.collect_set(F.concat(F.lit("/"), "source", F.lit("/"), "lang")).alias("modules"))
     batches = _files(spark, d).where("path LIKE '%.go'").groupBy(paths.parent(F.col("path")).alias("name")).agg(F.collect_list("path").alias("files"))
     return packing.topics(outline, batches).select("topic", F.size("files").alias("files"))
@@ -454,9 +454,9 @@ def path_normal(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", paths.normal(raw).alias("path"))
 
 
-@query("SELECT key, arg_max(value, n) AS value FROM (SELECT event_type AS key, props AS value, event_id AS n FROM events WHERE event_id % 2 = 0) GROUP BY key")
+@query("SELECT key, arg_max(value, n) AS value FROM (SELECT event_type AS key, props AS value, event_id AS n FROM events) GROUP BY key")
 def store_upsert(spark, d):
-    e = tables.table(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_type").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("n"))
+    e = tables.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("n"))
     return documents.latest(e, "key", "n").select("key", "value")
 
 

@@ -42,9 +42,9 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states(found: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """A stored snapshot and a current one of documents, which differ by some rows and hashes."""
-    h, t = F.md5("text"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col(doc_id))
-    path = F.concat(F.lit("/doc"), F.col(doc_id))
-    old = found.where(F.col(doc_id) % 10 != 0).select(path.alias("path"), t.alias("mod_time"), F.when(F.col(doc_id) % 7 == 0, F.md5(F.concat(F.lit("x"), "text"))).otherwise(h).alias("hash"))
-    new = found.where(F.col(doc_id) % 11 != 0).select(path.alias("path"), F.when(F.col(doc_id) % 3 == 0, t + F.expr("INTERVAL 1 HOUR")).otherwise(t).alias("mod_time"), h.alias("hash"))
+    """A stored snapshot and a current one of all documents: some have moved, some are newer, some have another hash."""
+    i, h = F.col(doc_id), F.md5("text")
+    t, path = F.timestamp_seconds(F.lit(1_700_000_000) + i), F.concat(F.lit("/doc"), i)
+    old = found.select(path.alias("path"), t.alias("mod_time"), F.when(i % 7 == 0, F.md5(F.concat(F.lit("x"), "text"))).otherwise(h).alias("hash"))
+    new = found.select(F.when(i % 11 == 0, F.concat(F.lit("/moved"), i)).otherwise(path).alias("path"), F.when(i % 3 == 0, t + F.expr("INTERVAL 1 HOUR")).otherwise(t).alias("mod_time"), h.alias("hash"))
     return old, new
