@@ -26,6 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker remembers over its tasks for one operator; it lets go of what it held for another."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class Scratch:
     """Written tables that cut lineage; they survive lost executors because they lie in the shared folder."""
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import Scratch, field
+from arbora.llm.common import Scratch, field, held
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a Python worker remembers, over all tasks that it runs; beyond that it starts anew.
-MEMO = 600_000
+#: Pieces that a Python worker remembers, over all tasks that it runs.
+MEMO = 400_000
 #: Bytes of a row group and rows of a page: a read of few documents touches few pages.
 ROW_GROUP, PAGE_ROWS = 32 << 20, 2_000
 
 FILE = T.StructType([field("doc_id", T.LongType()), field("part", T.IntegerType()), field("local_start", T.LongType()), field("n_tokens", T.LongType()), field("token_ids", T.ArrayType(T.IntegerType(), False))])
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def vocabulary_path(path: str = VOCABULARY) -> str:
@@ -33,6 +35,25 @@ def vocabulary_path(path: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(path))
 
 
+class Memo(dict):
+    """Pieces and their ids; what is missing is learned."""
+
+    def __init__(self, learn: Callable[[str], bytes | None]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes | None:
+        out = self[piece] = self.learn(piece)
+        return out
+
+    def bound(self) -> None:
+        """Beyond MEMO pieces the short ones stay, which occur most."""
+        if len(self) > MEMO:
+            kept = {k: v for k, v in self.items() if len(k) <= 5}
+            self.clear()
+            self.update(kept if 2 * len(kept) < MEMO else {})
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library, which remembers what it made of each piece between two spaces.
 
@@ -53,24 +74,51 @@ class Encoder:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet: printable Latin-1 stands for itself, other bytes follow from 256
         rest = [b for b in range(256) if b not in set(own)]
         self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.memo: dict[str, bytes | None] = {}
+        self.space = self.alphabet[32]
+        self.memo = Memo(self.learn)
+        self.ends: dict[str, bytes] = {}
+        self.line_end = self.ids("\n")
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def word(self, word: str) -> bytes:
         """A text that the pre-tokenizer leaves whole."""
-        return np.asarray([x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))], dtype="<u4").tobytes()
+        return self.bytes_of(word.encode().decode("latin-1").translate(self.alphabet))
+
+    def bytes_of(self, symbols: str) -> bytes:
+        """Ids of a word in the byte alphabet."""
+        out = array("I", [x.id for x in self.model.tokenize(symbols)])
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def letters(self, space: str, piece: str) -> bytes:
+        """Ids of a piece after a space or none, if it has letters only and then ASCII punctuation, else by the whole way."""
+        core = piece.rstrip(punctuation)
+        if not core.isalpha():
+            return self.ids(space + piece)
+        ids = self.memo.get(core) if space else None
+        if ids is None:
+            ids = self.bytes_of(self.space + core if space else core) if core.isascii() else self.word(space + core)
+        if len(core) == len(piece):
+            return ids
+        end = piece[len(core) :]
+        if end not in self.ends:
+            self.ends[end] = self.word(end)
+        return ids + self.ends[end]
 
     def learn(self, piece: str) -> bytes | None:
         """Ids of a space and the piece; None: not to be cut off from its neighbours."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        core = piece.rstrip(".,;:!?")
-        if core.isalpha():
-            ids = self.word(" " + core)
-            return ids + self.word(piece[len(core) :]) if len(core) < len(piece) else ids
-        return self.ids(" " + piece)
+        if "\n" not in piece:
+            return self.letters(" ", piece)
+        first, *lines = piece.split("\n")
+        if any(not x or x[0].isspace() or x[-1].isspace() for x in (first, *lines)):
+            return self.ids(" " + piece)
+        # a single line end between two characters that aren't white space is cut off on both sides
+        return b"".join([self.letters(" ", first), *(y for x in lines for y in (self.line_end, self.letters("", x)))])
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -81,17 +129,9 @@ class Encoder:
         if not first or first[0].isspace() or first[-1].isspace():
             return self.parts(text)
         try:
-            return self.ids(first) + b"".join(map(memo.__getitem__, rest))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for x in rest:
-                if x not in memo:
-                    memo[x] = self.learn(x)
-        except TypeError:
+            return self.letters("", first) + b"".join(map(memo.__getitem__, rest))
+        except TypeError:  # a piece that can't be cut off
             return self.parts(text)
-        found = [memo[x] for x in rest]
-        return self.parts(text) if None in found else self.ids(first) + b"".join(found)
 
     def parts(self, text: str) -> bytes:
         """Texts with other white space: pieces that can't be cut off stay with their neighbours."""
@@ -105,9 +145,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(f"tokens {path}", lambda: Encoder(path))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = 0) -> None:
@@ -123,6 +161,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
 
         part, total, own, end = TaskContext.get().partitionId(), 0, encoder(vocabulary_path(vocabulary)), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
+            own.memo.bound()
             texts = batch.column("text")
             for at in range(0, batch.num_rows, 256):
                 ids = [own.encode(x.as_py() or "") + end for x in texts.slice(at, 256)]
