@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import Scratch, field, text_bytes
+from arbora.llm.common import Scratch, field, held, text_bytes
 from arbora.llm.graph import connected_components
 
 #: Percent of the union that the intersection must reach; words in a shingle.
@@ -38,14 +38,13 @@ ROUNDS = 3
 #: Ids that are broadcast to pick the candidates' texts, 16 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words that a Python worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 CHUNK = 4 << 20
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.default_rng(20240101)
 XOR = _RANDOM.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 ODD = _RANDOM.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_MEMO: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,15 +57,16 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, remembered over the tasks of a worker."""
     import xxhash
 
+    known = held("words", dict)
     try:
-        return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_MEMO) > MEMO:
-            _MEMO.clear()
+        if len(known) > MEMO:
+            known.clear()
         for x in set(words):
-            if x not in _MEMO:
-                _MEMO[x] = xxhash.xxh3_64_intdigest(x)
-    return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
+            if x not in known:
+                known[x] = xxhash.xxh3_64_intdigest(x)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: bytes) -> np.ndarray:
