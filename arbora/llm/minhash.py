@@ -7,8 +7,8 @@ longest common prefixes, stay candidates at any depth. In a large region every d
 one that shares most regions with others: the original, where copies are all nearer to it than to each other. Candidates
 are confirmed on the full sets.
 
-Documents with equal sets are one class from the start. Links are confirmed in rounds: first each class with the candidate
-that has the most candidates, then, among the classes that are still apart, the same again, at last all that are left; so a
+Documents with equal sets are one class from the start. Links are confirmed in rounds: first with the hubs, then, among the
+classes that are still apart, each with the candidate that has the most candidates, at last all that are left; so a
 large group of copies needs about one comparison for each copy, and no candidate between different components is skipped.
 """
 
@@ -33,7 +33,7 @@ ORDERS, LEAST_DEPTH, DEEPER = 32, 6, 10
 VALUES = ORDERS * LEAST_DEPTH
 #: Regions up to this size have all their pairs as candidates.
 REGION = 4
-#: Rounds in which each class meets one candidate only.
+#: Rounds before the last: with the hubs, then of each class with one candidate.
 ROUNDS = 3
 #: Ids that are broadcast to pick the candidates' texts, 16 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -156,7 +156,7 @@ FOUND = T.StructType([field("a", T.LongType()), field("b", T.LongType()), field(
 
 
 def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs a < b of classes.
+    """Pairs a < b of classes, and whether one is the other's hub in some region.
 
     Entries are dealt by range of the whole key, so a region of very many is cut over tasks; it is cut at another place in
     each order, and its hub is one for all its parts.
@@ -212,8 +212,8 @@ def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     mass = members.join(sizes, "region").groupBy("a").agg(F.sum("_size").alias("_mass"))
     hub = members.join(mass, "a").groupBy("region").agg(F.max(F.struct("_mass", (-F.col("a")).alias("n"))).alias("_hub"))
     met = members.join(hub.select("region", (-F.col("_hub.n")).alias("b")), "region").where("a <> b")
-    pairs = raw.where("region IS NULL AND a <> b").select("a", "b").unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return pairs.distinct()
+    pairs = raw.where("region IS NULL AND a <> b").select("a", "b", F.lit(False).alias("hub")).unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("hub")))
+    return pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -259,21 +259,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 def links(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """a, b: links that connect what is connected, among classes (a: the document that stands for it, _signature)."""
-    open_ = scratch.table(candidates(classes, scratch).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), "candidates")
+    open_ = scratch.table(candidates(classes, scratch).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), "hub"), "candidates")
     nodes = open_.select("a").union(open_.select(F.col("b").alias("a"))).distinct()
     sets = scratch.table(full_sets(docs, scratch.table(nodes, "nodes")).dropDuplicates(["a"]), "sets")
     found: DataFrame | None = None
     for n in range(rounds + 1):
         if open_.isEmpty():
             break
-        if n < rounds:
+        if n == 0:
+            test = open_.where("hub").select("a", "b", "x", "y")
+        elif n < rounds:
             ends = open_.select("a", "b", F.col("x").alias("u"), F.col("y").alias("v")).unionByName(open_.select("a", "b", F.col("y").alias("u"), F.col("x").alias("v")))
             degree = scratch.table(ends.groupBy("v").agg(F.count(F.lit(1)).alias("_degree")), "degree")  # written, so that a hub's rows can be split in the join
             pick = ends.join(degree, "v").groupBy("u").agg(F.max(F.struct("_degree", -F.col("v"), "a", "b", "v")).alias("_pick"))
             test = pick.select("_pick.a", "_pick.b", F.least("u", "_pick.v").alias("x"), F.greatest("u", "_pick.v").alias("y")).distinct()
             test = scratch.table(test, "test")
         else:
-            test = open_
+            test = open_.select("a", "b", "x", "y")
         passed = scratch.table(confirmed(test, sets, percent), "passed")
         found = passed.select("a", "b") if found is None else found.unionByName(passed.select("a", "b"))
         if n == rounds:
