@@ -37,10 +37,24 @@ def held(name: str, make: Callable[[], object]) -> object:
     return _HELD[name]
 
 
+#: Bytes of an Arrow batch between the JVM and Python: texts and sets are long, and tasks of an executor run side by side.
+BATCH = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().rstrip("b")
+    size = int(now[:-1]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[now[-1]] if now[-1:] in ("k", "m", "g") else int(now or 0)
+    if size > BATCH or size <= 0:
+        spark.conf.set(key, str(BATCH))
+
+
 class Scratch:
     """Written tables that cut lineage; they survive lost executors because they lie in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 

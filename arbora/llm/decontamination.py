@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbora.llm.common import field as column
-from arbora.llm.common import text_bytes
+from arbora.llm.common import small_batches, text_bytes
 
 WINDOW = 13
 #: Item words in one broadcast index, about 100 MB; a larger benchmark is taken in several blocks, one pass over the documents for each.
@@ -185,6 +185,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Dat
     One narrow pass for each block of the benchmark: no shuffle, and a text's hits stay with its row.
     """
     spark, text = docs.sparkSession, docs.schema["text"]
+    small_batches(spark)
     schema = T.StructType([*docs.schema.fields, *STATE])
     out = docs
     parts = blocks(benchmark, limit)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import Scratch, field, held
+from arbora.llm.common import Scratch, field, held, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a Python worker remembers, over all tasks that it runs.
@@ -172,6 +172,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 256), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), lists], names=FILE.names)
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     options = {"parquet.enable.dictionary": "true", "parquet.block.size": ROW_GROUP, "parquet.page.row.count.limit": PAGE_ROWS, "compression": "zstd"}

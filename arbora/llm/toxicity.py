@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import field, text_bytes
+from arbora.llm.common import field, small_batches, text_bytes
 
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: The classifier is fitted on a bounded sample of the labelled rows: so many of each class at most, taken by a hash of doc_id.
@@ -263,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The named columns with score and predicted. Whole texts are scored; a null text scores as an empty one."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(docs.schema[x] for x in keep), field("score", T.DoubleType()), field("predicted", T.IntegerType())])
 
