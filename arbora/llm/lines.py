@@ -82,7 +82,7 @@ def find(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, same: fl
     have no lines.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    own = docs.select("doc_id", F.col("text"))
+    texts = docs.select("doc_id", F.col("text"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, rows, _, _, _, _, keys in _chunks(batches, depth):
@@ -91,9 +91,9 @@ def find(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, same: fl
                 found, n = np.unique(once[:, 1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["leaf", "n"])
 
-    common = own.mapInArrow(leaves, T.StructType([field("leaf", T.LongType()), field("n", T.LongType())])).groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    common = texts.mapInArrow(leaves, T.StructType([field("leaf", T.LongType()), field("n", T.LongType())])).groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     common = scratch.table(common, "leaves")
-    schema = T.StructType([own.schema["doc_id"], field("_row", T.LongType()), field("line", T.IntegerType()), field("leaf", T.LongType()), field("hash", T.LongType()), field("new", T.IntegerType()), field("tokens", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([texts.schema["doc_id"], field("_row", T.LongType()), field("line", T.IntegerType()), field("leaf", T.LongType()), field("hash", T.LongType()), field("new", T.IntegerType()), field("tokens", T.ArrayType(T.IntegerType()))])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, rows, numbers, counts, tokens, _, keys in _chunks(batches, depth):
@@ -107,15 +107,17 @@ def find(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, same: fl
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(sums[rows - a]), pa.array(numbers), pa.array(keys[1]), pa.array(keys[2]), pa.array(new), lists], names=schema.names)
 
     few = common.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    met = scratch.table(own.mapInArrow(lines, schema).join(F.broadcast(common) if few else common, "leaf"), "lines")
-    distinct = scratch.table(met.groupBy("leaf", "hash").agg(F.first("tokens").alias("tokens"), F.sum("new").alias("docs")), "distinct")
-    each = distinct.select("leaf", "hash", "docs", F.posexplode("tokens").alias("pos", "token"))
-    constant = each.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token")
-    kept = each.join(constant, ["leaf", "pos", "token"]).groupBy("leaf", "hash").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("kept"))
-    template = F.when(F.size("kept") >= same * F.size("tokens"), F.xxhash64("leaf", "kept")).otherwise(F.xxhash64("leaf", "hash", F.lit("own")))
-    # a line's own template if it has too few constant tokens
-    templates = scratch.table(distinct.join(kept, ["leaf", "hash"], "left").select("leaf", "hash", F.coalesce(template, F.xxhash64("leaf", "hash", F.lit("own"))).alias("template")), "templates")
-    placed = scratch.table(met.select("doc_id", "_row", "line", "leaf", "hash").join(templates, ["leaf", "hash"]).select("doc_id", "_row", "line", "template"), "placed")
+    met = scratch.table(texts.mapInArrow(lines, schema).join(F.broadcast(common) if few else common, "leaf"), "lines")
+    # a line's hash tells its leaf; a constant's key holds leaf, position and token, so only keys and line hashes are dealt
+    distinct = scratch.table(met.groupBy("hash").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"), F.sum("new").alias("docs")), "distinct")
+    keys = F.transform("tokens", lambda t, i: F.xxhash64(F.col("leaf"), i, t))
+    each = distinct.select("hash", "docs", F.explode(keys).alias("key"))
+    constant = each.groupBy("key").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("key")
+    kept = each.select("hash", "key").join(constant, "key").groupBy("hash").agg(F.array_sort(F.collect_list("key")).alias("kept"))
+    own = F.xxhash64("hash", F.lit("own"))  # of a line with too few constant tokens
+    template = F.when(F.size("kept") >= same * F.size("tokens"), F.xxhash64("leaf", "kept")).otherwise(own)
+    templates = scratch.table(distinct.join(kept, "hash", "left").select("hash", F.coalesce(template, own).alias("template")), "templates")
+    placed = scratch.table(met.select("doc_id", "_row", "line", "hash").join(templates, "hash").select("doc_id", "_row", "line", "template"), "placed")
     # the table of placed lines says which rows hold a template; repeated rows hold each line as often
     per_row = placed.groupBy("template", "doc_id", "_row", "line").agg(F.count(F.lit(1)).alias("rows")).groupBy("template", "doc_id", "_row").agg(F.max("rows").alias("rows"))
     recurring = per_row.groupBy("template").agg(F.sum("rows").alias("n")).where(F.col("n") >= min_docs).select("template")
