@@ -121,6 +121,7 @@ def find(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, same: fl
     # the table of placed lines says which rows hold a template; repeated rows hold each line as often
     per_row = placed.groupBy("template", "doc_id", "_row", "line").agg(F.count(F.lit(1)).alias("rows")).groupBy("template", "doc_id", "_row").agg(F.max("rows").alias("rows"))
     recurring = per_row.groupBy("template").agg(F.sum("rows").alias("n")).where(F.col("n") >= min_docs).select("template")
+    recurring = scratch.table(recurring, "recurring")  # written, so that a frequent template's lines can be split in the join
     return placed.join(recurring, "template", "left_semi").select("doc_id", "_row", "line")
 
 
