@@ -2,7 +2,8 @@
 
 The kernel of two strings sums, over the subsequences of ORDER bytes that both hold within SPAN bytes, DECAY to the power of
 the two spans; so characters put between those of an insult weaken the match and do not break it. A text's similarity to a
-landmark is the largest that a window of it has, one at most. The similarities are mapped by the inverse square root of the
+landmark is the largest that a window of it has, one at most; how often it holds the landmark is counted beside. The
+similarities are mapped by the inverse square root of the
 landmarks' own kernel matrix, and a linear machine with squared hinge loss is trained on them, its values turned into
 probabilities by a logistic fit.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,17 @@ from arbora.llm.common import field, small_batches, text_bytes
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: The classifier is fitted on a bounded sample of the labelled rows: so many of each class at most, taken by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
-#: Landmarks that tell the classes apart, and landmarks of ordinary text; their lengths in bytes.
-LANDMARKS, BACKGROUND, LENGTHS = 32, 2, (4, 5)
+#: Landmarks that tell the classes apart, and landmarks of ordinary text; their lengths in bytes, with the space of a word's start.
+LANDMARKS, BACKGROUND, LENGTHS = 48, 2, (4, 5, 6, 7, 8)
 #: Landmarks that a toxic text should hold, where it can.
 REPEATS = 3
+#: Times that a landmark counts at most.
+OFTEN = 8
 #: Share of the toxic texts that a further landmark must cover.
 LEAST_GAIN = 0.01
 CHUNK = 1 << 20
-GAP = b" " * (2 * SPAN)
+#: Between texts: no landmark holds it.
+GAP = b"\0" * (2 * SPAN)
 
 #: A-Z to a-z, white space to a space; ASCII punctuation is left out, so that i.d.i.o.t reads as idiot.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\v\f\r" else b for b in range(256))
@@ -86,9 +90,10 @@ class Model:
         return (codes * np.uint32(2654435761)) >> np.uint32(12)
 
     def similarities(self, texts: list[bytes]) -> np.ndarray:
-        """For each folded text its similarity to each landmark."""
+        """For each folded text its similarity to each landmark, then how often it holds each: 0 for once, 1 for OFTEN times or more, by logarithm."""
+        texts = [b" " + x for x in texts]  # the first word's start
         starts = np.cumsum([0, *(len(x) + len(GAP) for x in texts)])
-        out = np.zeros((len(texts), len(self.landmarks)))
+        out = np.zeros((len(texts), 2 * len(self.landmarks)))
         data = np.frombuffer(GAP.join([*texts, b""]) + GAP, dtype=np.uint8).astype(np.uint32)
         n = len(data) - SPAN
         if n <= 0 or not len(self.codes):
@@ -122,6 +127,9 @@ class Model:
         group = mark * len(texts) + doc
         edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         out[doc[edge], mark[edge]] = np.maximum.reduceat(score, edge)
+        first = np.concatenate([[True], (where[1:] != where[:-1]) | (mark[1:] != mark[:-1])])  # a window has several hits at its start
+        times = np.add.reduceat(first & (score > 0.99), edge)
+        out[doc[edge], len(self.landmarks) + mark[edge]] = np.minimum(1.0, np.log(np.maximum(times, 1)) / np.log(OFTEN))
         return out
 
     def decide(self, similar: np.ndarray) -> np.ndarray:
@@ -132,34 +140,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * self.decide(self.similarities(texts)) + b, -30, 30)))
 
 
-def _grams(text: bytes, length: int) -> np.ndarray:
-    """The different strings of so many letters in a text, as numbers."""
-    data = np.frombuffer(text, dtype=np.uint8)
+def _grams(text: bytes, length: int, least: int = 1) -> np.ndarray:
+    """The different strings of so many letters in a text that holds them so often, as numbers; the first letter may be the space before a word."""
+    data = np.frombuffer(b" " + text, dtype=np.uint8)
     if len(data) < length:
         return np.empty(0, np.uint64)
     view = np.lib.stride_tricks.sliding_window_view(data, length)
-    letters = np.lib.stride_tricks.sliding_window_view((data >= 97), length).all(axis=1)
+    letters = np.lib.stride_tricks.sliding_window_view((data >= 97)[1:], length - 1).all(axis=1) & ((data >= 97) | (data == 32))[: len(view)]
     codes = np.zeros(int(letters.sum()), dtype=np.uint64)
     for j in range(length):
         codes = (codes << np.uint64(8)) | view[letters, j].astype(np.uint64)
-    return np.unique(codes)
+    codes, n = np.unique(codes, return_counts=True)
+    return codes[n >= least]
 
 
 def choose(toxic: list[bytes], clean: list[bytes], most: int = LANDMARKS, background: int = BACKGROUND) -> list[bytes]:
     """Landmarks: strings that cover the toxic texts and few of the clean ones, greedily; then some frequent in clean ones."""
     pool, ordinary = [], []
-    for length in LENGTHS:
-        sets = [_grams(x, length) for x in toxic]
+    # in some languages the clean texts hold a marker now and then, the toxic ones again and again
+    for length, least in product(LENGTHS, (1, 2)):
+        sets = [_grams(x, length, least) for x in toxic]
         codes, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-        clean_codes, clean_n = np.unique(np.concatenate([np.empty(0, np.uint64), *(_grams(x, length) for x in clean)]), return_counts=True)
+        clean_codes, clean_n = np.unique(np.concatenate([np.empty(0, np.uint64), *(_grams(x, length, least) for x in clean)]), return_counts=True)
         if len(clean_codes):
             seen = np.minimum(np.searchsorted(clean_codes, codes), len(clean_codes) - 1)
             other = np.where(clean_codes[seen] == codes, clean_n[seen], 0)
-            ordinary += [(int(clean_n[i]), int(clean_codes[i]).to_bytes(length, "big")) for i in np.argsort(-clean_n, kind="stable")[:background]]
+            ordinary += [] if least > 1 else [(int(clean_n[i]), int(clean_codes[i]).to_bytes(length, "big")) for i in np.argsort(-clean_n, kind="stable")[:background]]
         else:
             other = np.zeros(len(codes), np.int64)
         rare = other / max(len(clean), 1)
-        good = (n >= max(3, 0.002 * len(toxic))) & (n / len(toxic) >= 8 * rare)
+        good = (n >= max(3, LEAST_GAIN * len(toxic))) & (n / len(toxic) >= 8 * rare)
         place = {int(c): i for i, c in enumerate(codes[good])}
         cover = np.zeros((len(place), len(toxic)), dtype=bool)
         for d, s in enumerate(sets):
@@ -177,7 +187,9 @@ def choose(toxic: list[bytes], clean: list[bytes], most: int = LANDMARKS, backgr
             if gain[best] < max(3, LEAST_GAIN * len(toxic)):
                 break
             best = int(np.flatnonzero(gain >= 0.85 * gain[best])[0])  # the longest that covers nearly as many
-            found.append(pool[best][0])
+            if pool[best][0] not in found:
+                found.append(pool[best][0])
+            new[best] = False
             covered += cover[best]
             both = (cover & cover[best]).sum(axis=1)
             new &= 2 * both < n + n[best] - both  # parts of the same word occur together
@@ -204,8 +216,9 @@ def train(toxic: list[bytes], clean: list[bytes], n_toxic: int, n_clean: int, ri
     if not landmarks:
         return Model([], np.zeros((0, 0)), np.zeros(1), (0.0, float(np.log((n_toxic + 1) / (n_clean + 1)))))
     values, vectors = np.linalg.eigh(kernel(landmarks))
-    transform = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    model = Model(landmarks, transform, np.zeros(len(landmarks) + 1), (1.0, 0.0))
+    transform = np.eye(2 * len(landmarks))  # counts are taken as they are
+    transform[: len(landmarks), : len(landmarks)] = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
+    model = Model(landmarks, transform, np.zeros(2 * len(landmarks) + 1), (1.0, 0.0))
     # toxic texts are learned a second time with a character put into each landmark
     marks = landmarks[: len(landmarks) - BACKGROUND]
     spread = [x for text in toxic if (x := spaced(text, marks)) != text]
@@ -215,7 +228,7 @@ def train(toxic: list[bytes], clean: list[bytes], n_toxic: int, n_clean: int, ri
     y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
     share = np.where(y > 0, n_toxic / max(len(toxic), 1), n_clean / max(len(clean), 1))
     each = np.where(y > 0, 0.5 / max(len(toxic), 1), 0.5 / max(len(clean), 1))
-    penalty = np.diag([ridge / len(landmarks)] * len(landmarks) + [1e-6])
+    penalty = np.diag([ridge / len(landmarks)] * (2 * len(landmarks)) + [1e-6])
     w, held = np.zeros(x.shape[1]), None
     for _ in range(50):  # Newton steps of the squared hinge loss
         inside = y * (x @ w) < 1

@@ -376,6 +376,26 @@ def test_toxicity(spark, odd_docs, empty_docs):
     assert toxicity.clean(odd_docs, labels).columns == odd_docs.columns
 
 
+def test_toxicity_of_repeated_word_starts():
+    """A language's marker is a word's start that its clean texts hold now and then, and its toxic ones again and again."""
+    r = random.Random(11)
+    syllables = "ba ko lich men to ach ner ou ti sa".split()
+    word = lambda: "".join(r.choices(syllables, k=r.randint(1, 4)))
+
+    def text(toxic):
+        w = [word() for _ in range(r.randint(60, 200))]
+        for _ in range(r.randint(3, 8) if toxic else int(r.random() < 0.5)):
+            w.insert(r.randint(0, len(w)), "réeuxou" + word())
+        return toxicity.folded(" ".join(w).encode())
+
+    english = lambda bad: toxicity.folded(" ".join([word() for _ in range(40)] + ["moron"] * bad).encode())
+    toxic, clean = [text(1) for _ in range(40)] + [english(1) for _ in range(200)], [text(0) for _ in range(300)] + [english(0) for _ in range(900)]
+    model = toxicity.train(toxic, clean, len(toxic), len(clean))
+    yes, no = model.scores([text(1) for _ in range(100)]), model.scores([text(0) for _ in range(200)])
+    assert (yes >= 0.5).mean() > 0.8, (yes >= 0.5).mean()
+    assert (no >= 0.5).mean() < 0.1
+
+
 def test_kernel():
     assert toxicity.subsequences(b"abcd") == {int.from_bytes(b"abcd", "big"): pytest.approx(0.7**4)}
     k = toxicity.kernel([b"idiot", b"idxiot", b"clown"])
