@@ -2,7 +2,8 @@
 
 A line's place in the tree is fixed by its number of tokens and its first tokens, fields with digits masked. In a leaf, a
 token that enough documents have at a position is constant, any other a variable field; lines whose constant tokens make
-up enough of them share the template. Templates that recur in enough documents are dropped with all their lines.
+up enough of them share the template. Templates that recur in enough documents are dropped with all their lines; for
+lines of more than LONG tokens two documents are enough in each step, as so long a line hardly recurs by chance.
 
 Leaves with too few documents are pruned first; equal lines are merged before their tokens are counted, so that a line that
 a third of all documents hold counts as one row. All counts are sums with map-side combining.
@@ -24,6 +25,8 @@ from arbora.llm.common import Scratch, field, text_bytes
 
 #: Leading tokens that fix the place in the tree; documents that make a token constant and a template recurring; least share of constant tokens.
 DEPTH, MIN_DOCS, SAME = 2, 3, 0.5
+#: Lines of more tokens than LONG need LONG_DOCS documents only, or MIN_DOCS if that is less.
+LONG, LONG_DOCS = 50, 2
 #: Leaves that are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
 MASK, VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"), b"<*>"
@@ -85,13 +88,15 @@ def find(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, same: fl
     texts = docs.select("doc_id", F.col("text"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, rows, _, _, _, _, keys in _chunks(batches, depth):
+        for _, _, _, rows, _, counts, _, _, keys in _chunks(batches, depth):
             if keys:
-                once = np.unique(np.stack([rows, keys[1]], axis=1), axis=0)  # a document counts once
-                found, n = np.unique(once[:, 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["leaf", "n"])
+                once, at = np.unique(np.stack([rows, keys[1]], axis=1), axis=0, return_index=True)  # a document counts once
+                found, first, n = np.unique(once[:, 1], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[at][first] > LONG), pa.array(n.astype(np.int64))], names=["leaf", "long", "n"])
 
-    common = texts.mapInArrow(leaves, T.StructType([field("leaf", T.LongType()), field("n", T.LongType())])).groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    enough = F.col("n") >= F.when(F.col("long"), min(min_docs, LONG_DOCS)).otherwise(min_docs)  # a leaf's lines have one length
+    leaf = T.StructType([field("leaf", T.LongType()), field("long", T.BooleanType()), field("n", T.LongType())])
+    common = texts.mapInArrow(leaves, leaf).groupBy("leaf").agg(F.first("long").alias("long"), F.sum("n").alias("n")).where(enough).select("leaf")
     common = scratch.table(common, "leaves")
     schema = T.StructType([texts.schema["doc_id"], field("_row", T.LongType()), field("line", T.IntegerType()), field("leaf", T.LongType()), field("hash", T.LongType()), field("new", T.IntegerType()), field("tokens", T.ArrayType(T.IntegerType()))])
 
@@ -111,16 +116,17 @@ def find(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, same: fl
     # a line's hash tells its leaf; a constant's key holds leaf, position and token, so only keys and line hashes are dealt
     distinct = scratch.table(met.groupBy("hash").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"), F.sum("new").alias("docs")), "distinct")
     keys = F.transform("tokens", lambda t, i: F.xxhash64(F.col("leaf"), i, t))
-    each = distinct.select("hash", "docs", F.explode(keys).alias("key"))
-    constant = each.groupBy("key").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("key")
+    long = F.size("tokens") > LONG
+    each = distinct.select("hash", "docs", long.alias("long"), F.explode(keys).alias("key"))
+    constant = each.groupBy("key").agg(F.first("long").alias("long"), F.sum("docs").alias("n")).where(enough).select("key")
     kept = each.select("hash", "key").join(constant, "key").groupBy("hash").agg(F.array_sort(F.collect_list("key")).alias("kept"))
     own = F.xxhash64("hash", F.lit("own"))  # of a line with too few constant tokens
     template = F.when(F.size("kept") >= same * F.size("tokens"), F.xxhash64("leaf", "kept")).otherwise(own)
-    templates = scratch.table(distinct.join(kept, "hash", "left").select("hash", F.coalesce(template, own).alias("template")), "templates")
-    placed = scratch.table(met.select("doc_id", "_row", "line", "hash").join(templates, "hash").select("doc_id", "_row", "line", "template"), "placed")
+    templates = scratch.table(distinct.join(kept, "hash", "left").select("hash", F.coalesce(template, own).alias("template"), long.alias("long")), "templates")
+    placed = scratch.table(met.select("doc_id", "_row", "line", "hash").join(templates, "hash").select("doc_id", "_row", "line", "template", "long"), "placed")
     # the table of placed lines says which rows hold a template; repeated rows hold each line as often
-    per_row = placed.groupBy("template", "doc_id", "_row", "line").agg(F.count(F.lit(1)).alias("rows")).groupBy("template", "doc_id", "_row").agg(F.max("rows").alias("rows"))
-    recurring = per_row.groupBy("template").agg(F.sum("rows").alias("n")).where(F.col("n") >= min_docs).select("template")
+    per_row = placed.groupBy("template", "doc_id", "_row", "line").agg(F.first("long").alias("long"), F.count(F.lit(1)).alias("rows")).groupBy("template", "doc_id", "_row").agg(F.first("long").alias("long"), F.max("rows").alias("rows"))
+    recurring = per_row.groupBy("template").agg(F.first("long").alias("long"), F.sum("rows").alias("n")).where(enough).select("template")
     recurring = scratch.table(recurring, "recurring")  # written, so that a frequent template's lines can be split in the join
     return placed.join(recurring, "template", "left_semi").select("doc_id", "_row", "line")
 

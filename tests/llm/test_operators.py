@@ -319,6 +319,14 @@ def test_lines(spark, odd_docs, empty_docs):
     assert lines.clean(odd_docs).columns == odd_docs.columns
 
 
+def test_long_lines_of_two_documents(spark):
+    line = lambda n, k: " ".join(f"word{chr(97 + i % 26)}{chr(97 + (i + k) // 26)}" for i in range(n))
+    long, other = line(60, 0), line(70, 5)
+    rows = [(1, f"first one\n{long}"), (2, f"{long}\nsecond one"), (3, f"{line(50, 0)}\nthird"), (4, f"fourth\n{line(50, 0)}"), (5, f"{other}\n{other}")]
+    got = {x["doc_id"]: x["dropped"] for x in lines.dropped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [1], 2: [0], 3: [], 4: [], 5: []}  # 50 words need three documents, and one document's repeats are one
+
+
 # 8
 
 def test_embeddings(spark):
