@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,10 +18,19 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    if given := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    Where neither is set, a temporary one under a local master (tests); on a cluster executors couldn't share that, so it fails.
+    """
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not given and (own := context._jsc.sc().getCheckpointDir()).isDefined():
+        given = own.get()
+    if given:
         return given.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = context.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="arbora-")
     return _OWN[app]
@@ -77,6 +87,36 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system; workers stay for the tasks to come, of other operators too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow whose tasks give freed memory back at their end."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def renamed(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df whose columns but `keep` are called _own_0, _own_1, ..., and a function that gives a result df's columns back.
+
+    So no column of the caller has the name of one that an operator adds.
+    """
+    names = {x: f"_own_{i}" for i, x in enumerate(df.columns) if x not in keep}
+    return df.withColumnsRenamed(names), lambda done: done.select(*[F.col(names.get(x, x)).alias(x) for x in df.columns])
+
+
 def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
 
@@ -89,7 +129,7 @@ def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if batch.num_rows and (out := f(batch)) is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[memoryview, np.ndarray, np.ndarray]:
@@ -130,7 +170,7 @@ def running_totals(df: DataFrame, key: str, order: list[str], weight: str, scrat
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(rows, pid, np.int32)), pa.array(n.astype(np.int64)), pa.array(s.astype(np.int64))], names=schema.names)
 
     ranged = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-    local = scratch.table(ranged.mapInArrow(run, schema), "ranged")
+    local = scratch.table(mapped(ranged, run, schema), "ranged")
     each = local.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_rows"), F.sum(weight).alias("_sum"))
     earlier = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = each.select("_pid", key, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_w0"))
