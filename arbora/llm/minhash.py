@@ -1,15 +1,20 @@
 """MinHash near-dedup by an LSH forest.
 
-A document's set of two-word shingles has one signature, read in several orders. In each order the signatures are sorted;
+A document's set of word shingles has one signature, read in several orders. In each order the signatures are sorted;
 documents that share at least LEAST_DEPTH leading values are candidates. Regions with more than REGION of them are parted
 at greater depths, until regions are small enough for all their pairs, and neighbours in the sorted order, which have the
 longest common prefixes, stay candidates at any depth. In a large region every document also meets the region's hub, the
 one that shares most regions with others: the original, where copies are all nearer to it than to each other. Candidates
 are confirmed on the full sets.
 
-Documents with equal sets are one class from the start. Links are confirmed in rounds: first with the hubs, then, among the
-classes that are still apart, each with the candidate that has the most candidates, at last all that are left; so a
-large group of copies needs about one comparison for each copy, and no candidate between different components is skipped.
+Documents with equal sets are one class from the start, named by a hash of the set. Links are confirmed in rounds: first
+with the hubs, then, among the classes that are still apart, each with the candidate that has the most candidates, then
+all that are left; so a large group of copies needs about one comparison for each copy.
+
+Pairs of a large region that were no candidates are not lost: where classes of one region are still in different
+components, the ones outside the region's main component are compared with all others of it on their full sets, in blocks
+by size, by the postings of their rarest shingles. That join is exact, so no pair that shares a region goes untested
+unless links already connect it.
 """
 
 from __future__ import annotations
@@ -19,27 +24,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import Scratch, field, held, text_bytes
+from arbora.llm.common import Scratch, field, held, mapped, renamed, running_totals, text_bytes
 from arbora.llm.graph import connected_components
 
-#: Percent of the union that the intersection must reach; words in a shingle.
-PERCENT, SHINGLE = 80, 2
+#: Percent of the union that the intersection must reach; words in a shingle, by the contract of op10 and elsewhere.
+PERCENT, SHINGLE, LONG_SHINGLE = 80, 2, 5
 #: Orders of the signature, values that candidates share in one, and further values by which large regions are parted.
 ORDERS, LEAST_DEPTH, DEEPER = 32, 6, 10
 VALUES = ORDERS * LEAST_DEPTH
-#: Regions up to this size have all their pairs as candidates.
+#: Regions up to this size have all their pairs as candidates at once; larger ones go on to crowds().
 REGION = 4
+#: Entries of a region that a task holds; it goes on with the last REGION of them, and the crowd knows all.
+PART = 200_000
 #: Rounds before the last: with the hubs, then of each class with one candidate.
 ROUNDS = 3
+#: Shingles in a block of a crowd, 8 bytes each; a larger set is a block of its own.
+CROWD_BLOCK = 1 << 20
 #: Ids that are broadcast to pick the candidates' texts, 16 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Words that a Python worker remembers.
-MEMO = 200_000
-CHUNK = 4 << 20
+#: Words that a Python worker remembers, of at most LONGEST bytes each.
+MEMO, LONGEST = 200_000, 64
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.default_rng(20240101)
@@ -63,18 +72,35 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     except KeyError:
         if len(known) > MEMO:
             known.clear()
-        for x in set(words):
-            if x not in known:
-                known[x] = xxhash.xxh3_64_intdigest(x)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    own = xxhash.xxh3_64_intdigest
+    for x in set(words):
+        if x not in known and len(x) <= LONGEST:
+            known[x] = own(x)
+    get = known.get
+    return np.fromiter((h if (h := get(x)) is not None else own(x) for x in words), np.uint64, len(words))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The sorted set of a text's shingles as 64-bit hashes: pairs of words, or the one word there is."""
+def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
+    """The sorted set of a text's shingles as 64-bit hashes: runs of k words, or the whole sequence where there are fewer."""
     words = word_hashes(text.translate(LOWER).split())
-    if len(words) < SHINGLE:
-        return mix(words + np.uint64(1))
-    return np.unique(mix(mix(words[:-1]) + words[1:] * np.uint64(0x9E3779B97F4A7C15)))
+    if not len(words):
+        return words
+    short = len(words) < k
+    n = 1 if short else len(words) - k + 1
+    out = mix(words[:n] + np.uint64(len(words) if short else 0))
+    for j in range(1, min(k, len(words))):
+        out = mix(out + words[j : j + n] * np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(out)
+
+
+def digest(found: np.ndarray) -> bytes:
+    """A 128-bit hash of a whole set."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+def node(whole: bytes) -> int:
+    """A class's name: the first half of its set's hash."""
+    return int.from_bytes(whole[:8], "big", signed=True)
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -87,24 +113,27 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = [field("n_shingles", T.LongType()), field("_set", T.BinaryType()), field("_signature", T.BinaryType())]
+SIGNED = [field("n_shingles", T.LongType()), field("_set", T.BinaryType()), field("a", T.LongType()), field("_signature", T.BinaryType())]
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, _set (a 128-bit hash of the whole set; null for an empty one) and _signature."""
+def signed(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, _set (a 128-bit hash of the whole set; null for an empty one), a (its class's name) and _signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at, _ = text_bytes(batch.column(1))
-            n, sets, signs = [], [], []
+            n, sets, nodes, signs = [], [], [], []
             for i in range(batch.num_rows):
-                found = shingles(bytes(data[at[i] : at[i + 1]]))
+                found = shingles(bytes(data[at[i] : at[i + 1]]), k)
+                whole = digest(found) if len(found) else None
                 n.append(len(found))
-                sets.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                signs.append(signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", *(x.name for x in SIGNED)])
+                sets.append(whole)
+                nodes.append(node(whole) if whole else None)
+                signs.append(signature(found).tobytes() if whole else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", *(x.name for x in SIGNED)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, T.StructType([field("doc_id", T.LongType()), *SIGNED]))
+    rows = docs.select("doc_id", "text")
+    return mapped(rows, run, T.StructType([rows.schema["doc_id"], *SIGNED]))
 
 
 ENTRY = T.StructType([field("key", T.BinaryType()), field("a", T.LongType())])
@@ -130,7 +159,7 @@ def entries(classes: DataFrame) -> DataFrame:
                 flat = pa.Array.from_buffers(pa.binary(keys.shape[2]), len(signs) * ORDERS, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([flat, part.column(0).take(pa.array(np.repeat(np.arange(len(signs)), ORDERS)))], names=["key", "a"])
 
-    return classes.mapInArrow(run, ENTRY)
+    return mapped(classes, run, ENTRY)
 
 
 def region_pairs(keys: list[bytes], nodes: list[int], a: int, b: int, depth: int, out: set[tuple[int, int]]) -> None:
@@ -155,11 +184,12 @@ def region_pairs(keys: list[bytes], nodes: list[int], a: int, b: int, depth: int
 FOUND = T.StructType([field("a", T.LongType()), field("b", T.LongType()), field("region", T.LongType())])
 
 
-def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs a < b of classes, and whether one is the other's hub in some region.
+def candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of classes, and whether one is the other's hub in some region; and crowds (crowd, a): who meets which hub.
 
     Entries are dealt by range of the whole key, so a region of very many is cut over tasks; it is cut at another place in
-    each order, and its hub is one for all its parts.
+    each order, and its hub is one for all its parts. A task's first and last region count as large ones, as they may go on
+    in other tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +198,12 @@ def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
         out: set[tuple[int, int]] = set()
         large: list[tuple[list[int], int]] = []
 
-        def close() -> None:
+        first = True
+
+        def close(last: bool = False) -> None:
             if len(keys) > 1:
                 region_pairs(keys, nodes, 0, len(keys), 0, out)
-            if len(keys) > REGION:
+            if keys and (len(keys) > REGION or first or last):
                 large.append((nodes, int.from_bytes(keys[0][1:PREFIX], "big", signed=True) ^ keys[0][0]))
 
         def found() -> pa.RecordBatch:
@@ -193,43 +225,48 @@ def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
             for s, e in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True):
                 if keys and keys[0][:PREFIX] != raw[s, :PREFIX].tobytes():
                     close()
-                    keys, nodes = [], []
+                    keys, nodes, first = [], [], False
                 keys += [raw[i].tobytes() for i in range(s, e)]
                 nodes += ids[s:e].tolist()
-                if len(keys) > 200_000:  # the rest of a region of very many goes on with the last entries of this part
+                if len(keys) > PART:  # the rest of a region of very many goes on with the last entries of this part
                     close()
                     keys, nodes = keys[-REGION:], nodes[-REGION:]
             if len(out) > 100_000 or large:
                 yield found()
-        close()
+        close(True)
         if out or large:
             yield found()
 
     dealt = entries(classes).repartitionByRange("key").sortWithinPartitions("key")
-    raw = scratch.table(dealt.mapInArrow(run, FOUND), "regions")
+    raw = scratch.table(mapped(dealt, run, FOUND), "regions")
     members = raw.where("region IS NOT NULL").select("region", "a").distinct()
     sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("_size"))
     mass = members.join(sizes, "region").groupBy("a").agg(F.sum("_size").alias("_mass"))
     hub = members.join(mass, "a").groupBy("region").agg(F.max(F.struct("_mass", (-F.col("a")).alias("n"))).alias("_hub"))
-    met = members.join(hub.select("region", (-F.col("_hub.n")).alias("b")), "region").where("a <> b")
+    met = scratch.table(members.join(hub.select("region", (-F.col("_hub.n")).alias("b")), "region").where("a <> b").select("a", "b").distinct(), "met")
     pairs = raw.where("region IS NULL AND a <> b").select("a", "b", F.lit(False).alias("hub")).unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("hub")))
-    return pairs.groupBy("a", "b").agg(F.max("hub").alias("hub"))
+    crowds = met.select(F.col("b").alias("crowd"), "a").unionByName(met.select(F.col("b").alias("crowd"), F.col("b").alias("a")).distinct())
+    return pairs.groupBy("a", "b").agg(F.max("hub").alias("hub")), crowds
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """a and _full, the sorted set's bytes, of the documents whose doc_id is in ids (a)."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = docs.select(F.col("doc_id").cast("long").alias("a"), "text").join(F.broadcast(ids) if few else ids, "a", "left_semi")
+def full_sets(docs: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """a and _full, the sorted set's bytes, of the classes in nodes (a, doc_id: a document that holds the set)."""
+    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    hint = F.broadcast if few else lambda x: x
+    ids = hint(nodes.select(F.col("doc_id").alias("_doc")).distinct())
+    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at, _ = text_bytes(batch.column(1))
+            data, at, _ = text_bytes(batch.column(0))
             for i in range(0, batch.num_rows, 500):
-                j = min(i + 500, batch.num_rows)
-                found = [shingles(bytes(data[at[x] : at[x + 1]])).tobytes() for x in range(i, j)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, pa.binary())], names=["a", "_full"])
+                found = [shingles(bytes(data[at[x] : at[x + 1]]), k) for x in range(i, min(i + 500, batch.num_rows))]
+                found = [x for x in found if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([node(digest(x)) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["a", "_full"])
 
-    return rows.mapInArrow(run, T.StructType([field("a", T.LongType()), field("_full", T.BinaryType())]))
+    # a doc_id may stand for other sets too, and a set may come from several rows
+    sets = mapped(rows, run, T.StructType([field("a", T.LongType()), field("_full", T.BinaryType())]))
+    return sets.join(hint(nodes.select("a")), "a", "left_semi").dropDuplicates(["a"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -254,14 +291,91 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             if out.num_rows:
                 yield out
 
-    return pairs.join(left, "a").join(right, "b").select(*names, "_full", "_other").mapInArrow(run, schema)
+    return mapped(pairs.join(left, "a").join(right, "b").select(*names, "_full", "_other"), run, schema)
+
+
+UNIT = T.StructType([field("x", T.LongType()), field("y", T.LongType())])
+
 
+def crowd_links(percent: int, left: pa.Table, right: pa.Table) -> list[tuple[int, int]]:
+    """Pairs of labels that links between strangers (left: label, _full) and a block of their crowd (right) connect.
 
-def links(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """a, b: links that connect what is connected, among classes (a: the document that stands for it, _signature)."""
-    open_ = scratch.table(candidates(classes, scratch).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), "hub"), "candidates")
+    A pair that links shares one of any n - ceil(n * percent / 100) + 1 shingles of a set of n: of the rarest ones here.
+    """
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("_full")]
+    labels = right.column("label").to_pylist()
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], owners[order]
+    out = []
+    for label, own in zip(left.column("label").to_pylist(), left.column("_full"), strict=True):
+        p = np.frombuffer(own.as_buffer(), np.uint64)
+        first, last = np.searchsorted(tokens, p, "left"), np.searchsorted(tokens, p, "right")
+        rare = np.argsort(last - first, kind="stable")[: len(p) - (len(p) * percent + 99) // 100 + 1]
+        met = np.unique(np.concatenate([owners[first[t] : last[t]] for t in rare]))
+        met = met[(100 * np.minimum(sizes[met], len(p)) >= percent * np.maximum(sizes[met], len(p)))]
+        mine = root(label)
+        met = [m for m in met.tolist() if root(labels[m]) != mine]
+        if not met:
+            continue
+        n = last - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.bincount(owners[at], minlength=len(sets))
+        for m in met:
+            if 100 * both[m] >= percent * (len(p) + sizes[m] - both[m]) and root(labels[m]) != root(label):
+                out.append((label, labels[m]))
+                parent[root(labels[m])] = root(label)
+    return out
+
+
+def crowded(crowds: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
+    """x, y: labels that links within crowds connect, where a crowd's classes have several; None: all have one.
+
+    Each class outside a crowd's main component is compared with all classes of the crowd that could be as large. Blocks
+    of a crowd by set size bound a task; only pairs of labels leave it.
+    """
+    rows = crowds.join(label.withColumnRenamed("node", "a"), "a", "left").select("crowd", "a", F.coalesce("label", "a").alias("label"))
+    rows = scratch.table(rows, "crowds")
+    by = rows.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "label")).alias("_main"), F.count(F.lit(1)).alias("labels"))
+    main = scratch.table(by.where("labels > 1").select("crowd", F.col("_main.label").alias("_main")), "main")
+    if main.isEmpty():
+        return None
+    sized = sets.select("a", (F.octet_length("_full") / 8).cast("long").alias("n"))
+    open_ = rows.join(main, "crowd").join(sized, "a").select("crowd", "a", "label", "n", (F.col("label") != F.col("_main")).alias("stranger"))
+    ranked = running_totals(open_, "crowd", ["n", "a"], "n", scratch)
+    placed = scratch.table(ranked.select("crowd", "a", "label", "stranger", "n", F.floor(F.col("weight_before") / CROWD_BLOCK).alias("block")), "placed")
+    blocks = placed.groupBy("crowd", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("stranger").alias("any"))
+    left, right = (blocks.select("crowd", *[F.col(x).alias(f"{x}_{side}") for x in ("block", "lo", "hi", "any")]) for side in "ij")
+    units = left.where("any_i").join(right, "crowd").where(f"100 * hi_i >= {percent} * lo_j AND 100 * hi_j >= {percent} * lo_i")
+    units = scratch.table(units.select("crowd", F.col("block_i").alias("i"), F.col("block_j").alias("j")), "units")
+    # strangers of two blocks meet once
+    asked = placed.where("stranger").join(units, (placed["crowd"] == units["crowd"]) & (placed["block"] == units["i"])).select(placed["crowd"], "i", "j", "a", "label", F.lit(True).alias("left"))
+    facing = placed.join(units, (placed["crowd"] == units["crowd"]) & (placed["block"] == units["j"])).where("NOT stranger OR i <= j").select(placed["crowd"], "i", "j", "a", "label", F.lit(False).alias("left"))
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("left")
+        strangers, others = table.filter(side), table.filter(pa.compute.invert(side))
+        found = crowd_links(percent, strangers, others) if strangers.num_rows and others.num_rows else []
+        return pa.table({"x": pa.array([x for x, _ in found], pa.int64()), "y": pa.array([y for _, y in found], pa.int64())})
+
+    return scratch.table(asked.unionByName(facing).join(sets, "a").groupBy("crowd", "i", "j").applyInArrow(run, UNIT), "crowd-links")
+
+
+def labels(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int = PERCENT, k: int = SHINGLE, rounds: int = ROUNDS) -> DataFrame:
+    """node, label: the components of classes (a, doc_id: of a document that holds the set, _signature); alone ones are left out."""
+    pairs, crowds = candidates(classes.select("a", "_signature"), scratch)
+    open_ = scratch.table(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), "hub"), "candidates")
     nodes = open_.select("a").union(open_.select(F.col("b").alias("a"))).distinct()
-    sets = scratch.table(full_sets(docs, scratch.table(nodes, "nodes")).dropDuplicates(["a"]), "sets")
+    sets = scratch.table(full_sets(docs, scratch.table(classes.select("a", "doc_id").join(nodes, "a", "left_semi"), "nodes"), k), "sets")
     found: DataFrame | None = None
     for n in range(rounds + 1):
         if open_.isEmpty():
@@ -285,47 +399,102 @@ def links(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int =
         for end in ("x", "y"):
             left = left.join(label.select(F.col("node").alias(end), F.col("label").alias("_label")), end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
         open_ = scratch.table(left.where("x <> y").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "candidates")
-    return found if found is not None else open_.select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row.
-
-    Null and empty texts have an empty set and link with nothing. Repeated rows and rows with equal sets are in one
-    component; rows that share a doc_id but not a text share the component of the doc_id. A null doc_id that is its
-    class's only one has component_id null and is kept. Other columns are ignored.
+    label = scratch.table(connected_components(found if found is not None else open_.select("a", "b"), scratch), "labels")
+    if (met := crowded(crowds, label, sets, scratch, percent)) is None or met.isEmpty():
+        return label
+    # the components that crowds connect, and the classes that were alone before
+    later = scratch.table(connected_components(met.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).select(F.col("node").alias("_node"), F.col("label").alias("_label")), "later")
+    moved = label.join(later, label["label"] == later["_node"], "left").select("node", F.coalesce("_label", "label").alias("label"))
+    alone = later.join(label, later["_node"] == label["node"], "left_anti").select(F.col("_node").alias("node"), F.col("_label").alias("label"))
+    return moved.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id of the component), kept for each row.
+
+    Shingles are k words. Null and empty texts have an empty set and link with nothing. Repeated rows and rows with equal
+    sets are in one component. doc_id may be of any type that has an order; rows that share one but not a text are
+    documents of their own, each in its text's component. Null doc_ids stand for no component: one without another doc_id has a
+    null component_id and is kept. Whole texts are read; a task holds a batch of at most 16 MB, or one longer text, and
+    its shingles. An empty table gives no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
-    rows = scratch.table(signed(docs), "signed")
+    rows = scratch.table(signed(docs, k), "signed")
     some = rows.where("_set IS NOT NULL")
-    classes = some.groupBy("_set").agg(F.min("doc_id").alias("a"), F.first("_signature").alias("_signature"), F.max("doc_id").alias("_last"))
-    classes = scratch.table(classes.where("a IS NOT NULL").select("_set", "a", "_signature"), "classes")
-    found = links(docs, classes.select("a", "_signature"), scratch, percent)
-    label = connected_components(found, scratch)
-    group = classes.select("_set", "a").join(label.withColumnRenamed("node", "a"), "a", "left").select("_set", "a", F.coalesce("label", "a").alias("label"))
+    classes = scratch.table(some.groupBy("_set").agg(F.min("doc_id").alias("doc_id"), F.first("a").alias("a"), F.first("_signature").alias("_signature")), "classes")
+    label = labels(docs, classes.select("a", "doc_id", "_signature"), scratch, percent, k)
+    group = classes.select("_set", "a", "doc_id").join(label.withColumnRenamed("node", "a"), "a", "left").select("_set", "doc_id", F.coalesce("label", "a").alias("label"))
     group = scratch.table(group, "groups")
-    least = group.groupBy("label").agg(F.min("a").alias("component_id"))
+    least = group.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = group.join(least, "label").select("_set", "component_id")
     out = rows.select("doc_id", "n_shingles", "_set").join(by_set, "_set", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = PERCENT, k: int = LONG_SHINGLE) -> DataFrame:
     """One row of docs for each component, its smallest doc_id, with the columns of docs.
 
     Of rows that share that doc_id one stays, with the least text. Rows without words all stay but for such repeats.
+    Texts, ids and clashing names are treated as in near_duplicates().
     """
-    found = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    rows, back = renamed(docs, "doc_id", "text")
+    found = near_duplicates(rows, percent, k).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_again"))
     once = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
     again = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
-    least = again.groupBy("doc_id").agg(F.min(F.struct("text", *[x for x in docs.columns if x not in ("doc_id", "text")])).alias("_row"))
-    return once.unionByName(least.select("doc_id", "_row.*").select(*docs.columns))
+    least = again.groupBy("doc_id").agg(F.min(F.struct("text", *[x for x in rows.columns if x not in ("doc_id", "text")])).alias("_row"))
+    return back(once.unionByName(least.select("doc_id", "_row.*").select(*rows.columns)))
+
+
+def audit_recall(docs: DataFrame, result: DataFrame, percent: int = PERCENT, k: int = SHINGLE, every: int = 100, block: int = 1 << 22) -> float:
+    """Of the links of documents whose doc_id is divisible by `every` with all others, by comparison of full sets, the share within one component."""
+    scratch = Scratch(docs.sparkSession, "audit")
+    place = result.select("doc_id", "component_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(place, "doc_id").where("text IS NOT NULL")
+    asked = scratch.table(rows.where(F.col("doc_id") % every == 0).withColumn("_size", F.octet_length("text")), "asked")
+    hits = total = 0
+    held_: list = []
+
+    def counted(part: list) -> tuple[int, int]:
+        shared = docs.sparkSession.sparkContext.broadcast([(i, c, shingles(t.encode(), k)) for i, t, c in part])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sets = [x for x in shared.value if len(x[2])]
+            tokens, owners = (np.concatenate([x[2] for x in sets]), np.repeat(np.arange(len(sets)), [len(x[2]) for x in sets])) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            order, sizes = np.argsort(tokens, kind="stable"), np.array([len(x[2]) for x in sets], dtype=np.int64)
+            tokens, owners = tokens[order], owners[order]
+            for batch in batches:
+                all_, same = 0, 0
+                for i, t, c in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "component_id")), strict=True):
+                    p = shingles(t.encode(), k)
+                    first, n = np.searchsorted(tokens, p, "left"), np.searchsorted(tokens, p, "right") - np.searchsorted(tokens, p, "left")
+                    both = np.bincount(owners[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(sets))
+                    for m in np.flatnonzero((both > 0) & (100 * both >= percent * (len(p) + sizes - both))).tolist():
+                        if sets[m][0] != i:
+                            all_, same = all_ + 1, same + (sets[m][1] == c)
+                yield pa.RecordBatch.from_arrays([pa.array([all_]), pa.array([same])], names=["n", "same"])
+
+        row = mapped(rows, run, "n long, same long").agg(F.sum("n"), F.sum("same")).first()
+        shared.unpersist()
+        return row[0] or 0, row[1] or 0
+
+    size = 0
+    for r in asked.select("doc_id", "text", "component_id", "_size").toLocalIterator():
+        held_.append((r[0], r[1], r[2]))
+        size += r[3]
+        if size > block:  # a block of queries at a time
+            n, same = counted(held_)
+            total, hits, held_, size = total + n, hits + same, [], 0
+    if held_:
+        n, same = counted(held_)
+        total, hits = total + n, hits + same
+    return hits / total if total else 1.0
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents with shingles of two words."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -412,13 +412,13 @@ def test_kernel():
 
 # 10
 
-def shingled(t):
+def shingled(t, k=2):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
-    return {tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def components(rows):
-    sets, parent = [shingled(t) for _, t in rows], list(range(len(rows)))
+def components(rows, k=2):
+    sets, parent = [shingled(t, k) for _, t in rows], list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
@@ -448,11 +448,70 @@ def test_minhash(spark, odd_docs, empty_docs, base):
     odd = [tuple(x) for x in odd_docs.select("doc_id", "text").where("doc_id IS NOT NULL").collect()]
     docs = spark.createDataFrame([(*x, "z") for x in rows + odd], "doc_id long, text string, label string")
     assert counted(minhash.near_duplicates(docs).collect()) == counted(components(rows + odd))
-    kept = minhash.dedup(odd_docs)
+    kept = minhash.dedup(odd_docs, k=minhash.SHINGLE)
     assert kept.columns == odd_docs.columns and sorted(x["doc_id"] or -1 for x in kept.collect()) == [-1, 1, 4, 5, 6, 8, 9, 10, 11, 12]
     assert minhash.near_duplicates(odd_docs).count() == odd_docs.count() and minhash.near_duplicates(empty_docs).count() == 0
 
 
+def edited(r, words, most):
+    own = list(words)
+    for _ in range(r.randint(0, most)):
+        own[r.randrange(len(own))] = f"x{r.randint(0, 99999)}"
+    return own
+
+
+def test_minhash_crowded_region(spark):
+    """Copies of copies, where most pairs of a large region do not link and some link only at its fringe."""
+    r = random.Random(12)
+    base = [f"w{r.randint(0, 400)}" for _ in range(150)]
+    first = [edited(r, base, 11) for _ in range(260)]
+    rows = [(i * 7 + 3, " ".join(w)) for i, w in enumerate(first + [edited(r, r.choice(first), 11) for _ in range(120)])]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = counted(components(rows))
+    assert len({x[2] for x in want}) > 10
+    got = minhash.near_duplicates(docs)
+    assert counted(got.collect()) == want
+    assert minhash.audit_recall(docs, got, every=10, block=20_000) == 1.0
+    five = minhash.near_duplicates(docs, k=5)
+    assert counted(five.collect()) == counted(components(rows, 5))
+
+
+def test_minhash_ids(spark, base):
+    """Ids that are texts, rows that share one but not a text, and null ids between linked texts."""
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [("b", base), ("b", other), ("a", base + " more"), ("c", other + " more"), (None, base + " most"), (None, "alone it stands"), ("d", "")]
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    n = len(shingled(base))
+    assert got == {("b", n): ("a", False), ("b", 39): ("b", True), ("a", n + 1): ("a", True), ("c", 40): ("b", False), (None, n + 1): ("a", False), (None, 2): (None, True), ("d", 0): ("d", True)}
+
+
+def test_crowd_links():
+    """Blocks of strangers against all others: what is linked ends under one label, as by brute force."""
+    import pyarrow as pa
+
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(edited(r, base, 6)) for _ in range(60)]
+    table = pa.table({"label": pa.array(range(60), pa.int64()), "_full": pa.array([minhash.shingles(t.encode()).tobytes() for t in texts], pa.binary())})
+    found = minhash.crowd_links(80, table.slice(0, 30), table)
+    parent = list(range(60))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in found:
+        assert root(x) != root(y)
+        parent[root(x)] = root(y)
+    sets = [shingled(t) for t in texts]
+    for a in range(30):
+        for b in range(60):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                assert root(a) == root(b)
+
+
 def test_signatures_estimate(base):
     a, b = minhash.shingles(base.encode()), minhash.shingles(base.replace("seven", "eight").encode())
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))

@@ -18,7 +18,7 @@ def test_stages(spark, sf_dir):
     assert a.columns == columns and counted(pairs(a)) == counted(x for x in pairs(docs) if x[0] not in bad)
 
     b = stages["near_duplicates"](spark, docs, sf_dir)
-    kept = {i for i, _, _, k in components(pairs(docs)) if k}
+    kept = {i for i, _, _, k in components(pairs(docs), 5) if k}
     assert b.columns == columns and counted(pairs(b)) == counted(x for x in pairs(docs) if x[0] in kept)
 
     c = stages["decontamination"](spark, docs, sf_dir)
