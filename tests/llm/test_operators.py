@@ -270,7 +270,7 @@ def test_decontamination(spark, odd_docs, empty_docs, base):
 
 # 7
 
-def templates(docs, depth=2, least=3, same=0.5):
+def templates(docs, depth=2, least=3, same=0.5, levels=(0.0, 0.05, 0.3)):
     """Line numbers dropped by the tree, by brute force."""
     found = []
     for d, (_, t) in enumerate(docs):
@@ -281,21 +281,27 @@ def templates(docs, depth=2, least=3, same=0.5):
     leaf_docs, constant = collections.defaultdict(set), collections.Counter()
     for d, _, _, k in found:
         leaf_docs[k].add(d)
-    for d, w, k in {(d, w, k) for d, _, w, k in found if len(leaf_docs[k]) >= least}:
+    for _, w, k in {(d, w, k) for d, _, w, k in found if len(leaf_docs[k]) >= least}:
         for p, x in enumerate(w):
             constant[k, p, x] += 1
-    place = {}
+    place = collections.defaultdict(set)
     for _, _, w, k in found:
-        if len(leaf_docs[k]) >= least:
-            kept = tuple((p, x) for p, x in enumerate(w) if constant[k, p, x] >= least)
-            place[w] = (k, kept) if len(kept) >= same * len(w) else ("own", w)
+        if len(leaf_docs[k]) < least or w in place:
+            continue
+        for n, share in enumerate(levels):
+            kept = tuple((p, x) for p, x in enumerate(w) if constant[k, p, x] >= max(least, share * len(leaf_docs[k])))
+            body = [p for p, _ in kept if p >= depth]
+            if len(kept) >= same * len(w) and (n == 0 or len(w) > depth and len(body) >= same * (len(w) - depth)):
+                place[w].add((k, kept))
+            elif n == 0:
+                place[w].add(("own", w))
     docs_of = collections.defaultdict(set)
     for d, _, w, _ in found:
-        if w in place:
-            docs_of[place[w]].add(d)
+        for x in place.get(w, ()):
+            docs_of[x].add(d)
     out = collections.defaultdict(list)
     for d, n, w, _ in found:
-        if w in place and len(docs_of[place[w]]) >= least:
+        if any(len(docs_of[x]) >= least for x in place.get(w, ())):
             out[d].append(n)
     return [(docs[d][0], sorted(out[d])) for d in range(len(docs))]
 
@@ -314,11 +320,44 @@ def test_lines(spark, odd_docs, empty_docs):
     text = {x["doc_id"]: x["text"] for x in lines.clean(docs).collect()}
     for i, t in rows:
         assert text[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in got[i][1])
+    clash = docs.select("doc_id", "text", *[F.lit(i).alias(x) for i, x in enumerate(["_doc", "_found", "_lines", "_row", "line"])])
+    assert lines.clean(clash).columns == clash.columns and {x["doc_id"]: x["text"] for x in lines.clean(clash).collect()} == text
     odd = lines.dropped(odd_docs)
     assert odd.count() == odd_docs.count() and lines.dropped(empty_docs).count() == 0
     assert lines.clean(odd_docs).columns == odd_docs.columns
 
 
+def test_fields_of_few_values(spark):
+    """One template with fields of some values each: its lines go, however many documents hold it."""
+    r = random.Random(15)
+    for n, values in ((60, 100), (600, 100), (600, 7)):
+        names = ["".join(r.choices("abcdefgh", k=6)) for _ in range(values)]
+        rows = [(i, f"unlike any other {chr(97 + i % 26)}{chr(97 + i // 26)}\ngood day dear reader {r.choice(names)} of the town {r.choice(names)} by the sea {r.choice(names)} today") for i in range(n)]
+        got = {x["doc_id"]: x["dropped"] for x in lines.dropped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert sum(1 in x for x in got.values()) >= 0.99 * n, (n, values)
+        assert got == dict(templates(rows))
+
+
+def test_lines_in_pieces():
+    """Long texts give the lines that short ones give."""
+    r, before = random.Random(16), lines.CHUNK
+    texts = ["\n".join(" ".join(r.choices(["a", "b1", "été", "word", ""], k=r.randint(0, 6))) for _ in range(r.randint(0, 30))).encode() for _ in range(40)] + [b"x" * 500 + b"\ny"]
+    want = lines._lines(texts)
+    try:
+        lines.CHUNK = 50
+        got = lines._lines(texts)
+    finally:
+        lines.CHUNK = before
+    assert all((a == b).all() for a, b in zip(want, got, strict=True))
+    words = [x for t in texts for x in t.split()]
+    known = collections.defaultdict(set)
+    for x, h in zip(words, want[3].tolist(), strict=True):
+        known[lines.VARIABLE if re.search(b"[0-9]", x) else x].add(h)
+    assert all(len(x) == 1 for x in known.values()) and len({min(x) for x in known.values()}) == len(known)
+    lists = [[len(y.split()) for y in t.split(b"\n")] for t in texts]
+    assert list(zip(want[0].tolist(), want[1].tolist(), want[2].tolist(), strict=True)) == [(i, n, c) for i, x in enumerate(lists) for n, c in enumerate(x) if c]
+
+
 def test_long_lines_of_two_documents(spark):
     line = lambda n, k: " ".join(f"word{chr(97 + i % 26)}{chr(97 + (i + k) // 26)}" for i in range(n))
     long, other = line(60, 0), line(70, 5)
