@@ -8,8 +8,8 @@ the documents stays a field however many they are. Templates that recur in enoug
 lines; for lines of more than LONG tokens two documents are enough in each step, as so long a line hardly recurs by chance.
 
 Tokens, lines and rows are named by 64-bit hashes. Leaves with too few documents are pruned first; equal lines are merged
-before their tokens are counted, so that a line that a third of all documents hold counts as one row. All counts are sums
-with map-side combining.
+before their tokens are counted, so that a line that a third of all documents hold counts as few rows. Small leaves are
+counted in one task, several at a time, large ones by sums over keys of their tokens.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ LEVELS = (0.0, 0.05, 0.3)
 LONG, LONG_DOCS = 50, 2
 #: Leaves that are broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
+#: Tokens in the lines of a leaf whose constants are counted in one task with other leaves, and tokens in such a task; larger leaves are dealt by token.
+SMALL_LEAF, BUCKET = 1 << 20, 1 << 20
 #: Bytes worked on at once; a longer text is taken whole.
 CHUNK = 1 << 20
 
@@ -162,31 +164,95 @@ def find(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, same: fl
         for _, _, rows, _, counts, _, keys in _chunks(batches, depth):
             once, at = np.unique(np.stack([rows, keys[1]], axis=1), axis=0, return_index=True)  # a document counts once
             found, first, n = np.unique(once[:, 1], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[at][first] > LONG), pa.array(n.astype(np.int64))], names=["leaf", "long", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[at][first]), pa.array(n.astype(np.int64))], names=["leaf", "size", "n"])
 
     enough = F.when(F.col("long"), min(min_docs, LONG_DOCS)).otherwise(min_docs)  # a leaf's lines have one length
-    leaf = T.StructType([field("leaf", T.LongType()), field("long", T.BooleanType()), field("n", T.LongType())])
-    common = mapped(texts.select("text"), leaves, leaf).groupBy("leaf").agg(F.first("long").alias("long"), F.sum("n").alias("_docs")).where(F.col("_docs") >= enough).select("leaf", "_docs")
-    common = scratch.table(common, "leaves")
-    schema = T.StructType([texts.schema["doc_id"], texts.schema["_row"], field("line", T.IntegerType()), field("leaf", T.LongType()), field("hash", T.LongType()), field("new", T.IntegerType()), field("tokens", T.ArrayType(T.LongType()))])
+    leaf = T.StructType([field("leaf", T.LongType()), field("size", T.LongType()), field("n", T.LongType())])
+    common = mapped(texts.select("text"), leaves, leaf).groupBy("leaf").agg(F.first("size").alias("size"), F.sum("n").alias("_docs"))
+    common = scratch.table(common.withColumn("long", F.col("size") > LONG).where(F.col("_docs") >= enough).drop("long"), "leaves")
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["_row"], field("line", T.IntegerType()), field("leaf", T.LongType()), field("hash", T.LongType()), field("docs", T.LongType()), field("tokens", T.ArrayType(T.LongType()))])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, rows, numbers, counts, tokens, (starts, leaf_keys, line_keys) in _chunks(batches, depth):
-            new = np.zeros(len(rows), np.int32)
-            new[np.unique(np.stack([rows, line_keys], axis=1), axis=0, return_index=True)[1]] = 1
-            # of equal lines one carries the tokens
-            shown = np.zeros(len(rows), dtype=bool)
-            shown[np.unique(line_keys, return_index=True)[1]] = True
+            # of equal lines one carries the tokens and the number of documents
+            once = np.unique(np.stack([rows, line_keys], axis=1), axis=0)[:, 1]
+            first, n = np.unique(once, return_counts=True)
+            at = np.unique(line_keys, return_index=True)[1]  # in the order of first
+            shown, docs = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), np.int64)
+            shown[at], docs[at] = True, n
             offsets = np.concatenate([[0], np.cumsum(np.where(shown, counts, 0))]).astype(np.int32)
             flat = pa.array(tokens[np.repeat(shown, counts)].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~shown))
             take = pa.array(rows + a)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("_row").take(take), pa.array(numbers), pa.array(leaf_keys), pa.array(line_keys), pa.array(new), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("_row").take(take), pa.array(numbers), pa.array(leaf_keys), pa.array(line_keys), pa.array(docs), lists], names=schema.names)
 
     few = common.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    met = scratch.table(mapped(texts, lines, schema).join(F.broadcast(common) if few else common, "leaf"), "lines")
-    # a line's hash tells its leaf; a constant's key holds leaf, position and token, so only keys and line hashes are dealt
-    distinct = met.groupBy("hash").agg(F.first("leaf").alias("leaf"), F.first("_docs").alias("_docs"), F.first("tokens", True).alias("tokens"), F.sum("new").alias("docs"))
+    kept = common.select("leaf", "_docs")
+    met = scratch.table(mapped(texts, lines, schema).join(F.broadcast(kept) if few else kept, "leaf"), "lines")
+    shown = met.where("tokens IS NOT NULL").select("hash", "leaf", "_docs", "docs", "tokens")
+    small = F.col("_docs") * F.size("tokens") <= SMALL_LEAF  # a leaf's lines have one size
+    plan = common.agg(F.sum(F.least(F.col("_docs") * F.col("size"), F.lit(SMALL_LEAF)))).first()[0] or 0
+    templates = _templates_by_leaf(shown.where(small), int(plan // BUCKET) + 1, depth, min_docs, same)
+    templates = scratch.table(templates.unionByName(_templates_by_key(shown.where(~small), scratch, depth, min_docs, same)), "templates")
+    placed = met.select("doc_id", "_row", "line", "hash").join(templates, "hash")
+    # the table of lines says which rows hold a template; repeated rows hold each line as often
+    per_row = placed.groupBy("template", "doc_id", "_row", "line").agg(F.first("long").alias("long"), F.count(F.lit(1)).alias("rows")).groupBy("template", "doc_id", "_row").agg(F.first("long").alias("long"), F.max("rows").alias("rows"))
+    recurring = per_row.groupBy("template").agg(F.first("long").alias("long"), F.sum("rows").alias("n")).where(F.col("n") >= enough).select("template")
+    recurring = scratch.table(recurring, "recurring")  # written, so that a frequent template's lines can be split in the join
+    gone = scratch.table(templates.join(recurring, "template", "left_semi").select("hash").distinct(), "gone")
+    return met.select("doc_id", "_row", "line", "hash").join(gone, "hash", "left_semi").select("doc_id", "_row", "line")
+
+
+TEMPLATE = T.StructType([field("hash", T.LongType()), field("long", T.BooleanType()), field("template", T.LongType())])
+
+
+def _templates_by_leaf(shown: DataFrame, buckets: int, depth: int, min_docs: int, same: float) -> DataFrame:
+    """hash, long, template of the lines of leaves of at most SMALL_LEAF tokens, as many leaves in a task as have BUCKET tokens or so.
+
+    Rows: hash, leaf, _docs (of the leaf), docs (that hold the line, a part of them in each row), tokens.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        codes, first, line = np.unique(table.column("hash").to_numpy(), return_index=True, return_inverse=True)
+        docs = np.bincount(line, table.column("docs").to_numpy()).astype(np.int64)
+        table = table.take(pa.array(first))
+        leaf, of_leaf, lists = table.column("leaf").to_numpy(), table.column("_docs").to_numpy(), table.column("tokens").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        tokens = lists.flatten().to_numpy().view(np.uint64)
+        starts = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(codes)), size)
+        place = np.arange(len(tokens)) - starts[owner]
+        keys = mix(mix(leaf.view(np.uint64)[owner] + place.astype(np.uint64) * BASE) + tokens)
+        _, at = np.unique(keys, return_inverse=True)
+        n = np.bincount(at, docs[owner]).astype(np.int64)[at]
+        least = np.where(size > LONG, min(min_docs, LONG_DOCS), min_docs)
+        out, plain = [], None
+        for share in LEVELS:
+            constant = n >= np.maximum(least, share * of_leaf)[owner]
+            kept = np.add.reduceat(constant, starts, dtype=np.int64)
+            fits = kept >= same * size
+            if plain is None:
+                plain = fits
+            else:  # beyond the first tokens, which a leaf's lines share, enough must be constant too
+                fits &= (size > depth) & (np.add.reduceat(constant & (place >= depth), starts, dtype=np.int64) >= same * (size - depth))
+            names = mix(np.add.reduceat(np.where(constant, mix(keys), np.uint64(0)), starts) + leaf.view(np.uint64))
+            out.append((codes[fits], size[fits] > LONG, names[fits].view(np.int64)))
+        out.append((codes[~plain], size[~plain] > LONG, mix(codes[~plain].view(np.uint64)).view(np.int64)))  # too few constant tokens: the line for itself
+        found = np.stack([np.concatenate([x[i] for x in out]).astype(np.int64) for i in range(3)], axis=1)
+        found = np.unique(found, axis=0)
+        return pa.table({"hash": found[:, 0], "long": found[:, 1].astype(bool), "template": found[:, 2]})
+
+    bucket = F.pmod(F.xxhash64(F.col("leaf"), F.lit("bucket")), F.lit(buckets)).cast("int")
+    return shown.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, TEMPLATE)
+
+
+def _templates_by_key(shown: DataFrame, scratch: Scratch, depth: int, min_docs: int, same: float) -> DataFrame:
+    """The same for leaves of any size: tokens are dealt by leaf, position and token, and only keys and line hashes."""
+    if shown.isEmpty():
+        return shown.select("hash", F.lit(False).alias("long"), F.col("leaf").alias("template")).limit(0)
+    enough = F.when(F.col("long"), min(min_docs, LONG_DOCS)).otherwise(min_docs)
+    distinct = shown.groupBy("hash").agg(F.first("leaf").alias("leaf"), F.first("_docs").alias("_docs"), F.first("tokens").alias("tokens"), F.sum("docs").alias("docs"))
     distinct = scratch.table(distinct, "distinct")
     keys = F.transform("tokens", lambda t, i: F.xxhash64(F.col("leaf"), i, t))
     long = F.size("tokens") > LONG
@@ -194,25 +260,16 @@ def find(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, same: fl
     count = each.groupBy("key").agg(F.first("long").alias("long"), F.first("_docs").alias("_docs"), F.sum("docs").alias("n")).where(F.col("n") >= enough)
     # the highest level at which a token is constant
     level = sum((F.col("n") >= share * F.col("_docs")).cast("int") for share in LEVELS)
-    constant = count.select("key", level.alias("level"))
-    kept = each.select("hash", "place", "key").join(constant, "key").groupBy("hash").agg(F.collect_list(F.struct("key", "place", "level")).alias("kept"))
+    kept = each.select("hash", "place", "key").join(count.select("key", level.alias("level")), "key").groupBy("hash").agg(F.collect_list(F.struct("key", "place", "level")).alias("kept"))
     none = F.array().cast("array<struct<key:bigint,place:int,level:int>>")
     rows = distinct.join(kept, "hash", "left").select("hash", "leaf", F.size("tokens").alias("size"), long.alias("long"), F.coalesce("kept", none).alias("kept"))
-    # a line recurs as it is, or by what is constant in it; at higher levels fewer tokens are, and those beyond the first ones must be enough
     at_level = [F.expr(f"filter(kept, x -> x.level >= {n})") for n in range(1, len(LEVELS) + 1)]
     template = [F.xxhash64("leaf", F.array_sort(F.transform(x, lambda y: y["key"]))) for x in at_level]
     body = [F.size(F.filter(x, lambda y: y["place"] >= depth)) for x in at_level]
     fits = [F.size(at_level[0]) >= same * F.col("size"), *[(F.size(x) >= same * F.col("size")) & (F.col("size") > depth) & (b >= same * (F.col("size") - depth)) for x, b in zip(at_level[1:], body[1:], strict=True)]]
-    alone = F.when(~fits[0], F.xxhash64("hash", F.lit("own")))  # of a line with too few constant tokens
+    alone = F.when(~fits[0], F.xxhash64("hash", F.lit("own")))
     ids = F.array_distinct(F.array_compact(F.array(alone, *[F.when(ok, x) for ok, x in zip(fits, template, strict=True)])))
-    templates = scratch.table(rows.select("hash", "long", F.explode(ids).alias("template")), "templates")
-    placed = met.select("doc_id", "_row", "line", "hash").join(templates, "hash")
-    # the table of lines says which rows hold a template; repeated rows hold each line as often
-    per_row = placed.groupBy("template", "doc_id", "_row", "line").agg(F.first("long").alias("long"), F.count(F.lit(1)).alias("rows")).groupBy("template", "doc_id", "_row").agg(F.first("long").alias("long"), F.max("rows").alias("rows"))
-    recurring = per_row.groupBy("template").agg(F.first("long").alias("long"), F.sum("rows").alias("n")).where(F.col("n") >= enough).select("template")
-    recurring = scratch.table(recurring, "recurring")  # written, so that a frequent template's lines can be split in the join
-    gone = scratch.table(templates.join(recurring, "template", "left_semi").select("hash").distinct(), "gone")
-    return met.select("doc_id", "_row", "line", "hash").join(gone, "hash", "left_semi").select("doc_id", "_row", "line")
+    return rows.select("hash", "long", F.explode(ids).alias("template"))
 
 
 def _row_key() -> Column:
@@ -228,7 +285,7 @@ def _by_row(docs: DataFrame, **options) -> DataFrame:
 def dropped(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (line numbers from 0) for each row; find() tells what becomes of odd rows."""
     docs, _ = renamed(docs, "doc_id", "text")
-    n_lines = F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    n_lines = F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     rows = docs.select("doc_id", _row_key(), n_lines.alias("n_lines"))
     joined = rows.join(_by_row(docs, **options), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_found")), "left")
     lines = F.coalesce("_lines", F.array().cast("array<int>"))

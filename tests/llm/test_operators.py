@@ -143,7 +143,6 @@ def test_tokens(spark, odd_docs, empty_docs):
     path = Scratch(spark, "t").path("files")
     got = [tuple(r) for r in tokens.tokenize(spark, odd_docs, path).orderBy("start").collect()]
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     ids = {(r["doc_id"], r["text"]): [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in odd_docs.collect()}
     start = 0
     for doc_id, at, n, crc in got:
@@ -157,10 +156,26 @@ def test_tokens(spark, odd_docs, empty_docs):
 
 
 def test_encoder_equals_the_library():
-    own, r = tokens.encoder(tokens.vocabulary_path()), random.Random(2)
-    fixed = ["", " a  b", "don't we'll 123 4,5", "<|endoftext|> a<|endoftext|>", "a\x1cb c\x1c d", "日本 語。 x\r\n y", "x!\nY z.\n\nW"]
-    for t in fixed + ["".join(r.choices("ab .,'!\n\t 1é日%", k=r.randint(0, 40))) for _ in range(3000)]:
-        assert own.encode(t) == own.ids(t), t
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, r = tokens.Encoder(tokens.vocabulary_path()), random.Random(2)
+    library = Tokenizer.from_file(tokens.vocabulary_path())
+    fixed = ["", None, " ", "  ", " a  b", "a", "a ", "don't we'll 123 4,5", "a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b c", "a\x1cb c\x1c d", "日本 語。 x\r\n y", "x!\nY z.\n\nW", "one\ntwo three", "x" * 5000 + " y " * 50, "word " * 9000]
+    texts = fixed + ["".join(r.choices("ab .,'!\n\t 1é日%", k=r.randint(0, 40))) for _ in range(3000)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for step in (1, 7, len(texts)):
+        for a in range(0, len(texts) if step > 1 else 40, step):
+            ids, n = own.encode(pa.array(texts[a : a + step], pa.string()))
+            got = np.split(ids, np.cumsum(n)[:-1])
+            for t, x, y in zip(texts[a : a + step], got, want[a : a + step], strict=True):
+                assert x.tolist() == y, t
+    own.memo.clear()
+    before, tokens.MEMO = tokens.MEMO, 2000  # forgets again and again
+    try:
+        assert own.encode(pa.array(texts, pa.string()))[0].tolist() == [i for x in want for i in x]
+    finally:
+        tokens.MEMO = before
 
 
 # 4
@@ -336,6 +351,11 @@ def test_fields_of_few_values(spark):
         got = {x["doc_id"]: x["dropped"] for x in lines.dropped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert sum(1 in x for x in got.values()) >= 0.99 * n, (n, values)
         assert got == dict(templates(rows))
+    before, lines.SMALL_LEAF = lines.SMALL_LEAF, 3000  # the large leaf by token keys
+    try:
+        assert got == {x["doc_id"]: x["dropped"] for x in lines.dropped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        lines.SMALL_LEAF = before
 
 
 def test_lines_in_pieces():
