@@ -33,7 +33,7 @@ LONG, LONG_DOCS = 50, 2
 #: Leaves that are broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
 #: Tokens in the lines of a leaf whose constants are counted in one task with other leaves, and tokens in such a task; larger leaves are dealt by token.
-SMALL_LEAF, BUCKET = 1 << 20, 1 << 20
+SMALL_LEAF, BUCKET = 1 << 20, 1 << 18
 #: Bytes worked on at once; a longer text is taken whole.
 CHUNK = 1 << 20
 
