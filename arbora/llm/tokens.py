@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-import sys
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from string import punctuation
 
 import numpy as np
@@ -15,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import Scratch, field, held, small_batches
+from arbora.llm.common import Scratch, field, held, mapped, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a Python worker remembers, over all tasks that it runs.
-MEMO = 400_000
+#: Pieces that a Python worker remembers over all tasks that it runs, some 200 bytes each, and letters of the longest.
+MEMO, LONGEST = 400_000, 32
 #: Bytes of a row group and rows of a page: a read of few documents touches few pages.
 ROW_GROUP, PAGE_ROWS = 32 << 20, 2_000
 
@@ -36,14 +34,20 @@ def vocabulary_path(path: str = VOCABULARY) -> str:
 
 
 class Memo(dict):
-    """Pieces and their ids; what is missing is learned."""
+    """Pieces and their ids after a space; what is missing is learned."""
 
-    def __init__(self, learn: Callable[[str], bytes | None]):
+    def __init__(self, own: Encoder):
         super().__init__()
-        self.learn = learn
+        self.own, self.tokenize, self.store = own, own.model.tokenize, own.store
 
     def __missing__(self, piece: str) -> bytes | None:
-        out = self[piece] = self.learn(piece)
+        if piece.isalpha():  # most pieces: one word, told here without further calls
+            symbols = self.own.space + piece if piece.isascii() else (" " + piece).encode().decode("latin-1").translate(self.own.alphabet)
+            out = b"".join([self.store[x.id] for x in self.tokenize(symbols)])
+        else:
+            out = self.own.learn(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = out
         return out
 
     def bound(self) -> None:
@@ -58,7 +62,8 @@ class Encoder:
     """A byte-level BPE of the tokenizers library, which remembers what it made of each piece between two spaces.
 
     Its pre-tokenizer always cuts before a single space that stands between two characters that aren't white space, so
-    pieces cut there have the ids that they have in the whole text. Strings of special tokens count as ordinary text.
+    pieces cut there have the ids that they have in the whole text. Texts that hold a string of an added token are left
+    to the library, which takes such strings as those tokens.
     """
 
     def __init__(self, path: str):
@@ -67,15 +72,16 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         self.model = self.full.model
+        self.added = [x.content for x in self.full.get_added_tokens_decoder().values()]
         pre = self.full.pre_tokenizer
         self.simple = isinstance(pre, ByteLevel) and self.full.normalizer is None and not pre.add_prefix_space
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet: printable Latin-1 stands for itself, other bytes follow from 256
         rest = [b for b in range(256) if b not in set(own)]
         self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.space = self.alphabet[32]
-        self.memo = Memo(self.learn)
+        self.store = [i.to_bytes(4, "little") for i in range(self.full.get_vocab_size())]
+        self.memo = Memo(self)
         self.ends: dict[str, bytes] = {}
         self.line_end = self.ids("\n")
 
@@ -88,10 +94,7 @@ class Encoder:
 
     def bytes_of(self, symbols: str) -> bytes:
         """Ids of a word in the byte alphabet."""
-        out = array("I", [x.id for x in self.model.tokenize(symbols)])
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+        return b"".join([self.store[x.id] for x in self.model.tokenize(symbols)])
 
     def letters(self, space: str, piece: str) -> bytes:
         """Ids of a piece after a space or none, if it has letters only and then ASCII punctuation, else by the whole way."""
@@ -120,29 +123,33 @@ class Encoder:
         # a single line end between two characters that aren't white space is cut off on both sides
         return b"".join([self.letters(" ", first), *(y for x in lines for y in (self.line_end, self.letters("", x)))])
 
+    def parts(self, text: str) -> bytes:
+        """Texts with other white space: pieces that can't be cut off stay with their neighbours."""
+        out, held = [], []
+        for x in text.split(" "):
+            if held and x and not x[0].isspace() and held[-1] and not held[-1][-1].isspace():
+                out.append(self.joined(held, bool(out)))
+                held = []
+            held.append(x)
+        return b"".join([*out, self.joined(held, bool(out))])
+
+    def joined(self, pieces: list[str], later: bool) -> bytes:
+        if later and len(pieces) == 1 and (ids := self.memo[pieces[0]]) is not None:
+            return ids
+        return self.ids((" " if later else "") + " ".join(pieces))
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not self.simple:
+        if not self.simple or any(x in text for x in self.added):
             return self.ids(text)
-        pieces, memo = text.split(" "), self.memo
-        first, rest = pieces[0], pieces[1:]
+        first, *rest = text.split(" ")
         if not first or first[0].isspace() or first[-1].isspace():
             return self.parts(text)
         try:
-            return self.letters("", first) + b"".join(map(memo.__getitem__, rest))
+            return self.letters("", first) + b"".join(map(self.memo.__getitem__, rest))
         except TypeError:  # a piece that can't be cut off
             return self.parts(text)
 
-    def parts(self, text: str) -> bytes:
-        """Texts with other white space: pieces that can't be cut off stay with their neighbours."""
-        out, held = [], []
-        for i, x in enumerate(text.split(" ")):
-            if held and x and not x[0].isspace() and held[-1] and not held[-1][-1].isspace():
-                out.append(self.ids((" " if out else "") + " ".join(held)))
-                held = []
-            held.append(x)
-        return b"".join([*out, self.ids((" " if out else "") + " ".join(held))])
-
 
 def encoder(path: str) -> Encoder:
     return held(f"tokens {path}", lambda: Encoder(path))
@@ -151,8 +158,10 @@ def encoder(path: str) -> Encoder:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = 0) -> None:
     """Encodes whole texts (null: empty), appends end_id to each, and writes files in ascending order of doc_id.
 
-    Rows are dealt by range of doc_id, so file order is document order; rows with equal doc_id are ordered by text, those
-    with a null one come first. Columns: doc_id, part (place of the file in the order), local_start (ids of the rows
+    Rows are dealt by range of doc_id and a hash of the text, so file order is document order; rows with equal doc_id are
+    ordered by that hash, those with a null one come first, and rows alike in both are interchangeable. A doc_id that many
+    rows have is cut over tasks by its texts. A task holds a batch of at most 16 MB, or one longer text, and the ids of 128
+    texts. Columns: doc_id, part (place of the file in the order), local_start (ids of the rows
     before it in the file), n_tokens (with the end id), token_ids. Other columns of docs are ignored.
     """
 
@@ -161,22 +170,22 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
 
         part, total, own, end = TaskContext.get().partitionId(), 0, encoder(vocabulary_path(vocabulary)), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            own.memo.bound()
             texts = batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                ids = [own.encode(x.as_py() or "") + end for x in texts.slice(at, 256)]
+            for at in range(0, batch.num_rows, 128):
+                own.memo.bound()
+                ids = [own.encode(x.as_py() or "") + end for x in texts.slice(at, 128)]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 starts = total + np.cumsum(n) - n
                 total += int(n.sum())
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 256), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), lists], names=FILE.names)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 128), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), lists], names=FILE.names)
 
     small_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    options = {"parquet.enable.dictionary": "true", "parquet.block.size": ROW_GROUP, "parquet.page.row.count.limit": PAGE_ROWS, "compression": "zstd"}
-    ordered.mapInArrow(run, FILE).write.options(**options).parquet(path)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = own.withColumn("_order", F.xxhash64("text"))
+    ordered = own.repartitionByRange("doc_id", "_order").sortWithinPartitions("doc_id", "_order").select("doc_id", "text")
+    options = {"parquet.enable.dictionary": "true", "parquet.block.size": ROW_GROUP, "parquet.page.row.count.limit": PAGE_ROWS, "compression": "snappy"}
+    mapped(ordered, run, FILE).write.options(**options).parquet(path)
 
 
 def read_starts(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -204,7 +213,7 @@ def digest(tokens: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(sums, pa.int64())], names=schema.names)
 
-    return tokens.mapInArrow(run, schema)
+    return mapped(tokens, run, schema)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -215,6 +224,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, path: str | None = None, voca
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tokenize() of all documents."""
     return tokenize(spark, spark.read.parquet(str(sf_dir) + "/documents.parquet"))
 
 
