@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from string import punctuation
 
 import numpy as np
@@ -184,16 +184,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("_order", F.xxhash64("text"))
     ordered = own.repartitionByRange("doc_id", "_order").sortWithinPartitions("doc_id", "_order").select("doc_id", "text")
-    options = {"parquet.enable.dictionary": "true", "parquet.block.size": ROW_GROUP, "parquet.page.row.count.limit": PAGE_ROWS, "compression": "snappy"}
+    options = {"parquet.enable.dictionary": "true", "parquet.block.size": ROW_GROUP, "parquet.page.row.count.limit": PAGE_ROWS, "compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
     mapped(ordered, run, FILE).write.options(**options).parquet(path)
 
 
-def read_starts(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The files' columns with start: ids of all documents before. Only the columns named, part, local_start and n_tokens are read."""
+def read_starts(spark: SparkSession, path: str, columns: list[str], then: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """The files' columns, after `then`, with start: ids of all documents before. Only the columns named, part, local_start and n_tokens are read."""
     rows = spark.read.schema(FILE).parquet(path)
     each = rows.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))  # a row a file
     before = each.select("part", F.coalesce(F.sum("_sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(before), "part").select(*columns, (F.col("_before") + F.col("local_start")).alias("start"))
+    own = then(rows.select(*dict.fromkeys([*columns, "part", "local_start"])))
+    return own.join(F.broadcast(before), "part").withColumn("start", F.col("_before") + F.col("local_start")).drop("_before", "part", "local_start")
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -220,7 +221,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, path: str | None = None, voca
     """Writes the files and returns from them doc_id, start, n_tokens, ids_crc32. Empty input gives no rows."""
     path = path or Scratch(spark, "tokens").path("files")
     write_tokens(docs, path, vocabulary)
-    return digest(read_starts(spark, path, ["doc_id", "n_tokens", "token_ids"])).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_starts(spark, path, ["doc_id", "n_tokens", "token_ids"], digest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
