@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import Scratch, running_totals
+from arbora.llm.common import Scratch, renamed, running_totals
 
 #: Weights of the sources in order of their code points, repeating; words of the mix as a share of all; most epochs of a source.
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
+#: Sources that are broadcast, some 100 bytes each; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,48 +40,68 @@ def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGH
     return table.select("source", "source_size", "_rank", F.least(F.col("_weight") * F.lit(level), F.col("_cap")).alias("target"))
 
 
-def taken(rows: DataFrame, by_source: DataFrame, scratch: Scratch, words: str = "size", seed: str = SEED) -> DataFrame:
+def by_seed(*parts: Column, seed: str = SEED) -> Column:
+    """The seeded order: an md5 of the parts."""
+    return F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(x.cast("string"), F.lit("null")) for x in parts]))
+
+
+def taken(rows: DataFrame, by_source: DataFrame, scratch: Scratch, order: list[str], words: str = "size") -> DataFrame:
     """Adds source_size, target, _epochs (whole repetitions) and _extra (words of the last, fractional one).
 
-    In the seeded order of a source, documents are taken once more until the words that whole repetitions leave over are
-    used up; the document at the border gives only as many words as are left. So each source takes its target to a word.
+    In the order of a source, documents are taken once more until the words that whole repetitions leave over are used up;
+    the document at the border gives only as many words as are left. So each source takes its target to a word.
     """
-    rows = rows.withColumns({"_random": F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))})
     joined = rows.join(by_source.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
-    ordered = running_totals(joined, "_rank", ["_random", "doc_id", words], words, scratch)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    ordered = running_totals(joined, "_rank", order, words, scratch)
+    epochs = _epochs()
     left = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     return ordered.withColumns({"_epochs": epochs.cast("long"), "_extra": F.greatest(F.lit(0).cast("long"), F.least(left - F.col("weight_before"), F.col(words)))})
 
 
+def _epochs() -> Column:
+    return F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+
+
 def mix_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row.
 
     Null texts have size 0, a null source is a source of its own and comes last, rows that repeat are rows of their own;
-    equal doc_ids are ordered by size. An empty table gives no rows. Other columns are ignored.
+    equal doc_ids are ordered by size. Of a long text only its words are counted, on the JVM. An empty table gives no rows.
+    Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.table(docs.select("doc_id", "source", size().alias("size")), "sizes")
-    out = taken(rows, targets(rows, scratch), scratch)
+    out = taken(rows.withColumn("_random", by_seed(F.col("doc_id"))), targets(rows, scratch), scratch, ["_random", "doc_id", "size"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + F.col("_extra")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; of the documents at the borders whole ones if half is taken.
 
-    Rows with the same doc_id, source and text share one decision.
+    A document's place in the seeded order comes from its doc_id and text, so rows with the same doc_id, source and text share
+    one decision. The plan is a row a source: its whole repetitions, and the place up to which documents are taken once more;
+    so no text is shuffled unless the sources are too many for a broadcast. Documents without words go with those around them.
+    Nulls, ties and empty tables are treated as in mix_sizes(). Other columns stay as they are, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    key = {"_key": F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("source"), F.lit("null")), F.col("source").isNull().cast("string"), F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull().cast("string")), 256)}
-    rows = docs.select("doc_id", "source", size().alias("_one"), key["_key"].alias("_key")).groupBy("_key", "doc_id", "source", "_one").agg(F.count(F.lit(1)).alias("_rows"))
-    rows = scratch.table(rows.withColumn("size", F.col("_one") * F.col("_rows")), "sizes")
-    plan = taken(rows, targets(rows, scratch), scratch)
-    times = (F.col("_epochs") + ((F.col("_extra") > 0) & (2 * F.col("_extra") >= F.col("size"))).cast("long")).cast("int")
-    plan = plan.select("_key", times.alias("_times")).where("_times > 0")
-    return docs.withColumns(key).join(plan, "_key").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    own, back = renamed(docs, "doc_id", "source", "text")
+    place = by_seed(F.col("doc_id"), F.xxhash64("text"))
+    rows = own.select("source", size().alias("_one"), place.alias("_random")).groupBy("source", "_random").agg(F.sum("_one").alias("size"))
+    rows = scratch.table(rows, "sizes")
+    sources = targets(rows, scratch)
+    plan = taken(rows, sources, scratch, ["_random"])
+    border = plan.where((F.col("_extra") > 0) & (2 * F.col("_extra") >= F.col("size"))).groupBy("source").agg(F.max("_random").alias("_border"))
+    border = border.select(F.col("source").alias("_of"), "_border")
+    each = sources.join(border, F.col("source").eqNullSafe(F.col("_of")), "left").select(F.col("source").alias("_from"), _epochs().cast("int").alias("_epochs"), "_border")
+    each = scratch.table(each, "plan")
+    few = each.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    joined = own.withColumn("_random", place).join(F.broadcast(each) if few else each, F.col("source").eqNullSafe(F.col("_from")))
+    times = F.col("_epochs") + F.coalesce(F.col("_random") <= F.col("_border"), F.lit(False)).cast("int")
+    return back(joined.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_sizes() of all documents."""
     return mix_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
