@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbora.llm.common import field as column
-from arbora.llm.common import small_batches, text_bytes
+from arbora.llm.common import Scratch, mapped, renamed, small_batches, text_bytes
 
 WINDOW = 13
 #: Item words in one broadcast index, about 100 MB; a larger benchmark is taken in several blocks, one pass over the documents for each.
@@ -182,20 +182,26 @@ STATE = [column("_hit", T.BinaryType()), column("_items", T.ArrayType(T.StringTy
 def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
     """docs with _hit (a byte a word, 1: hit; null: no hit), _items (names of items with occurring windows) and _words.
 
-    One narrow pass for each block of the benchmark: no shuffle, and a text's hits stay with its row.
+    One narrow pass for each block of the benchmark: no shuffle, and a text's hits stay with its row. Where there are more
+    blocks than one, rows are written after each but the last, and its index is given up, so executors hold one at a time.
     """
     spark, text = docs.sparkSession, docs.schema["text"]
     small_batches(spark)
+    scratch = Scratch(spark, "decontamination")
     schema = T.StructType([*docs.schema.fields, *STATE])
-    out = docs
     parts = blocks(benchmark, limit)
-    out = _pass(spark, out, next(parts, []), schema, False, text.name)
+    out, shared = _pass(spark, docs, next(parts, []), schema, False, text.name)
+    before = None
     for items in parts:
-        out = _pass(spark, out, items, schema, True, text.name)
+        now = scratch.table(out, "hits")
+        shared.unpersist()
+        scratch.drop(before)
+        out, shared = _pass(spark, now, items, schema, True, text.name)
+        before = now
     return out
 
 
-def _pass(spark: SparkSession, rows: DataFrame, items: list[tuple[str, list[bytes]]], schema: T.StructType, again: bool, text: str) -> DataFrame:
+def _pass(spark: SparkSession, rows: DataFrame, items: list[tuple[str, list[bytes]]], schema: T.StructType, again: bool, text: str):
     shared = spark.sparkContext.broadcast(build(items))  # bounded by BLOCK_WORDS
     names = schema.names
 
@@ -216,14 +222,16 @@ def _pass(spark: SparkSession, rows: DataFrame, items: list[tuple[str, list[byte
             own = [batch.column(x) for x in names[:-3]]
             yield pa.RecordBatch.from_arrays([*own, pa.array([bytes(x) if x is not None else None for x in hit], pa.binary()), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array(counts, pa.int64())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema), shared
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
 
     A document is contaminated if n_hit > 0 and 20 * n_hit >= n_words. A null or empty text has no words and no hits; an
-    empty benchmark hits nothing; items with one item_id count once; rows that repeat are judged each for itself.
+    empty benchmark hits nothing; items with one item_id count once; rows that repeat, and rows with a null doc_id, are judged
+    each for itself. Texts are read whole, CHUNK bytes or one longer text at a time, with some 4 bytes a word for ids and one for
+    hits. An empty table gives no rows. Other columns are ignored.
     """
     schema = T.StructType([docs.schema["doc_id"], column("n_words", T.LongType()), column("n_hit", T.LongType()), column("n_items", T.LongType()), column("items_sha256", T.StringType()), column("contaminated", T.BooleanType())])
 
@@ -235,21 +243,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORD
             sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(sums), pa.array((hit > 0) & (20 * hit >= n))], names=schema.names)
 
-    return scan(docs.select("doc_id", "text"), benchmark, limit).select("doc_id", *(x.name for x in STATE)).mapInArrow(run, schema)
+    seen = scan(docs.select("doc_id", "text"), benchmark, limit).select("doc_id", *(x.name for x in STATE))
+    return mapped(seen, run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that aren't contaminated, with the columns of docs."""
-    # a column's own name may be one of _hit, _items, _words: those are renamed for the scan
-    names = {x: f"_own_{i}" for i, x in enumerate(docs.columns) if x != "text"}
-    own = docs.withColumnsRenamed(names)
+    own, back = renamed(docs, "text")
     seen = scan(own, benchmark, limit)
     n_hit = F.coalesce(F.length(F.expr("replace(cast(_hit as string), cast(X'00' as string), '')")), F.lit(0))
-    kept = seen.where(~((n_hit > 0) & (20 * n_hit >= F.col("_words")))).select(*own.columns)
-    return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+    return back(seen.where(~((n_hit > 0) & (20 * n_hit >= F.col("_words")))))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decontaminate() of all documents by all items of the benchmark."""
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

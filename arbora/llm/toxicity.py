@@ -16,15 +16,17 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import field, small_batches, text_bytes
+from arbora.llm.common import field, mapped, renamed, small_batches, text_bytes
 
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: The classifier is fitted on a bounded sample of the labelled rows: so many of each class at most, taken by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
+#: Bytes of the texts of each class at most.
+SAMPLE_BYTES = 64 << 20
 #: Landmarks that tell the classes apart, and landmarks of ordinary text; their lengths in bytes, with the space of a word's start.
 LANDMARKS, BACKGROUND, LENGTHS = 48, 2, (4, 5, 6, 7, 8)
 #: Landmarks that a toxic text should hold, where it can.
@@ -268,8 +270,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         # ids first, so that the top rows are found without their texts
         own = rows.where(F.col("toxic") == label)
-        ids = own.select("doc_id", F.xxhash64("doc_id").alias("_order")).orderBy("_order", "doc_id").limit(most)
-        texts = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select(F.col("text").cast("binary")).limit(4 * most)
+        ids = own.select("doc_id", F.xxhash64("doc_id").alias("_order")).distinct().orderBy("_order", "doc_id").limit(most)
+        texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids.withColumnRenamed("_order", "_place")), "doc_id")
+        # a few thousand rows: in their order, as many as SAMPLE_BYTES hold
+        texts = texts.orderBy("_place", "doc_id", F.xxhash64("text")).limit(2 * most)
+        till = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy("_place", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+        texts = texts.withColumn("_till", till).where(F.col("_till") <= SAMPLE_BYTES).select("text")
         groups.append(sorted(folded(bytes(x[0] or b"")) for x in texts.collect()))
     return train(groups[0], groups[1], sizes.get(1, 0), sizes.get(0, 0))
 
@@ -292,22 +298,25 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             p = np.concatenate(out) if out else np.empty(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return mapped(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row; a null doc_id isn't held out. Repeated rows score alike."""
+    """doc_id, held_out, score, predicted for each row; a null doc_id isn't held out. Repeated rows score alike.
+
+    Whole texts are scored, CHUNK bytes or one longer text at a time; null texts score as empty ones. Without usable labels
+    all rows have one score. An empty table gives no rows. Other columns are ignored.
+    """
     held = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False))
     return score(docs, fit(docs, labels), ["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted to be toxic, with the columns of docs."""
-    names = {x: f"_own_{i}" for i, x in enumerate(docs.columns) if x != "text"}
-    rows = docs.withColumnsRenamed(names)
-    kept = score(rows, fit(docs, labels), rows.columns).where("predicted = 0").select(*rows.columns)
-    return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+    rows, back = renamed(docs, "text")
+    return back(score(rows, fit(docs, labels), rows.columns).where("predicted = 0"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classify() of all documents, learned from the labels outside fold 0."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import Scratch, field, text_bytes
+from arbora.llm.common import Scratch, field, mapped, text_bytes
 
 #: Bytes of a segment's block, of a chunk of the transfer framing, and records of a file (so a file has some 64 MB at most).
 SEGMENT, CHUNK, FILE_RECORDS = 32 << 10, 8 << 10, 2_000
@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    lines = with_revisits(pages, least).mapInArrow(run, T.StructType([field("value", T.BinaryType())]))
+    lines = mapped(with_revisits(pages, least), run, T.StructType([field("value", T.BinaryType())]))
     lines.select(F.col("value").cast("string")).write.options(lineSep=END.decode(), maxRecordsPerFile=FILE_RECORDS).text(path)
 
 
@@ -189,7 +189,7 @@ def read_records(spark: SparkSession, path: str, whole: bool = False) -> DataFra
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return mapped(spark.read.format("binaryFile").load(path).select("content"), run, RECORD)
 
 
 def reassemble(records: DataFrame, whole: bool = False) -> DataFrame:
@@ -221,7 +221,7 @@ def reassemble(records: DataFrame, whole: bool = False) -> DataFrame:
                 rows = [x | (decoded(x["block"], x["payload_digest"], x["record_type"], whole) if x["status"] is None else {"block": None, "payload_digest": None}) for x in rows]
                 yield pa.RecordBatch.from_pylist([{k: x.get(k) for k in schema.names} for x in rows], schema=schema)
 
-    return joined.mapInArrow(run, RECORD)
+    return mapped(joined, run, RECORD)
 
 
 def read_archives(spark: SparkSession, path: str, scratch: Scratch, whole: bool = False) -> DataFrame:
