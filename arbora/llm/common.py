@@ -48,7 +48,7 @@ def held(name: str, make: Callable[[], object]) -> object:
 
 
 #: Bytes of an Arrow batch between the JVM and Python: texts and sets are long, and tasks of an executor run side by side.
-BATCH = 16 << 20
+BATCH = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

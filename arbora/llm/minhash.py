@@ -415,7 +415,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -
     Shingles are k words. Null and empty texts have an empty set and link with nothing. Repeated rows and rows with equal
     sets are in one component. doc_id may be of any type that has an order; rows that share one but not a text are
     documents of their own, each in its text's component. Null doc_ids stand for no component: one without another doc_id has a
-    null component_id and is kept. Whole texts are read; a task holds a batch of at most 16 MB, or one longer text, and
+    null component_id and is kept. Whole texts are read; a task holds a batch of at most 4 MB, or one longer text, and
     its shingles. An empty table gives no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "minhash")

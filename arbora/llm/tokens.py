@@ -160,7 +160,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
 
     Rows are dealt by range of doc_id and a hash of the text, so file order is document order; rows with equal doc_id are
     ordered by that hash, those with a null one come first, and rows alike in both are interchangeable. A doc_id that many
-    rows have is cut over tasks by its texts. A task holds a batch of at most 16 MB, or one longer text, and the ids of 128
+    rows have is cut over tasks by its texts. A task holds a batch of at most 4 MB, or one longer text, and the ids of 128
     texts. Columns: doc_id, part (place of the file in the order), local_start (ids of the rows
     before it in the file), n_tokens (with the end id), token_ids. Other columns of docs are ignored.
     """
