@@ -3,72 +3,101 @@
 Linked documents, here those with equal texts, move towards the shard that holds most of their neighbours, round by round
 and under quotas, so that few links are cut while every shard gets as many rows as any other, or one less. The state is
 one label for each linked row; a clique's neighbour counts come from counting labels by group, never from its pairs.
+
+A group moves in pieces of at most a shard's quota, so only groups beyond it are cut from the start; pieces look at the
+labels of the whole group, and so tend to one shard. A piece whose rows all lie in one shard is settled and takes up
+room there; rows of others are about to leave and take none. In each round the largest open pieces move, those down to
+a quarter of the size of the largest. Rounds end when all pieces are settled; when none has moved for some rounds, the
+ones in turn are halved, as no shard has room for them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.llm.common import Scratch, running_totals
 
-SHARDS, ROUNDS, EXTRA_BYTES = 40, 4, 16
-#: Groups are taken in pieces of at most this share of a shard, so that quotas can be met with few cuts.
-PIECE = 0.25
-#: Moves into a shard are allowed or not by so many classes of groups.
-CLASSES = 512
+SHARDS, EXTRA_BYTES = 40, 16
+#: Rounds without a move before open pieces are halved.
+PATIENCE = 2
+#: Moves into a shard are allowed or not by so many classes of pieces of about one size.
+CLASSES = 128
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard under the law `rows`: counts differ by one at most.
 
     Size: UTF-8 bytes of the text (null: none) plus 16. A null text counts as an empty one. Rows that repeat are rows of
-    their own; rows of one group are ordered by doc_id, and rows alike in doc_id and text are interchangeable. With fewer rows than
-    shards some shards stay empty; an empty table gives no rows. Other columns are ignored.
+    their own; rows of one group are ordered by doc_id (null ones first), and rows alike in doc_id and text are
+    interchangeable. Texts are read whole, but only their hashes are dealt. With fewer rows than shards some shards stay
+    empty; an empty table gives no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = scratch.table(docs.select("doc_id", (F.octet_length(text) + EXTRA_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("_group"), F.lit(1).cast("long").alias("_one")), "rows")
-    total = rows.count()
-    quota, more = divmod(total, shards)
-    piece = max(1, int(quota * PIECE))
+    quota, more = divmod(rows.count(), shards)
     linked = scratch.table(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1"), "groups")
     # pieces of groups: the rank in the group by doc_id
     members = running_totals(rows.join(linked, "_group"), "_group", ["doc_id"], "_one", scratch)
     start = F.pmod(F.xxhash64("doc_id", "rows_before"), F.lit(shards)).cast("int")
-    state = scratch.table(members.select("doc_id", "size", "text_crc32", "_group", F.concat_ws("-", F.col("_group"), F.floor(F.col("rows_before") / piece).cast("string")).alias("_piece"), start.alias("shard")), "labels")
-    for n in range(rounds):
-        moved = _round(state, shards, quota, n, scratch)
-        if moved.isEmpty():
+    whole = max(1, quota)
+    first = members.select("doc_id", "size", "text_crc32", "_group", F.col("rows_before").alias("_rank"), (F.floor(F.col("rows_before") / whole) * whole).alias("_base"), start.alias("shard"))
+    state, still, n = scratch.table(first.withColumn("_piece", _name()), "labels"), 0, 0
+    while True:
+        here = scratch.table(state.groupBy("_group", "_piece", "shard").agg(F.count(F.lit(1)).alias("_here")), "here")
+        pieces = scratch.table(here.groupBy("_group", "_piece").agg(F.sum("_here").alias("_all"), F.count(F.lit(1)).alias("_places")), "pieces")
+        largest = pieces.where("_places > 1").agg(F.max("_all")).first()[0]
+        if not largest:
             break
-        after = scratch.table(state.join(moved, "_piece", "left").select(*[x for x in state.columns if x != "shard"], F.coalesce("_to", "shard").alias("shard")), "labels")
+        turn = pieces.where((F.col("_places") > 1) & (4 * F.col("_all") > largest)).select("_group", "_piece", "_all")
+        moved = _round(here, pieces, turn, shards, quota, n, scratch)
+        still = 0 if (some := not moved.isEmpty()) else still + 1
+        names = [x for x in state.columns if x not in ("shard", "_piece", "_base")]
+        if some or still < PATIENCE:
+            after = state.join(moved, "_piece", "left").select(*names, "_base", "_piece", F.coalesce("_to", "shard").alias("shard"))
+        else:
+            still, half = 0, F.ceil(F.col("_all") / 2)
+            base = F.col("_base") + F.coalesce(F.floor((F.col("_rank") - F.col("_base")) / half) * half, F.lit(0))
+            after = state.join(turn.select("_piece", "_all"), "_piece", "left").select(*names, base.cast("long").alias("_base"), "shard").withColumn("_piece", _name())
+        after = scratch.table(after, "labels")
         scratch.drop(state)
-        state = after
-    single = rows.join(linked, "_group", "left_anti").select("doc_id", "size", "text_crc32", F.lit("").alias("_piece"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int").alias("shard"))
-    labelled = state.select(*single.columns).unionByName(single)
+        state, n = after, n + 1
+    places = pieces.select("_piece", (F.col("_all") == 1).cast("int").alias("_last"))
+    names = ["doc_id", "size", "text_crc32", "_piece", "shard", "_last"]
+    single = rows.join(linked, "_group", "left_anti").select("doc_id", "size", "text_crc32", F.lit("").alias("_piece"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int").alias("shard"), F.lit(2).alias("_last"))
+    labelled = state.join(places, "_piece").select(*names).unionByName(single)
     return _levelled(labelled, shards, quota, more, scratch).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _round(state: DataFrame, shards: int, quota: int, n: int, scratch: Scratch) -> DataFrame:
-    """_piece, _to of the pieces that move in this round: to the shard with most of their rows that has room."""
-    count = state.groupBy("_piece", "shard").agg(F.count(F.lit(1)).alias("_here"))
-    load = state.groupBy("shard").agg(F.count(F.lit(1)).alias("_load"))  # a row a shard
-    count = count.join(F.broadcast(load), "shard").withColumn("_room", F.lit(quota) - F.col("_load"))
-    # most of the piece's rows; ties and full shards: by a hash
-    best = F.max_by(F.struct("shard", "_here", "_room"), F.struct((F.col("_room") + F.col("_here") > 0).cast("int"), "_here", F.xxhash64("_piece", "shard", F.lit(n))))
-    want = count.groupBy("_piece").agg(best.alias("_best"), F.sum("_here").alias("_all")).select("_piece", F.col("_best.shard").alias("_to"), F.col("_best._room").alias("_room"), (F.col("_all") - F.col("_best._here")).alias("_come")).where("_come > 0")
-    want = want.withColumn("_class", F.pmod(F.xxhash64("_piece", F.lit(n), F.lit("class")), F.lit(CLASSES)).cast("int"))
-    want = scratch.table(want, "wishes")
-    # room for whole classes of pieces, in order: at most shards * CLASSES rows
-    classes = want.groupBy("_to", "_class").agg(F.sum("_come").alias("_sum"), F.max("_room").alias("_free"))
-    fits = classes.withColumn("_till", F.sum("_sum").over(Window.partitionBy("_to").orderBy("_class"))).where("_till <= _free").select("_to", "_class")
-    return want.join(F.broadcast(fits), ["_to", "_class"]).select("_piece", "_to")
+def _name() -> Column:
+    return F.concat_ws("-", F.col("_group"), F.col("_base").cast("string"))
+
+
+def _round(here: DataFrame, pieces: DataFrame, open_: DataFrame, shards: int, quota: int, n: int, scratch: Scratch) -> DataFrame:
+    """_piece, _to of the open pieces that move in this round: to the shard with most of their group that has room for them."""
+    placed = here.join(pieces.where("_places = 1 AND _all > 1").select("_piece"), "_piece", "left_semi")
+    load = placed.groupBy("shard").agg(F.sum("_here").alias("_load"))  # a row a shard
+    group = here.groupBy("_group", "shard").agg(F.sum("_here").alias("_rows"))
+    # shards that the group's rows are in, and one more by a hash
+    near = open_.join(group, "_group").select("_group", "_piece", "_all", "shard", "_rows")
+    other = open_.select("_group", "_piece", "_all", F.pmod(F.xxhash64("_piece", F.lit(n)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).cast("long").alias("_rows"))
+    room = F.lit(quota) - F.coalesce("_load", F.lit(0))
+    fits = near.unionByName(other).join(F.broadcast(load), "shard", "left").withColumn("_room", room).where("_room >= _all")
+    best = F.max_by(F.struct("shard", "_room"), F.struct("_rows", F.xxhash64("_group", "shard", F.lit(n))))
+    want = fits.groupBy("_piece").agg(best.alias("_best"), F.first("_all").alias("_all"))
+    # large pieces first, then by a hash: room for whole classes of pieces, at most shards * 64 * CLASSES rows
+    order = F.floor(F.log2("_all") * 4).cast("int") * -CLASSES + F.pmod(F.xxhash64("_piece", F.lit(n), F.lit("class")), F.lit(CLASSES)).cast("int")
+    want = scratch.table(want.select("_piece", F.col("_best.shard").alias("_to"), F.col("_best._room").alias("_room"), "_all", order.alias("_class")), "wishes")
+    classes = want.groupBy("_to", "_class").agg(F.sum("_all").alias("_sum"), F.max("_room").alias("_free"))
+    allowed = classes.withColumn("_till", F.sum("_sum").over(Window.partitionBy("_to").orderBy("_class"))).where("_till <= _free").select("_to", "_class")
+    return scratch.table(want.join(F.broadcast(allowed), ["_to", "_class"]).select("_piece", "_to"), "moved")
 
 
 def _levelled(rows: DataFrame, shards: int, quota: int, more: int, scratch: Scratch) -> DataFrame:
-    """Exact quotas: rows beyond a shard's quota, single ones first, fill the shards below theirs. Adds slot."""
-    # whole pieces stay, in order; unlinked rows come last and go first
-    ranked = running_totals(rows.withColumns({"_one": F.lit(1).cast("long"), "_last": (F.col("_piece") == "").cast("int")}), "shard", ["_last", "_piece", "doc_id", "text_crc32"], "_one", scratch)
+    """Exact quotas: rows beyond a shard's quota, unlinked ones first, then pieces of one row, fill the shards below theirs. Adds slot."""
+    # settled pieces stay, as they are within the quota; unlinked rows come last and go first
+    ranked = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), "shard", ["_last", "_piece", "doc_id", "text_crc32"], "_one", scratch)
     ranked = ranked.withColumn("slot", F.col("rows_before")).drop("rows_before", "weight_before")
     load = ranked.groupBy("shard").agg(F.count(F.lit(1)).alias("_load"))
     every = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
@@ -89,4 +118,5 @@ def _levelled(rows: DataFrame, shards: int, quota: int, more: int, scratch: Scra
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard() of all documents."""
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
