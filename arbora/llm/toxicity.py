@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import field, mapped, renamed, small_batches, text_bytes
+from arbora.llm.common import field, give_back, mapped, renamed, small_batches, text_bytes
 
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: The classifier is fitted on a bounded sample of the labelled rows: so many of each class at most, taken by a hash of doc_id.
@@ -277,7 +277,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         till = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy("_place", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
         texts = texts.withColumn("_till", till).where(F.col("_till") <= SAMPLE_BYTES).select("text")
         groups.append(sorted(folded(bytes(x[0] or b"")) for x in texts.collect()))
-    return train(groups[0], groups[1], sizes.get(1, 0), sizes.get(0, 0))
+    model = train(groups[0], groups[1], sizes.get(1, 0), sizes.get(0, 0))
+    del groups
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

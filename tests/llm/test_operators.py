@@ -123,11 +123,46 @@ def test_broken_segments(spark):
 
 # 2
 
+def notices(docs, templates, threshold=0.8, run=4):
+    """Units and their best templates, by brute force."""
+    grams = {name: licenses.pairs(licenses.template_words(t)) for name, t in templates.items()}
+    out = []
+    for i, t in docs:
+        normal = re.sub(r" ?\n ?", "\n", re.sub(r"[^a-z0-9\n]+", " ", (t or "").lower())).strip(" ")
+        parts = re.split("\n\n+", normal.strip("\n"))
+        units = [("text", "0", " ".join(parts)), *(("line", str(n), x) for n, x in enumerate(normal.split("\n"), 1))]
+        units += [("paragraphs", f"{a + 1}-{a + n}", " ".join(parts[a : a + n])) for n in range(1, run + 1) if len(parts) > n for a in range(len(parts) - n + 1)]
+        for unit, place, text in units:
+            own = licenses.pairs(text.split())
+            best = max(((2 * len(own & g) / (len(own) + len(g)), name) for name, g in grams.items()), default=(0, ""))
+            if own and best[0] >= threshold:
+                out.append((i, unit, place, best[1], best[0]))
+    return out
+
+
 def test_licenses(spark, odd_docs, empty_docs):
-    extra = spark.createDataFrame([(20, "Intro.\nreleased UNDER the mit license\nmore words here"), (21, licenses.TEMPLATES["MIT-text"].replace("whom", "whomever")), (22, "prose that mentions a license")], "doc_id long, text string")
-    got = {(r["doc_id"], r["line"]): (r["template"], r["dice"]) for r in licenses.scan(odd_docs.select("doc_id", "text", "score").unionByName(extra.withColumn("score", F.lit(1.0)))).collect()}
-    assert got[20, 2] == ("MIT", 1.0) and got[21, 0][0] == "MIT-text" and 0.8 <= got[21, 1][1] < 1 and {k[0] for k in got} == {20, 21}
-    assert licenses.scan(empty_docs).count() == 0
+    r, full = random.Random(2), licenses.TEMPLATES["MIT-full"]
+    wrapped = "\n".join("# " + x for p in full.split("\n\n") for x in [*re.findall(r".{1,60}(?: |$)", p), ""])
+    rows = [(20, "Intro.\nreleased UNDER the mit license\nmore words here"), (21, licenses.TEMPLATES["MIT-text"].replace("whom", "whomever")), (22, "prose that mentions a license"), (23, f"#!/bin/sh\n\n# Copyright 2020 A. Body\n\n{wrapped}\n\necho one\n\n\necho two"), (24, full), (25, "\n \n--\n")]
+    for i, (name, text) in enumerate(sorted(licenses.TEMPLATES.items())):
+        words = text.split(" ")
+        for share in (0, 5, 12, 20, 30):  # of each hundred words so many are changed
+            own = [("x" if r.random() < share / 100 else w) for w in words]
+            rows.append((100 + 10 * i + share, "Before it.\n\n" * r.randint(0, 1) + " ".join(own) + "\n\nAfter it, code\nand more" * r.randint(0, 2)))
+    extra = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licenses.scan(odd_docs.select("doc_id", "text", "score").unionByName(extra.withColumn("score", F.lit(1.0)))).collect()
+    assert counted(found) == counted(notices(rows, licenses.TEMPLATES))
+    got = {(x["doc_id"], x["unit"], x["place"]): (x["template"], x["dice"]) for x in found}
+    assert got[20, "line", "2"] == ("MIT", 1.0) and got[24, "text", "0"] == ("MIT-full", 1.0) and got[23, "paragraphs", "3-5"] == ("MIT-full", 1.0)
+    assert 0.8 <= got[21, "line", "1"][1] < 1 and not {22, 25} & {k[0] for k in got}
+    assert licenses.scan(empty_docs).count() == 0 and licenses.scan(extra, {}).count() == 0
+    known = [licenses.template_words(t) for t in licenses.TEMPLATES.values()]
+    kept = licenses.telling(known, 0.8)
+    for grams in map(licenses.pairs, known):  # no unit without a telling word gets near
+        left = {x for x in grams if not kept & set(x)}
+        assert all(2 * len(left) / (len(grams) + m) < 0.8 for m in range(max(len(left), licenses.bounds(len(grams), 0.8)[0]), 3 * len(grams)))
+    pattern = re.compile(licenses.any_word({"ab", "abc", "b", "abd"}))
+    assert [bool(pattern.search(x)) for x in ("ab", "x abc.", "xab", "abe", "(abd)", "a b", "ba")] == [True, True, False, False, True, True, False]
     for n in range(1, 60):  # the bounds lose nothing
         lo, hi = licenses.bounds(n, 0.8)
         for m in range(1, 120):
@@ -189,11 +224,23 @@ def test_sharding(spark, odd_docs, empty_docs):
     assert (small["nunique"] == 1).mean() > 0.9  # few groups are cut
     assert (got["size"] == got.doc_id.map(lambda i: len(text[i]) + 16)).all()
     assert (got.text_crc32 == got.doc_id.map(lambda i: zlib.crc32(text[i].encode()))).all()
+    assert small["nunique"].max() == 1
     odd = sharding.shard(odd_docs, 3).toPandas()
     assert len(odd) == odd_docs.count() and odd.groupby("shard").size().max() - odd.groupby("shard").size().min() <= 1
     assert sharding.shard(empty_docs).count() == 0 and sharding.shard(odd_docs.limit(2), 5).count() == 2
 
 
+def test_sharding_keeps_groups(spark):
+    """All rows are linked; a group just below a quota stays whole, one beyond it is cut as little as can be."""
+    sizes = [95, 230, *[3] * 125]
+    rows = [(100_000 * g + k, f"group {g}") for g, n in enumerate(sizes) for k in range(n)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 7).toPandas()
+    per = got.groupby("shard").size()
+    assert per.max() - per.min() <= 1 and len(got) == sum(sizes)
+    parts = got.assign(g=got.doc_id // 100_000).groupby("g").shard.nunique()
+    assert parts[0] == 1 and parts[1] == 3 and (parts[2:] > 1).sum() <= 7
+
+
 # 5
 
 def waterfill(sizes, weights=(5, 2, 1), share=1.5, epochs=2):
@@ -409,6 +456,63 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def linked(x):
+    """Numbers of links and components of vectors, by brute force."""
+    x = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    label = np.arange(len(x))
+    while True:
+        after = np.array([label[row].min() for row in near])
+        if (after == label).all():
+            return near.sum(1) - 1, label
+        label = after
+
+
+def test_embeddings_of_large_groups(spark, monkeypatch):
+    """Groups that lie in many cells and blocks, small groups at the cells' borders, and two levels of centres."""
+    r = np.random.default_rng(9)
+    parts = []
+    for size in (900, 400, *[30] * 8, *[4] * 100):
+        c = r.normal(size=32)
+        parts.append(c / np.linalg.norm(c) + 0.036 * r.normal(size=(size, 32)))
+    x = np.concatenate([*parts, r.normal(size=(400, 32))]).astype(np.float32)
+    x = x[r.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    n, label = linked(x)
+    for name, value in (("PER_CENTRE", 150), ("CENTRES", 4), ("BLOCK", 120), ("QUERIES", 500), ("SUB_SAMPLE", 300)):
+        monkeypatch.setattr(embeddings, name, value)
+    result = embeddings.near_duplicates(df)
+    got = result.toPandas().sort_values("vec_id")
+    assert (got.n_links.to_numpy() <= n).all() and got.n_links.sum() >= 0.98 * n.sum()
+    assert (got.component_id.to_numpy() == label).mean() > 0.98
+    assert embeddings.audit_recall(df, result, every=10) >= 0.95
+
+
+def test_embeddings_ids(spark):
+    """Different vectors with one id, null ids, an id of -1, and two lengths."""
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.01]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.01, 1.0]), (-1, [1.0, 1.0, 1.0]), (8, [1.0, 2.0]), (9, [1.0, 2.001]), (9, [0.0, -0.0])]
+    got = counted(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == counted([(5, 0, 5, True), (5, 1, 5, True), (7, 1, 5, False), (None, 1, None, True), (None, 1, None, True), (-1, 0, -1, True), (8, 1, 8, True), (9, 1, 8, False), (9, 0, 9, True)])
+    texts = embeddings.near_duplicates(spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.01])], "vec_id string, embedding array<float>"))
+    assert counted(texts.collect()) == counted([("a", 1, "a", True), ("b", 1, "a", False)])
+
+
+def test_pruned_graph():
+    """Lists hold the nearest and nothing that a kept neighbour is much nearer to."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = embeddings.pruned(x, np.arange(200), np.tile(np.arange(200), (200, 1)))
+    for i in range(0, 200, 20):
+        far = np.sqrt(np.maximum(0, 2 - 2 * x @ x[i]))
+        alive, want = [int(j) for j in np.argsort(far, kind="stable") if j != i], []
+        while alive and len(want) < embeddings.DEGREE:
+            j = alive.pop(0)
+            want.append(j)
+            alive = [k for k in alive if embeddings.ALPHA * np.sqrt(max(0, 2 - 2 * float(x[j] @ x[k]))) > far[k]]
+        assert [j for j in lists[i] if j >= 0] == want
+
+
 # 9
 
 def test_toxicity(spark, odd_docs, empty_docs):
