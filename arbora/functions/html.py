@@ -153,13 +153,22 @@ def items(x: Node, depth: int = 0) -> list[str]:
 
 
 def rows(x: Node) -> list[str]:
-    found = [[" ".join(inline(c).split()) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in x.walk() if r.tag == "tr"]
-    found = [r for r in found if r]
-    if not found:
+    """A table's lines without outer bars: header cells, or the first row's, then rows of as many cells."""
+    cell = lambda c: " ".join(c.text().split())
+    lines = [(r, [c for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")]) for r in x.walk() if r.tag == "tr"]
+    if not lines:
         return []
-    width = max(map(len, found))
-    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in found]
-    return [lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]
+    inside = {id(r) for h in x.walk() if h.tag == "thead" for r in h.walk()}
+    head = [c for n, (r, cells) in enumerate(lines) for c in cells if c.tag == "th" and (n == 0 or id(r) in inside)]
+    body = lines
+    if not head:
+        head, body = [c for c in lines[0][1] if c.tag == "td"], lines[1:]
+    names = [cell(c) for c in head] or [f"Column {i + 1}" for i in range(max(len(cells) for _, cells in lines))]
+    out = [" | ".join(names), " | ".join(["---"] * len(names))]
+    for _, cells in body:
+        if own := [cell(c) for c in cells if c.tag == "td"]:
+            out.append(" | ".join(own[: len(names)]) + " | " * max(0, len(names) - len(own)))
+    return out if names else []
 
 
 BLOCKS = frozenset("p div section article main body ul ol table blockquote pre h1 h2 h3 h4 h5 h6 hr header footer nav aside form dl dd dt figure #root html".split())
@@ -217,6 +226,18 @@ def markdown(pages: pd.Series) -> pd.Series:
     return pages.map(lambda x: None if x is None else to_markdown(x))
 
 
+def main_text(html: str) -> str:
+    """The plain text of the first usual container, or the body, without noise."""
+    root = tree(html)
+    found = next((x for x in root.walk() if x.tag in CONTENT_TAGS or x.attrs.get("id") in CONTENT_IDS or any(c in CONTENT_CLASSES for c in x.classes())), None)
+    return quiet(found or body(root)).text()
+
+
+@F.pandas_udf(T.StringType())
+def main_content(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda x: None if x is None else main_text(x))
+
+
 @F.pandas_udf(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     from html import unescape as plain

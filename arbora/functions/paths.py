@@ -22,6 +22,8 @@ READABLE = """
 .puml .plantuml .dot .gv .mmd .mermaid .sv .v .vh .svh .vhd .vhdl .tex .sty .cls .bib .bst .adoc .asciidoc .rst .rest .wiki .markdown
 .mdown .mkdn .mkd .mdwn .mdtxt .mdtext .text .creole .mediawiki .twig .j2 .jinja .jinja2 .njk .ejs .haml .pug .slim .styl .less .sass
 .scss .stylus .postcss .pcss .sss .coffee .litcoffee .iced .cson .pegjs .jison .jisonlex .lex .y .yacc .ebnf .bnf .abnf .peg
+.pegcoffee .pegiced .pegjison .peglex .pegy .pegyacc .pegebnf .pegbnf .pegabnf .pegpeg .pegpegjs .pegpegcoffee .pegpegiced
+.pegpegjison .pegpeglex .pegpegy .pegpegyacc .pegpegebnf .pegpegbnf .pegpegabnf
 """.split()
 
 # The language of a fenced block, by extension.
@@ -109,11 +111,11 @@ def is_readable(extension: Column, content: Column) -> Column:
 def is_binary(content: Column) -> Column:
     """By the first 8192 bytes: a zero byte, over 30 % control bytes, or invalid UTF-8 with over half of the bytes high."""
     head = F.substring(content.cast("binary"), 1, 8192)
-    pairs = F.regexp_replace(F.hex(head), "(..)", "$1 ")  # a byte as two digits and a space
+    signs = F.decode(head, "ISO-8859-1")  # a character for each byte
     n = F.octet_length(head)
-    control = F.regexp_count(pairs, F.lit("(0[1-8BCEF]|1[0-9A-F]) "))
-    high = F.regexp_count(pairs, F.lit("[89A-F][0-9A-F] "))
-    odd = F.regexp_like(pairs, F.lit("(^| )00 ")) | (control / n > 0.3) | (~F.call_function("is_valid_utf8", head.cast("string")) & (high / n > 0.5))
+    control = F.regexp_count(signs, F.lit("[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]"))
+    high = F.regexp_count(signs, F.lit("[\\x80-\\xFF]"))
+    odd = F.contains(signs, F.lit("\0")) | (control / n > 0.3) | (~F.call_function("is_valid_utf8", head.cast("string")) & (high / n > 0.5))
     return F.coalesce(n, F.lit(0)).cast("boolean") & odd
 
 
@@ -155,6 +157,11 @@ def human_size(size: Column) -> Column:
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" bytes"))).when(size < 1024**2, scaled(1, "KB")).when(size < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
+def page_url(url: Column) -> Column:
+    """With https:// where no scheme is given."""
+    return F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))
+
+
 def size_label(size: Column) -> Column:
     """B, KB or MB; empty for 0."""
     scaled = lambda k, unit: F.format_string(f"%.1f {unit}", F.bround(size / float(1024**k), 1))

@@ -121,7 +121,7 @@ def duration(seconds: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def two_decimals(values: pd.Series) -> pd.Series:
-    """Rounds the exact binary value."""
+    """Rounds the exact binary value, which the JVM's formats and casts to decimal don't: they round the shortest text of it."""
     return values.map(lambda v: None if pd.isna(v) else f"{v:.2f}")
 
 

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def parsed(text: Column) -> Column:
@@ -34,12 +35,20 @@ def pretty(text: Column) -> Column:
 
 
 def changed(text: Column, path: str, value: Column | None) -> Column:
-    """The document with a dotted path set to a JSON value, or deleted where that is null; maps on the way are made."""
+    """The document with a dotted path set to a JSON value, or deleted where that is null; maps on the way are made.
+
+    Null where the document isn't JSON; one that isn't a map stays as it is.
+    """
 
     @F.pandas_udf("string")
     def run(rows: pd.Series, values: pd.Series) -> pd.Series:
         def one(t, v):
-            doc = json.loads(t) if t else {}
+            try:
+                doc = json.loads(t) if t else {}
+            except ValueError:
+                return None  # not JSON
+            if not isinstance(doc, dict):
+                return t
             *way, last = path.split(".")
             at = doc
             for key in way:
@@ -76,6 +85,64 @@ def navigate(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.groupBy("query").agg(F.min(F.struct("rank", "key", "value")).alias("m")).select("query", "m.key", "m.value")
 
 
+def value_at(doc: Column, path: Column) -> Column:
+    """The JSON value at a dotted path of a document, null if there is none.
+
+    A step is a key, a key that holds dots itself, so that several parts of the path name it, a key without its extension
+    (the least of several), or a place in an array.
+    """
+
+    @F.pandas_udf("string")
+    def run(docs: pd.Series, ways: pd.Series) -> pd.Series:
+        absent = object()
+
+        def at(data, parts):
+            if not parts:
+                return data
+            if isinstance(data, list):
+                return at(data[int(parts[0])], parts[1:]) if parts[0].isdigit() and int(parts[0]) < len(data) else absent
+            if not isinstance(data, dict):
+                return absent
+            steps = [(".".join(parts[:n]), n) for n in range(1, len(parts) + 1)]
+            steps += [(k, 1) for k in sorted(data) if k.rfind(".") > 0 and k[: k.rfind(".")] == parts[0]]
+            for key, n in steps:
+                if key in data and (found := at(data[key], parts[n:])) is not absent:
+                    return found
+            return absent
+
+        def one(t, p):
+            try:
+                found = at(json.loads(t), p.split("."))
+            except (TypeError, ValueError, AttributeError):
+                return None
+            return None if found is absent else json.dumps(found, ensure_ascii=False)
+
+        return pd.Series([one(t, p) for t, p in zip(docs, ways, strict=True)], dtype=object)
+
+    return run(doc, path)
+
+
+def maps_first(rows: DataFrame, keys: str = "key", values: str = "value") -> DataFrame:
+    """An order of JSON entries: maps, then others, each by key."""
+    return rows.orderBy(F.desc(F.startswith(F.ltrim(values), F.lit("{"))), keys)
+
+
+def config_document(rows: DataFrame) -> DataFrame:
+    """document: top-level entries (key, value as JSON) as one object in key order, indented by two spaces."""
+    entry = F.concat(F.lit("  "), F.to_json(F.array(F.col("key"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("key")))) - 2), F.lit(": "), F.col("value"))
+    lines = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", entry.alias("line")))), lambda x: x["line"]), ",\n").alias("_body"))
+    return lines.select(F.when(F.col("_body") == "", "{}").otherwise(F.concat(F.lit("{\n"), "_body", F.lit("\n}"))).alias("document"))
+
+
+def write_back(entries: DataFrame, target: str, config: str) -> None:
+    """Entries (key, value, kind) below target: kind file writes the text under its key, any other goes to the configuration document."""
+    from arbora.operators import packing
+
+    rows = entries.where("kind <> 'file'")
+    document = config_document(rows).where(F.col("document") != "{}").select(F.lit(config).alias("path"), F.col("document").alias("text"))
+    packing.write_files(entries.where("kind = 'file'").select(F.col("key").alias("path"), F.col("value").alias("text")).unionByName(document), target)
+
+
 def flattened(docs: DataFrame, depth: int = 0) -> DataFrame:
     """name, key, value: leaves of JSON objects by dotted key, at most so many levels down (0: all)."""
 
@@ -106,10 +173,26 @@ def deleted(target: DataFrame, prefix: str) -> DataFrame:
 
 
 def merged(base: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows by key; columns of other that are neither null nor a zero value win."""
+    """Rows by key; columns of other that are neither null nor a zero value win, those of a struct field by field."""
     o = other.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
-    zero = lambda c: F.col(c).isNull() | F.col(c).cast("string").isin("", "0", "0.0", "false")
-    return base.join(o, key, "left").select(key, *[F.when(zero(f"_{c}"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in columns])
+
+    def zero(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return F.coalesce(x == "", F.lit(True))
+        if isinstance(kind, T.BooleanType):
+            return ~F.coalesce(x, F.lit(False))
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return F.coalesce(F.size(x) <= 0, F.lit(True))
+        return F.coalesce(x == F.lit(0).cast(kind), F.lit(True)) if isinstance(kind, T.NumericType) else x.isNull()
+
+    def one(c: str) -> Column:
+        kind = other.schema[c].dataType
+        if isinstance(kind, T.StructType):
+            own = [F.when(zero(F.col(f"_{c}")[f.name], f.dataType), F.col(c)[f.name]).otherwise(F.col(f"_{c}")[f.name]).alias(f.name) for f in kind.fields]
+            return F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.struct(*own)).alias(c)
+        return F.when(zero(F.col(f"_{c}"), kind), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+
+    return base.join(o, key, "left").select(key, *map(one, columns))
 
 
 def catalog_search(catalog: DataFrame, query: str) -> DataFrame:

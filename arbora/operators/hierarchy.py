@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +42,19 @@ def file_hashes(nodes: DataFrame) -> DataFrame:
 def merkle(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """path, hash: of a file its SHA-256, of a directory that of its children's hashes in the order of their names.
 
-    One pass a level, from the deepest up; a level's rows are hashes only.
+    Files are hashed once, in one pass; the hashes are kept by the executors (memory or disk, made again if lost) while one
+    pass a level, from the deepest up, folds them.
     """
-    deepest = max_depth if max_depth is not None else nodes.agg(F.max("depth")).first()[0] or 0
-    known = nodes.where(~F.col("is_dir")).select("path", "parent_path", "name", "depth", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
-    dirs = nodes.where("is_dir").select("path", "parent_path", "name", "depth")
-    done = known
-    level = known.where(F.col("depth") == deepest)
+    own = F.when(~F.col("is_dir"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    known = nodes.select("path", "parent_path", "name", "depth", "is_dir", own.alias("hash")).persist(StorageLevel.MEMORY_AND_DISK)
+    deepest = max_depth if max_depth is not None else known.agg(F.max("depth")).first()[0] or 0
+    files, dirs = known.where(~F.col("is_dir")).drop("is_dir"), known.where("is_dir").drop("is_dir", "hash")
+    done, level = files, files.where(F.col("depth") == deepest)
     for d in range(deepest - 1, -1, -1):
         joined = level.groupBy(F.col("parent_path").alias("path")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "hash"))), lambda x: x["hash"]), ""), 256).alias("_hash"))
-        own = dirs.where(F.col("depth") == d).join(joined, "path", "left").select("path", "parent_path", "name", "depth", F.coalesce("_hash", F.sha2(F.concat(F.lit("empty_dir:"), "name"), 256)).alias("hash"))
-        done = done.unionByName(own)
-        level = own.unionByName(known.where(F.col("depth") == d))
+        folded = dirs.where(F.col("depth") == d).join(joined, "path", "left").select("path", "parent_path", "name", "depth", F.coalesce("_hash", F.sha2(F.concat(F.lit("empty_dir:"), "name"), 256)).alias("hash"))
+        done = done.unionByName(folded)
+        level = folded.unionByName(files.where(F.col("depth") == d))
     return done.select("path", "hash")
 
 
@@ -66,17 +68,31 @@ def shown(nodes: DataFrame, files: bool = True, hidden: bool = False, max_depth:
 def tree_lines(nodes: DataFrame) -> DataFrame:
     """path, line: a node's line in a drawn tree; lines in the order of the paths' segments draw it.
 
-    The last of its siblings is found by the largest name, so that no directory's children meet in one task.
+    The last of its siblings is found by the largest name, so that no directory's children meet in one task. A node looks
+    up itself and the directories above it in one join.
     """
-    last = nodes.where("path <> '/'").groupBy("parent_path").agg(F.max("name").alias("_last"))
-    flags = nodes.where("path <> '/'").join(last, "parent_path").select("path", (F.col("name") == F.col("_last")).alias("_end"))
+    below = nodes.where("path <> '/'").select("path", "parent_path", "name", "is_dir", "size")
+    last = below.groupBy(F.col("parent_path").alias("_in")).agg(F.max("name").alias("_last"))
     label = F.when(F.col("is_dir"), F.concat("name", F.lit("/"))).otherwise(F.concat("name", F.when(F.col("size") > 0, F.concat(F.lit(" ("), "size", F.lit(" bytes)"))).otherwise("")))
-    own = nodes.where("path <> '/'").join(flags, "path").select("path", label.alias("_label"), "_end")
-    up = own.select("path", F.explode(F.slice(paths.ancestors(F.col("path")), 2, F.greatest(paths.depth(F.col("path")) - 1, F.lit(0)))).alias("_up"))
-    bars = up.join(flags.select(F.col("path").alias("_up"), F.col("_end").alias("_up_end")), "_up").groupBy("path").agg(F.array_sort(F.collect_list(F.struct(paths.depth(F.col("_up")).alias("d"), F.when(F.col("_up_end"), "    ").otherwise("│   ").alias("bar")))).alias("_bars"))
-    line = F.concat(F.coalesce(F.array_join(F.col("_bars.bar"), ""), F.lit("")), F.when(F.col("_end"), "└── ").otherwise("├── "), "_label")
-    drawn = own.join(bars, "path", "left").select("path", line.alias("line"))
-    return nodes.where("path = '/'").select("path", F.lit(".").alias("line")).unionByName(drawn)
+    s = paths.segments(F.col("path"))
+    way = below.select("path", label.alias("_label"), F.size(s).alias("_depth"), s.alias("_s"), F.posexplode(paths.ancestors(F.col("path"))).alias("_at", "_in"))
+    ends = way.join(last, "_in").select("path", "_label", "_depth", "_at", (F.element_at("_s", F.col("_at") + 1) == F.col("_last")).alias("_end"))
+    mark = F.when(F.col("_at") == F.col("_depth") - 1, F.when(F.col("_end"), "└── ").otherwise("├── ")).otherwise(F.when(F.col("_end"), "    ").otherwise("│   "))
+    drawn = ends.select("path", "_label", "_at", mark.alias("_mark")).groupBy("path").agg(F.first("_label").alias("_label"), F.array_sort(F.collect_list(F.struct("_at", "_mark"))).alias("_marks"))
+    return nodes.where("path = '/'").select("path", F.lit(".").alias("line")).unionByName(drawn.select("path", F.concat(F.array_join(F.col("_marks._mark"), ""), "_label").alias("line")))
+
+
+def directories_first(nodes: DataFrame) -> DataFrame:
+    """Siblings' order in a listing: directories, then files, by name."""
+    return nodes.orderBy(F.desc("is_dir"), "name")
+
+
+def tree_from_paths(paths_: DataFrame) -> DataFrame:
+    """Nodes of a list of file paths (path, size) and of the directories above them."""
+    files = paths_.select(paths.normal(F.col("path")).alias("path"), "size").withColumn("is_dir", F.lit(False))
+    dirs = files.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct().select("path", F.lit(0).cast("long").alias("size"), F.lit(True).alias("is_dir"))
+    every = files.unionByName(dirs)
+    return every.select("path", paths.parent(F.col("path")).alias("parent_path"), paths.name(F.col("path")).alias("name"), "is_dir", paths.depth(F.col("path")).alias("depth"), F.when(~F.col("is_dir"), paths.ext(F.col("path"))).otherwise("").alias("ext"), "size")
 
 
 def process(nodes: DataFrame, f: Callable[[Column], Column], *columns: str) -> DataFrame:
@@ -105,6 +121,7 @@ def process_python(nodes: DataFrame, f: Callable[[dict], str]) -> DataFrame:
 
 
 def by_level(nodes: DataFrame, f: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
-    """A function of each level's nodes, from the root down."""
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    return [] if deepest is None else [f(nodes.where(F.col("depth") == d)) for d in range(deepest + 1)]
+    """A function of each level's nodes, from the root down. The nodes are made once and kept by the executors for the levels' passes."""
+    held = nodes.persist(StorageLevel.MEMORY_AND_DISK)
+    deepest = held.agg(F.max("depth")).first()[0]
+    return [] if deepest is None else [f(held.where(F.col("depth") == d)) for d in range(deepest + 1)]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.functions import paths, text
+from arbora.functions import golang, paths, text
 
 
 def included(path: Column, hidden: bool = False, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
@@ -29,11 +32,18 @@ def header(title: str) -> str:
 
 
 FOOTER = "\n---\n"
+#: Formats by name: a function of path, content and size. Unknown names mean Markdown.
+FORMATS: dict[str, Callable[[Column, Column, Column], Column]] = {"markdown": block, "md": block}
+
+
+def formatter(name: str) -> Callable[[Column, Column, Column], Column]:
+    return FORMATS.get(name.lower(), block)
 
 
-def packed(files: DataFrame, **filters) -> DataFrame:
+def packed(files: DataFrame, kind: str = "markdown", **filters) -> DataFrame:
     """path, block for each file packed; path order is the document's order."""
-    return files.where(included(F.col("path"), **filters)).where(~paths.is_binary(F.col("text"))).select("path", block(F.col("path"), F.col("text"), F.col("size")).alias("block"))
+    shown = formatter(kind)(F.col("path"), F.col("text"), F.col("size"))
+    return files.where(included(F.col("path"), **filters)).where(~paths.is_binary(F.col("text"))).select("path", shown.alias("block"))
 
 
 def write_packed(files: DataFrame, target: str, title: str, **filters) -> None:
@@ -50,31 +60,52 @@ def as_string(files: DataFrame, title: str, **filters) -> str:
     return header(title) + "".join(r[0] for r in packed(files, **filters).orderBy("path").select("block").toLocalIterator()) + FOOTER
 
 
+def section() -> Column:
+    """A file's part of a batch."""
+    return F.concat(F.lit("// FILE: "), "path", F.lit("\n"), "text", F.lit("\n\n"))
+
+
 def directory_batches(files: DataFrame) -> DataFrame:
     """dir, files, bytes, tokens, of each directory's files with their // FILE: headers."""
-    section = F.concat(F.lit("// FILE: "), "path", F.lit("\n"), "text", F.lit("\n\n"))
-    rows = files.select(paths.parent(F.col("path")).alias("dir"), "path", F.octet_length(section).cast("long").alias("_bytes"), text.tokens(section).alias("_tokens"))
+    rows = files.select(paths.parent(F.col("path")).alias("dir"), F.octet_length(section()).cast("long").alias("_bytes"), text.tokens(section()).alias("_tokens"))
     return rows.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.sum("_bytes").alias("bytes"), F.sum("_tokens").alias("tokens"))
 
 
+def directory_texts(files: DataFrame) -> DataFrame:
+    """dir, text: the sections of a directory's files in path order. For directories that fit a row; batch_texts() bounds them."""
+    rows = files.select(paths.parent(F.col("path")).alias("dir"), "path", section().alias("_part"))
+    return rows.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("path", "_part"))).alias("_all")).select("dir", F.array_join(F.col("_all._part"), "").alias("text"))
+
+
 def token_batches(files: DataFrame, limit: int) -> DataFrame:
     """path, dir, batch (from 1), tokens: files of a directory in path order, a new batch where the sum would pass the limit.
 
-    A file above the limit is alone in its batch. The fold is over (path, tokens), not over texts.
+    A file above the limit is alone in its batch. Each batch depends on the one before, so a directory's paths and token
+    counts are read in order by one task; it holds an Arrow batch of them at a time, no texts and no whole directory.
     """
-    section = F.concat(F.lit("// FILE: "), "path", F.lit("\n"), "text", F.lit("\n\n"))
-    rows = files.select(paths.parent(F.col("path")).alias("dir"), F.struct("path", text.tokens(section).alias("tokens")).alias("f"))
-    state = "struct<batch:int, used:int, out:array<struct<path:string, tokens:int, batch:int>>>"
+    rows = files.select(paths.parent(F.col("path")).alias("dir"), "path", text.tokens(section()).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, used = None, 0, 0
+        for b in batches:
+            out = []
+            for d, n in zip(b.column("dir").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+                if d != now:
+                    now, number, used = d, 1, n
+                elif used + n > limit:
+                    number, used = number + 1, n
+                else:
+                    used += n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("dir"), pa.array(out, pa.int32()), b.column("tokens")], names=["path", "dir", "batch", "tokens"])
+
+    return rows.repartition("dir").sortWithinPartitions("dir", "path").mapInArrow(run, "path string, dir string, batch int, tokens int")
 
-    def step(acc: Column, f: Column) -> Column:
-        fresh = (acc["batch"] == 0) | (acc["used"] + f["tokens"] > limit)
-        batch = F.when(fresh, acc["batch"] + 1).otherwise(acc["batch"])
-        used = F.when(fresh, f["tokens"]).otherwise(acc["used"] + f["tokens"])
-        return F.struct(batch.alias("batch"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(f["path"].alias("path"), f["tokens"].alias("tokens"), batch.alias("batch")))).alias("out")).cast(state)
 
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<struct<path:string, tokens:int, batch:int>>").alias("out")).cast(state)
-    folded = rows.groupBy("dir").agg(F.aggregate(F.array_sort(F.collect_list("f")), start, step).alias("s"))
-    return folded.select("dir", F.explode("s.out").alias("x")).select("x.path", "dir", "x.batch", "x.tokens")
+def batch_texts(files: DataFrame, limit: int) -> DataFrame:
+    """dir, batch, text: the sections of a batch's files in path order; a batch holds limit tokens, or one larger file."""
+    rows = token_batches(files, limit).join(files.select("path", section().alias("_part")), "path")
+    return rows.groupBy("dir", "batch").agg(F.array_sort(F.collect_list(F.struct("path", "_part"))).alias("_all")).select("dir", "batch", F.array_join(F.col("_all._part"), "").alias("text"))
 
 
 def skipped(batches: DataFrame, types: str = "types", funcs: str = "funcs") -> DataFrame:
@@ -84,20 +115,31 @@ def skipped(batches: DataFrame, types: str = "types", funcs: str = "funcs") -> D
 
 
 def code_index(files: DataFrame) -> DataFrame:
-    """dir, types, funcs: names that Go files declare, sorted."""
-    go = files.where(paths.ext(F.col("path")) == ".go")
-    names = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(1))
-    rows = go.select(paths.parent(F.col("path")).alias("dir"), names(r"(?m)^type\s+([A-Za-z_]\w*)").alias("t"), names(r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)").alias("f"))
-    return rows.groupBy("dir").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("types"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("funcs"))
+    """dir, types (name, kind, fields), funcs (name, receiver) that Go files declare, sorted by name; of equal names in a directory the last file's."""
+    go = files.where(paths.ext(F.col("path")) == ".go").select(paths.parent(F.col("path")).alias("dir"), "path", golang.declared("text").alias("d"))
+    kept = lambda kind: go.select("dir", "path", F.explode(f"d.{kind}").alias("x")).groupBy("dir", F.col("x.name").alias("name")).agg(F.max_by("x", "path").alias("x")).groupBy("dir").agg(F.array_sort(F.collect_list("x")).alias(kind))
+    return go.select("dir").distinct().join(kept("types"), "dir", "left").join(kept("funcs"), "dir", "left")
+
+
+def code_index_text(index: DataFrame) -> DataFrame:
+    """dir, text: a code index as a prompt's section."""
+    name = lambda x: F.concat(F.lit("`"), x, F.lit("`"))
+    fields = lambda t: F.when(F.size(t["fields"]) > 0, F.concat(F.lit("字段/方法:\n"), F.array_join(F.transform(t["fields"], lambda f: F.concat(F.lit("- "), name(f), F.lit("\n"))), ""))).otherwise("")
+    types = F.array_join(F.transform("types", lambda t: F.concat(F.lit("### "), name(t["name"]), F.lit(" ("), t["kind"], F.lit(")\n"), fields(t), F.lit("\n"))), "")
+    method = lambda f: F.when(f["receiver"].isNull(), F.lit(" (函数)\n")).otherwise(F.concat(F.lit(" (方法，接收者: "), name(f["receiver"]), F.lit(")\n")))
+    funcs = F.array_join(F.transform("funcs", lambda f: F.concat(F.lit("- "), name(f["name"]), method(f))), "")
+    part = lambda what, column, body, end: F.when(F.size(column) > 0, F.concat(F.lit(f"## 📋 代码中实际存在的{what}（只能使用这些）\n\n"), body, F.lit(end))).otherwise("")
+    return index.select("dir", F.concat(part("类型", "types", types, ""), part("函数/方法", "funcs", funcs, "\n")).alias("text"))
 
 
 def first_per_module(files: DataFrame, modules: int = 30, each: int = 5) -> DataFrame:
-    """dir, shown (the first paths), more: of the first directories by name."""
+    """dir, shown (the first paths), more: of the first directories by name. Ranks are cut before the shuffle."""
     by = files.select(paths.parent(F.col("path")).alias("dir"), "path")
-    top = by.select("dir").distinct().orderBy("dir").limit(modules)
-    # the first paths of a directory: sorted and cut in the aggregate's buffer of its files' names
-    rows = by.join(F.broadcast(top), "dir").groupBy("dir").agg(F.array_sort(F.collect_list("path")).alias("_all"))
-    return rows.select("dir", F.slice("_all", 1, each).alias("shown"), F.greatest(F.size("_all") - each, F.lit(0)).alias("more"))
+    top = by.groupBy("dir").agg(F.count(F.lit(1)).alias("_n")).orderBy("dir").limit(modules)
+    rank = F.row_number().over(Window.partitionBy("dir").orderBy("path"))
+    first = by.withColumn("_rank", rank).where(F.col("_rank") <= each).join(F.broadcast(top), "dir")
+    rows = first.groupBy("dir").agg(F.array_sort(F.collect_list("path")).alias("shown"), F.first("_n").alias("_n"))
+    return rows.select("dir", "shown", F.greatest(F.col("_n") - each, F.lit(0)).cast("int").alias("more"))
 
 
 def markdown_directories(files: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Defaults of splitting and retrieval.
-CHUNK, LAPPING, TOP = 1000, 200, 4
+CHUNK, LAPPING, TOP, EMBED_BATCH = 1000, 200, 4, 25
+#: Queries that a task holds at once.
+QUERIES = 1_000
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
@@ -87,15 +92,76 @@ def top_k(vectors: DataFrame, query: list[float], k: int = TOP, threshold: float
     return vectors.select("vec_id", score("embedding").alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """query_id, vec_id, score, rank for a small table of queries (query_id, embedding): partial top k by max_by, then the final one."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    pairs = vectors.crossJoin(F.broadcast(q)).where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("_q")).alias("score"))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    best = lambda c: F.slice(F.sort_array(F.collect_list(c), False), 1, k)
-    local = pairs.groupBy("query_id", part.alias("_part")).agg(best(F.struct("score", (-F.col("vec_id")).alias("n"))).alias("b"))
-    final = local.select("query_id", F.explode("b").alias("x")).groupBy("query_id").agg(best(F.col("x")).alias("b"))
-    return final.select("query_id", F.posexplode("b").alias("rank", "x")).select("query_id", (-F.col("x.n")).alias("vec_id"), F.col("x.score").alias("score"), "rank")
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = QUERIES) -> DataFrame:
+    """query_id, vec_id, score, rank for a table of queries (query_id, embedding), each against all vectors but itself.
+
+    Queries are taken so many at a time, one pass over the vectors for each block of them; a task keeps the k best of each
+    query while it reads, so a partition gives k rows a query, and ranks are found among those.
+    """
+    spark, out, held = vectors.sparkSession, None, []
+
+    def scored(part: list) -> DataFrame:
+        ids = np.array([r[0] for r in part], dtype=np.int64)
+        rows = np.stack([np.asarray(r[1], dtype=np.float64) for r in part])
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast((ids, rows / np.where(length > 0, length, 1)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, rows = shared.value
+            best, who = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, dtype=np.int64)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                size = np.linalg.norm(x, axis=1)
+                names = b.column(0).to_numpy()
+                scores = rows @ (x / np.where(size > 0, size, 1)[:, None]).T
+                scores[(names[None, :] == ids[:, None])] = -np.inf
+                scores, all_ = np.concatenate([best, scores], axis=1), np.concatenate([who, np.broadcast_to(names, scores.shape)], axis=1)
+                order = np.lexsort((all_, -scores), axis=1)[:, :k]
+                best, who = np.take_along_axis(scores, order, 1), np.take_along_axis(all_, order, 1)
+            q, place = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(who[q, place]), pa.array(best[q, place])], names=["query_id", "vec_id", "score"])
+
+        return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+
+    for row in queries.select(F.col("query_id").cast("long"), "embedding").toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            out, held = scored(held) if out is None else out.unionByName(scored(held)), []
+    if held:
+        out = scored(held) if out is None else out.unionByName(scored(held))
+    if out is None:
+        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("rank", rank - 1).where(F.col("rank") < k)
+
+
+def embedded(docs: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = EMBED_BATCH) -> DataFrame:
+    """doc_id, embedding: what a model makes of the texts, so many at a call."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "embedding": [list(map(float, v)) for v in model(part["text"].fillna("").tolist())]})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, embedding array<float>")
+
+
+def dimension(model: Callable[[list[str]], list[list[float]]]) -> int:
+    """The length of a model's vectors, told by one call."""
+    return len(model(["ping"])[0])
+
+
+def upserted(index: DataFrame, new: DataFrame, key: str = "vec_id") -> DataFrame:
+    """The index with new vectors in place of those of the same key."""
+    return index.join(new.select(key), key, "left_anti").unionByName(new.select(*index.columns))
+
+
+def append_vectors(new: DataFrame, path: str) -> None:
+    """Adds vectors to a stored index; a reader takes the last of a key by latest()."""
+    new.withColumn("stored_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def changes(stored: DataFrame, current: DataFrame) -> DataFrame:

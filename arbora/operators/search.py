@@ -47,9 +47,9 @@ def search(
     by_text = text_match(F.col("text"), content, content_regex, ignore_case)
     if by_text is not None:
         by_text = ~F.col("is_dir") & F.coalesce(by_text, F.lit(False))
-    conditions = [x for x in (by_name, by_text) if x is not None]
-    if conditions:
-        out = out.where(reduce(lambda a, b: a | b, conditions) if any_of else reduce(lambda a, b: a & b, conditions))
+    both = [x for x in (by_name, by_text) if x is not None]
+    if both:
+        out = out.where(reduce(lambda a, b: a | b, both) if any_of else reduce(lambda a, b: a & b, both))
     return out.limit(limit) if limit else out
 
 
@@ -59,6 +59,33 @@ def not_excluded(path: Column, globs: list[str]) -> Column:
     return ~reduce(lambda a, b: a | b, hits) if hits else F.lit(True)
 
 
+def conditions(query: str = "", **explicit: str) -> dict[str, str]:
+    """What search() is asked for: explicit conditions, or, without any, the query as part of a name."""
+    given = {k: v for k, v in explicit.items() if v}
+    if not given and not query:
+        raise ValueError("a query or a condition is needed")
+    return given or {"name": query}
+
+
+def root_ignored(path: Column, rules: list[str]) -> Column:
+    """Rules of the root's ignore file alone: with a leading slash the whole path fits, without one the name fits or the path holds the rule."""
+    rel, name = F.ltrim(path, F.lit("/")), paths.name(path)
+    hits = []
+    for r in rules:
+        if r.startswith("/"):
+            hits.append(F.rlike(rel, F.lit(glob_regex(r[1:]))))
+        else:
+            hits += [F.rlike(name, F.lit(glob_regex(r))), F.contains(rel, F.lit(r))]
+    return reduce(lambda a, b: a | b, hits) if hits else F.lit(False)
+
+
+def name_ignored(path: Column, rules: list[str]) -> Column:
+    """Rules that look at names only, a slash at their end left out; negations and comments are passed over."""
+    kept = [r.strip() for r in rules if r.strip() and not r.strip().startswith(("#", "!"))]
+    hits = [F.rlike(paths.name(path), F.lit(glob_regex(r.removesuffix("/")))) for r in kept]
+    return reduce(lambda a, b: a | b, hits) if hits else F.lit(False)
+
+
 def rule_regex(dir_: Column, rule: Column) -> Column:
     """A pattern over paths: a rule with a leading slash is anchored at the root, any other fits a component; both below its directory."""
     body = F.regexp_replace(rule, "/$", "")

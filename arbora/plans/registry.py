@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.functions import html, parallel, paths, text
-from arbora.operators import blame, documents, hierarchy, packing, retrieval, search
+from arbora.operators import blame, documents, editing, hierarchy, packing, retrieval, search
 from arbora.sources import files as sources
 from arbora.sources import tables
 from arbora.streaming import changes
@@ -271,10 +272,41 @@ def markdown_dirs(spark, d):
     return packing.markdown_directories(_files(spark, d))
 
 
-@query()
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """Go files: each document's text stands in a comment and a raw string among declarations that its path makes."""
+    n = F.octet_length("path").cast("string")
+    body = F.concat(F.lit("package p\n\n/* "), F.regexp_replace("text", "[*`]", ""), F.lit(" */\ntype (\n\tT"), n, F.lit(" struct {\n\t\tA, B int `json:\"a\"`\n\t\tBase\n\t}\n\tI interface { Get() int }\n)\n\nfunc (t *T"), n, F.lit(") Get() int { return 1 }\nfunc New"), n, F.lit("() {}\nvar s = `func No() {}\n"), F.regexp_replace("text", "`", ""), F.lit("`\n"))
+    return _files(spark, d).withColumn("text", body)
+
+
+_CODE = f"{FILES}, c AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir, strlen(path)::VARCHAR AS n FROM files WHERE path LIKE '%.go'), g AS (SELECT dir, list(DISTINCT n ORDER BY n) AS ns, max(n) AS last FROM c GROUP BY dir), l AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, strlen(arg_max(path, path))::VARCHAR AS last FROM files WHERE path LIKE '%.go' GROUP BY 1)"
+
+
+@query(f"WITH {_CODE} SELECT g.dir, 'I:interface:Get,' || array_to_string(list_transform(list_sort(ns), lambda n: 'T' || n || ':struct:A+B'), ',') AS types, 'Get:T' || l.last || ',' || array_to_string(list_transform(list_sort(ns), lambda n: 'New' || n || ':'), ',') AS funcs FROM g JOIN l USING (dir)")
 def code_index(spark, d):
-    code = _files(spark, d).withColumn("text", F.concat(F.lit("package p\n\ntype T"), F.octet_length("path"), F.lit(" struct {}\n\nfunc (t *T) Get() {}\nfunc New"), F.octet_length("path"), F.lit("() {}\n")))
-    return packing.code_index(code).select("dir", F.array_join("types", ",").alias("types"), F.array_join("funcs", ",").alias("funcs"))
+    types = F.transform("types", lambda t: F.concat_ws(":", t["name"], t["kind"], F.array_join(t["fields"], "+")))
+    funcs = F.transform("funcs", lambda f: F.concat(f["name"], F.lit(":"), F.coalesce(f["receiver"], F.lit(""))))
+    return packing.code_index(_code(spark, d)).select("dir", F.array_join(types, ",").alias("types"), F.array_join(funcs, ",").alias("funcs"))
+
+
+@query(f"""WITH {_CODE} SELECT g.dir, '## 📋 代码中实际存在的类型（只能使用这些）' || chr(10) || chr(10) || '### `I` (interface)' || chr(10) || '字段/方法:' || chr(10) || '- `Get`' || chr(10) || chr(10) || array_to_string(list_transform(list_sort(ns), lambda n: '### `T' || n || '` (struct)' || chr(10) || '字段/方法:' || chr(10) || '- `A`' || chr(10) || '- `B`' || chr(10) || chr(10)), '')
+|| '## 📋 代码中实际存在的函数/方法（只能使用这些）' || chr(10) || chr(10) || '- `Get` (方法，接收者: `T' || l.last || '`)' || chr(10) || array_to_string(list_transform(list_sort(ns), lambda n: '- `New' || n || '` (函数)' || chr(10)), '') || chr(10) AS text FROM g JOIN l USING (dir)""")
+def code_index_text(spark, d):
+    return packing.code_index_text(packing.code_index(_code(spark, d)))
+
+
+@query(f"WITH {NODES} SELECT parent_path AS dir, string_agg('// FILE: ' || path || chr(10) || text || chr(10) || chr(10), '' ORDER BY path) AS text FROM nodes WHERE NOT is_dir GROUP BY 1")
+def dir_texts(spark, d):
+    return packing.directory_texts(_files(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {NODES}, s AS (SELECT parent_path AS dir, path, '// FILE: ' || path || chr(10) || text || chr(10) || chr(10) AS part, (strlen('// FILE: ' || path || chr(10) || text || chr(10) || chr(10)) // 4)::INTEGER AS tokens, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS n FROM nodes WHERE NOT is_dir),
+r AS (SELECT dir, part, path, tokens, n, 1 AS batch, tokens AS used FROM s WHERE n = 1 UNION ALL SELECT s.dir, s.part, s.path, s.tokens, s.n, CASE WHEN r.used + s.tokens > 5000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.used + s.tokens > 5000 THEN s.tokens ELSE r.used + s.tokens END FROM r JOIN s ON s.dir = r.dir AND s.n = r.n + 1)
+SELECT dir, batch, md5(string_agg(part, '' ORDER BY path)) AS sum FROM r GROUP BY ALL"""
+)
+def batch_texts(spark, d):
+    return packing.batch_texts(_files(spark, d), 5000).select("dir", "batch", F.md5("text").alias("sum"))
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ' || chr(9) || chr(10) || chr(13)) AS title FROM pages")
@@ -294,7 +326,7 @@ def page_markdown(spark, d):
 
 @query("SELECT page_id, CASE WHEN url LIKE '%://%' THEN url ELSE 'https://' || url END AS url FROM pages")
 def page_url(spark, d):
-    return tables.table(spark, d, "pages").select("page_id", F.when(F.contains("url", F.lit("://")), F.col("url")).otherwise(F.concat(F.lit("https://"), "url")).alias("url"))
+    return tables.table(spark, d, "pages").select("page_id", paths.page_url(F.col("url")).alias("url"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS cut, (strlen(text) // 4)::INTEGER AS tokens FROM documents")
@@ -476,4 +508,188 @@ def slugs(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", text.slug(t).alias("slug"), text.file_slug(t).alias("file"))
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "documents")
+
+
+@query("SELECT doc_id, trim(text) AS text FROM documents")
+def ansi_stripped(spark, d):
+    marked = F.concat(F.lit("\x1b[1;31m"), F.substring("text", 1, 5), F.lit("\x1b[0m"), F.expr("substring(text, 6)"), F.lit("\x1b[K"))
+    return _docs(spark, d).select("doc_id", text.strip_ansi(marked).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 80 THEN CASE WHEN strlen(substring(text, 1, 80)) = 80 THEN substring(text, 1, 80) ELSE NULL END || '...' ELSE text END AS cut FROM documents WHERE strlen(substring(text, 1, 80)) = length(substring(text, 1, 80))")
+def text_cut_bytes(spark, d):
+    return _docs(spark, d).where(F.octet_length(F.substring("text", 1, 80)) == F.length(F.substring("text", 1, 80))).select("doc_id", text.cut_bytes(F.col("text"), 80).alias("cut"))
+
+
+@query("SELECT doc_id, 'package p' || chr(10) || 'func F' || doc_id || '() {' || chr(10) || '  type X int' AS signatures FROM documents")
+def code_signatures(spark, d):
+    code = F.concat(F.lit("package p\n// comment\nfunc F"), "doc_id", F.lit("() {\n  type X int\n  return\n}\nfunction no\n"))
+    return _docs(spark, d).select("doc_id", text.signatures(code).alias("signatures"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN '{' || 'x' || event_id || '}' ELSE props END AS json FROM events")
+def json_fenced(spark, d):
+    e, i = tables.table(spark, d, "events"), F.col("event_id")
+    raw = F.when(i % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone {}"))).when(i % 3 == 1, F.concat(F.lit("so "), "props", F.lit(" it is"))).otherwise(F.concat(F.lit("{x"), i, F.lit("} end")))
+    return e.select("event_id", text.json_in(raw).alias("json"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'about ' || lang END AS description FROM documents")
+def front_matter(spark, d):
+    block = F.concat(F.lit('---\ntitle: x\ndescription: "about '), "lang", F.lit('"\n---\n'), "text")
+    return _docs(spark, d).select("doc_id", text.front_matter(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("description: no\n"), "text")).otherwise(block)).alias("description"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' WHEN 2 THEN 'Y' WHEN 3 THEN 'N' ELSE upper(event_type) END AS answer FROM events")
+def yes_no(spark, d):
+    raw = F.element_at(F.array(F.lit(" yes "), F.lit("否"), F.lit("ｙ"), F.lit("no"), F.col("event_type")), (F.col("event_id") % 5 + 1).cast("int"))
+    return tables.table(spark, d, "events").select("event_id", text.yes_no(raw).alias("answer"))
+
+
+@query("SELECT event_id, event_id BETWEEN 1 AND 65535 AND event_id % 7 <> 0 AS ok, 'APP_' || upper(event_type) AS key FROM events")
+def ports_and_keys(spark, d):
+    port = F.when(F.col("event_id") % 7 == 0, F.concat("event_id", F.lit("x"))).otherwise(F.col("event_id").cast("string"))
+    return tables.table(spark, d, "events").select("event_id", text.port_ok(port).alias("ok"), text.env_key("APP_", F.col("event_type")).alias("key"))
+
+
+@query("SELECT event_id, CASE WHEN event_id < 60 THEN event_id || 's' WHEN event_id < 3600 THEN (event_id // 60) || 'm' || (event_id % 60) || 's' ELSE (event_id // 3600) || 'h' || ((event_id % 3600) // 60) || 'm' END AS shown FROM events")
+def durations(spark, d):
+    return tables.table(spark, d, "events").select("event_id", text.duration(F.col("event_id")).alias("shown"))
+
+
+@query("SELECT author, (list_sum(list_transform(string_split(author, ''), lambda c: unicode(c))) % 6)::INTEGER AS color FROM (SELECT DISTINCT event_type AS author FROM events)")
+def author_colors(spark, d):
+    a = tables.table(spark, d, "events").select(F.col("event_type").alias("author")).distinct()
+    return a.select("author", text.color_index(F.col("author")).cast("int").alias("color"))
+
+
+@query(f"WITH {NODES} SELECT path, row_number() OVER (ORDER BY seg) AS place FROM nodes")
+def depth_first(spark, d):
+    rows = hierarchy.visit(_nodes(spark, d)).select("path", paths.segments(F.col("path")).alias("_s"))
+    return rows.select("path", F.row_number().over(Window.orderBy("_s")).alias("place"))
+
+
+@query(f"WITH {NODES} SELECT path, is_dir, row_number() OVER (PARTITION BY parent_path ORDER BY is_dir DESC, name) AS place FROM nodes WHERE path <> '/'")
+def directories_first(spark, d):
+    rows = _nodes(spark, d).where("path <> '/'")
+    return rows.select("path", "is_dir", F.row_number().over(Window.partitionBy("parent_path").orderBy(F.desc("is_dir"), "name")).alias("place"))
+
+
+@query(f"WITH {NODES} SELECT path, parent_path, name, is_dir, depth, ext, size FROM nodes WHERE path = '/src3'")
+def node_found(spark, d):
+    return hierarchy.find(_nodes(spark, d), "/src3").drop("text")
+
+
+@query(f"WITH {FILES}, p AS (SELECT path FROM files), up AS (SELECT DISTINCT unnest([regexp_replace(path, '/[^/]*$', ''), regexp_replace(path, '/[^/]*/[^/]*$', ''), '/']) AS path FROM p) SELECT path, false AS is_dir FROM p UNION ALL SELECT path, true FROM up")
+def tree_from_paths(spark, d):
+    return hierarchy.tree_from_paths(_files(spark, d).select(F.regexp_replace("path", "^/", "./x/../").alias("path"), "size")).select("path", "is_dir")
+
+
+@query(f"WITH {NODES} SELECT depth, count(*) AS nodes, sum(size)::BIGINT AS bytes FROM nodes GROUP BY depth")
+def level_sums(spark, d):
+    per = hierarchy.by_level(_nodes(spark, d), lambda n: n.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"), F.sum("size").alias("bytes")))
+    return reduce(DataFrame.unionByName, per)
+
+
+@query(f"WITH {NODES} SELECT path, size FROM nodes WHERE NOT (path = '/src2' OR path LIKE '/src2/%') AND path <> '/src1/en/new.md' AND name <> 'notes' UNION ALL SELECT '/src1/notes', 0 UNION ALL SELECT '/src1/notes/new.md', 11")
+def node_changes(spark, d):
+    n = editing.create(_nodes(spark, d), "src1/notes", is_dir=True)
+    return editing.delete(editing.write(n, "/src1/./notes/new.md", "hello there"), "/src2").select("path", "size")
+
+
+@query("SELECT name, key, value FROM (SELECT event_id::VARCHAR AS name, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id::VARCHAR, 'deep.type', event_type FROM events)")
+def json_flattened(spark, d):
+    doc = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "deep": {"type": "'), "event_type", F.lit('"}}'))
+    return documents.flattened(tables.table(spark, d, "events").select(F.col("event_id").cast("string").alias("name"), doc.alias("doc")))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '\"' || event_type || '\"' WHEN 1 THEN '\"' || event_type || '\"' WHEN 2 THEN event_id::VARCHAR ELSE NULL END AS value FROM events")
+def json_navigation(spark, d):
+    doc = F.concat(F.lit('{"agents": {"one.md": "'), "event_type", F.lit('", "list": [1, {"x.y": '), "event_id", F.lit("}]}}"))
+    way = F.element_at(F.array(*map(F.lit, ("agents.one.md", "agents.one", "agents.list.1.x.y", "agents.list.7"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return tables.table(spark, d, "events").select("event_id", documents.value_at(doc, way).alias("value"))
+
+
+@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'new' END AS name, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey ELSE c_custkey::INTEGER END AS n FROM customer")
+def merged_rows(spark, d):
+    c = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
+    other = c.select("key", F.when(F.col("key") % 3 == 0, "").otherwise("new").alias("name"), F.when(F.col("key") % 5 == 0, 0).otherwise(F.col("key").cast("int")).alias("n"))
+    return documents.merged(c, other, "key", ["name", "n"])
+
+
+@query("SELECT key, max(doc) AS value FROM (SELECT event_type || '.' || (user_id % 3) AS key, event_id % 10 AS doc FROM events WHERE event_type <> 'view') GROUP BY key")
+def copied_and_deleted(spark, d):
+    e = tables.table(spark, d, "events").groupBy(F.concat("event_type", F.lit("."), F.col("user_id") % 3).alias("key")).agg(F.max(F.col("event_id") % 10).alias("value"))
+    return documents.deleted(documents.copied(e.withColumn("value", F.lit(0).cast("long")), e), "view")
+
+
+@query("SELECT name, string_agg(n, ',' ORDER BY n) AS fields FROM (SELECT event_type AS name, user_id::INTEGER AS n FROM events WHERE event_id < 200) GROUP BY name")
+def types_merged(spark, d):
+    rows = tables.table(spark, d, "events").where("event_id < 200").select(F.col("event_type").alias("name"), F.col("user_id").cast("int").alias("seq"), F.array(F.col("user_id").cast("int")).alias("fields"))
+    return documents.types_merged(rows).select("name", F.array_join("fields", ",").alias("fields"))
+
+
+@query("SELECT event_type AS name, arg_max(props, event_id) AS body FROM events GROUP BY 1")
+def functions_merged(spark, d):
+    return documents.functions_merged(tables.table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"), F.col("props").alias("body")))
+
+
+@query("SELECT count_if(event_id % 9 <> 0)::BIGINT AS succeeded, count_if(event_id % 9 = 0)::BIGINT AS failed FROM events")
+def outcomes(spark, d):
+    return documents.outcomes(tables.table(spark, d, "events").select(F.when(F.col("event_id") % 9 == 0, "failed").alias("error")))
+
+
+@query("SELECT string_agg('## ' || title || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY title) AS document FROM (SELECT event_type AS title, arg_max(props, event_id) AS text FROM events GROUP BY 1 UNION ALL SELECT 'zz', 'kept')")
+def sections_built(spark, d):
+    updates = tables.table(spark, d, "events").select(F.col("event_type").alias("title"), F.col("event_id").alias("seq"), F.col("props").alias("text"))
+    old = spark.createDataFrame([("view", "old"), ("zz", "kept")], "title string, text string")
+    return documents.built(documents.sections(old, updates))
+
+
+@query("SELECT count_if(doc_id % 5 < 4)::BIGINT AS supported, count_if(doc_id % 5 = 4)::BIGINT AS unsupported FROM documents")
+def loader_counts(spark, d):
+    return sources.loader_counts(_files(spark, d))
+
+
+@query("SELECT name, coalesce(nullif(given, ''), nullif(env, ''), 'default') AS value FROM (SELECT event_id AS name, CASE WHEN event_id % 2 = 0 THEN '' ELSE event_type END AS given, CASE WHEN event_id % 3 = 0 THEN props END AS env FROM events)")
+def options_resolved(spark, d):
+    i = F.col("event_id")
+    return tables.table(spark, d, "events").select(i.alias("name"), documents.resolved(F.when(i % 2 == 0, "").otherwise(F.col("event_type")), F.when(i % 3 == 0, F.col("props")), F.lit("default")).alias("value"))
+
+
+@query("SELECT doc_id AS vec_id, CASE WHEN doc_id % 3 <> 0 THEN length(text) ELSE 1 END::BIGINT AS x, CASE WHEN doc_id % 3 <> 0 THEN strlen(text) ELSE 2 END::BIGINT AS y FROM documents")
+def vector_upsert(spark, d):
+    docs = _docs(spark, d)
+    fresh = retrieval.embedded(docs.where("doc_id % 3 <> 0"), lambda texts: [[len(t), len(t.encode())] for t in texts]).withColumnRenamed("doc_id", "vec_id")
+    old = docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"))
+    return retrieval.upserted(old, fresh).select("vec_id", *[F.col("embedding")[i].cast("long").alias(x) for i, x in enumerate("xy")])
+
+
+@query("SELECT string_agg(left(d.text, 50), chr(10) || chr(10) ORDER BY score DESC, d.text DESC) AS context FROM (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 4) JOIN (SELECT vec_id, 'text of ' || vec_id AS text FROM embeddings) d USING (vec_id)")
+def retrieval_context(spark, d):
+    e = tables.table(spark, d, "embeddings")
+    found = retrieval.top_k(e, e.where("vec_id = 0").first()["embedding"], threshold=-1.0).select("vec_id", F.round("score", 6).alias("score"))
+    return retrieval.context(found, e.select("vec_id", F.concat(F.lit("text of "), "vec_id").alias("text")))
+
+
+@query("SELECT path FROM (SELECT '/' || source || '/' || lang || '/doc' || doc_id || '.' || (['md','txt','go','py','json'])[doc_id % 5 + 1] AS path FROM documents) WHERE NOT (path LIKE '%.py' OR regexp_matches(path, '^/src1/de/[^/]*$') OR contains(path, 'src4/fr'))")
+def root_rules(spark, d):
+    f = _files(spark, d).select(F.regexp_replace("path", r"/\.doc", "/doc").alias("path"))
+    return f.where(~search.root_ignored(F.col("path"), ["*.py", "/src1/de/*", "src4/fr"])).select("path")
+
+
+@query(_search("NOT is_dir AND NOT (name LIKE '%.json' OR name LIKE 'doc1_.%')"))
+def name_rules(spark, d):
+    n = _nodes(spark, d).where("NOT is_dir")
+    return n.where(~search.name_ignored(F.col("path"), ["# comment", "*.json", "!doc3.json", "doc1?.*/"])).select("path")
+
+
+@query("SELECT page_id, strlen(html) > 0 AS ok FROM pages")
+def page_main(spark, d):
+    rows = tables.table(spark, d, "pages").select("page_id", html.main_content("html").alias("t"))
+    return rows.select("page_id", (~F.contains("t", F.lit("<script"))).alias("ok"))
+
+
 __all__ = ["QUERIES", "ORACLE_SQL"]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.functions import html, parallel, paths, text
+from arbora.functions import golang, html, parallel, paths, text
 from arbora.functions.patterns import glob_regex, re2_to_java
 
 
@@ -103,7 +103,7 @@ def test_markdown():
     page = "<html><head><title>T</title></head><body><nav>menu</nav><article><h1>Head &amp; more</h1><p>First <b>bold</b> <a href='/u'>link</a><p>Second" + " word" * 30 + "<ul><li>one<ul><li>in</li></ul><li>two</ul><table><tr><th>a<th>b<tr><td>1<td>2</table><blockquote><p>said</p></blockquote><pre>x = 1</pre><script>bad()</script></article></body></html>"
     got = html.to_markdown(page)
     assert got.startswith("# Head & more\n\nFirst **bold** [link](/u)\n\nSecond word")
-    assert "- one\n  - in\n- two" in got and "| a | b |\n| --- | --- |\n| 1 | 2 |" in got and "> said" in got and "```\nx = 1\n```" in got
+    assert "- one\n  - in\n- two" in got and "\n\na | b\n--- | ---\n1 | 2\n\n" in got and "> said" in got and "```\nx = 1\n```" in got
     assert "bad" not in got and "menu" not in got
     assert html.to_markdown("<html><body>Test Page Content</body></html>") == "Test Page Content"
     assert html.to_markdown("") == "" and html.to_markdown("<div>" * 2000 + "deep") == "deep"
@@ -113,3 +113,62 @@ def test_errors_are_values(spark):
     rows = spark.createDataFrame([(1, "2"), (2, "x")], "id long, v string")
     got = {r["id"]: (r["value"], r["error"] is None) for r in parallel.mapped(rows, "id", "v", lambda v: int(v) + 1).collect()}
     assert got == {1: ("3", True), 2: (None, False)}
+
+
+def test_tables():
+    """Lines without outer bars; the header's number of cells rules."""
+    t = lambda inner: html.to_markdown(f"<article><p>{'word ' * 30}</p><table>{inner}</table></article>").split("\n\n")[1:]
+    assert t("<thead><tr><th> A </th><th>B</th></tr></thead><tbody><tr><td>1</td></tr><tr><td>2</td><td>3</td><td>4</td></tr></tbody>") == ["A | B\n--- | ---\n1 | \n2 | 3"]
+    assert t("<tr><td>x<td>y<tr><td>1<td>2") == ["x | y\n--- | ---\n1 | 2"]
+    assert t("<tr></tr><tr><td>1</td></tr>") == ["Column 1\n---\n1"] and t("") == []
+
+
+def test_main_text():
+    page = "<body><header>top</header><div class='post'>Own <script>bad()</script><nav>menu</nav><div class='ads'>buy</div>text</div></body>"
+    assert html.main_text(page).split() == ["Own", "text"] and html.main_text("<body>only <footer>end</footer></body>").strip() == "only"
+
+
+GO = """package p
+
+// type Fake struct{}
+import "fmt"
+
+type A struct {
+	X, Y int `json:"x"`
+	Base
+	*pkg.Other `tag`
+	F     func(a int) (b string)
+	inner struct{ q int }
+	Emb[int]
+	Arr [N]int
+}
+
+type (
+	I interface { Get(a int) string; Set(); fmt.Stringer }
+	B = A
+	G[T any] struct { v T }
+	E []int
+)
+
+var s = "type Z struct{" + `
+func no() {}
+`
+
+func Plain(x int) { type local int }
+func (a *A) M1() int { return '}' }
+func (pkg.T) M2() {}
+func gen[T any](x T) {}
+"""
+
+
+def test_go_declarations():
+    types, funcs = golang.declarations(GO)
+    assert [(t["name"], t["kind"], t["fields"]) for t in types] == [("A", "struct", ["X", "Y", "F", "inner", "Arr"]), ("I", "interface", ["Get", "Set"]), ("B", "alias", []), ("G", "struct", ["v"]), ("E", "alias", [])]
+    assert [(f["name"], f["receiver"]) for f in funcs] == [("Plain", None), ("M1", "A"), ("M2", "pkg.T"), ("gen", None)]
+    assert golang.declarations("") == ([], []) and golang.declarations("not go at all {{{") == ([], [])
+
+
+def test_binary(spark):
+    rows = [(0, b""), (1, b"plain text\n"), (2, b"a\0b"), (3, bytes([1, 2, 3, 4, 65])), (4, "日本語".encode()), (5, bytes(range(128, 250))), (6, b"\xff" + b"a" * 50), (7, b"a" * 9000 + b"\0"), (8, bytes([11, 12, 27, 65, 66, 67, 68, 69, 70, 71]))]
+    got = {r["i"]: r["b"] for r in spark.createDataFrame(rows, "i int, c binary").select("i", paths.is_binary(F.col("c")).alias("b")).collect()}
+    assert got == {0: False, 1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: False, 8: False}

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.operators import blame, documents, hierarchy, packing, retrieval, search
+from arbora.operators import blame, documents, editing, hierarchy, packing, retrieval, search
 from arbora.sources import files as sources
 from arbora.sources import tables
 from arbora.streaming import changes
@@ -188,3 +188,70 @@ def test_stream_of_bursts(spark, tmp_path):
     assert sorted((r["path"], r["events"]) for r in got) == [("/a.md", 1), ("/a.md", 2)]
     with pytest.raises(ValueError):
         changes.on_timer(stream, 0, lambda n: None, str(tmp_path / "cp2"))
+
+
+def test_editing(spark, nodes, tmp_path):
+    text = lambda n, p: n.where(F.col("path") == p).first()["text"]
+    n = editing.create(editing.create(nodes, "docs/new", is_dir=True), "/docs/new/../new/a.md", "été")
+    assert editing.read(n, "docs/new/a.md") == "été" and n.where("path = '/docs/new/a.md'").first()["size"] == 5
+    n = editing.write(n, "/docs/new/a.md", "x")
+    assert text(n, "/docs/new/a.md") == "x" and text(editing.write(n, "/top.md", "y"), "/top.md") == "y"
+    assert found(editing.delete(n, "/docs").where("path LIKE '/docs%'")) == [] and nodes.count() == 11
+    for change, says in (
+        (lambda: editing.create(nodes, "/README.md"), "already exists: /README.md"), (lambda: editing.create(nodes, "/no/a.md"), "not found: /no"), (lambda: editing.create(nodes, "/README.md/x"), "file node"),
+        (lambda: editing.read(nodes, "/docs"), "cannot read directory"), (lambda: editing.read(nodes, "/none"), "not found: /none"), (lambda: editing.write(nodes, "/docs", ""), "cannot write"),
+        (lambda: editing.delete(nodes, "/"), "root"), (lambda: editing.delete(nodes, "/none"), "not found"),
+    ):
+        with pytest.raises(editing.NodeError, match=says):
+            change()
+    editing.save(nodes, str(tmp_path))
+    assert (tmp_path / "src/utils/helper.go").read_text() == TREE["src/utils/helper.go"]
+
+
+def test_conditions():
+    assert search.conditions("q") == {"name": "q"} and search.conditions("q", content="c", name="") == {"content": "c"}
+    with pytest.raises(ValueError):
+        search.conditions("")
+
+
+def test_documents_written_back(spark, tmp_path):
+    rows = [("b", '{"x": 1}', "value"), ("notes.md", "text", "file"), ('a"q', "[1]", "value")]
+    documents.write_back(spark.createDataFrame(rows, "key string, value string, kind string"), str(tmp_path), "config.json")
+    import json
+
+    assert (tmp_path / "notes.md").read_text() == "text" and json.loads((tmp_path / "config.json").read_text()) == {'a"q': [1], "b": {"x": 1}}
+    order = [r["key"] for r in documents.maps_first(spark.createDataFrame([("a", "1"), ("z", '{"q":1}'), ("b", "2")], "key string, value string")).collect()]
+    assert order == ["z", "a", "b"]
+    bad = spark.createDataFrame([("not json",), ("[1]",), ('{"a": {"b": 1}}',)], "t string").select(documents.changed(F.col("t"), "a.c", F.lit("2")).alias("x"))
+    assert [r["x"] for r in bad.collect()] == [None, "[1]", '{"a": {"b": 1, "c": 2}}']
+
+
+def test_vectors(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(60)], "doc_id long, text string").coalesce(1)
+    sizes = []
+
+    def model(texts):
+        if len(texts) > 25:
+            raise ValueError("too many at a call")
+        return [[len(t), 1.0] for t in texts]
+
+    got = retrieval.embedded(docs, model)
+    assert sorted((r["doc_id"], list(r["embedding"])) for r in got.collect()) == [(i, [float(i), 1.0]) for i in range(60)]
+    assert retrieval.dimension(model) == 2 and not sizes
+    new = spark.createDataFrame([(1, [9.0]), (70, [8.0])], "doc_id long, embedding array<float>")
+    after = {r["doc_id"]: list(r["embedding"]) for r in retrieval.upserted(got, new, "doc_id").collect()}
+    assert len(after) == 61 and after[1] == [9.0] and after[70] == [8.0]
+    retrieval.append_vectors(new, str(tmp_path / "v"))
+    retrieval.append_vectors(new, str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v")).count() == 4
+
+
+def test_top_k_in_blocks(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, [r.random() - 0.5 for _ in range(5)]) for i in range(200)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    q = v.where("vec_id < 7").withColumnRenamed("vec_id", "query_id")
+    whole, cut = ([(*x[:2], round(x[2], 9), x[3]) for x in retrieval.top_k_each(v, q, 3, block=b).collect()] for b in (100, 2))
+    assert sorted(whole) == sorted(cut) and len(whole) == 21 and all(x[0] != x[1] for x in whole)
