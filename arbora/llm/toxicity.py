@@ -5,7 +5,8 @@ the two spans; so characters put between those of an insult weaken the match and
 landmark is the largest that a window of it has, one at most; how often it holds the landmark is counted beside. The
 similarities are mapped by the inverse square root of the
 landmarks' own kernel matrix, and a linear machine with squared hinge loss is trained on them, its values turned into
-probabilities by a logistic fit.
+probabilities by a logistic fit. Beside the labelled texts it learns toxic ones whose landmarks have a character put in, and
+clean ones with a single landmark that no clean text holds.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ REPEATS = 3
 OFTEN = 8
 #: Share of the toxic texts that a further landmark must cover.
 LEAST_GAIN = 0.01
+#: Clean texts into which each landmark is put for training.
+SINGLES = 40
+#: The kernel is a sum of these powers of the string kernel: the first lets weak matches add up, the other parts whole ones from them.
+POWERS = (1, 3)
+#: Weights of toxic texts, of those with a character put into their landmarks, of single landmarks, and of clean texts.
+SHARES = (0.2, 0.15, 0.15, 0.5)
 CHUNK = 1 << 20
 #: Between texts: no landmark holds it.
 GAP = b"\0" * (2 * SPAN)
@@ -63,7 +70,7 @@ def subsequences(s: bytes) -> dict[int, float]:
 @dataclass
 class Model:
     landmarks: list[bytes]
-    transform: np.ndarray
+    transforms: list[np.ndarray]
     weights: np.ndarray
     scale: tuple[float, float]
 
@@ -134,8 +141,13 @@ class Model:
         out[doc[edge], len(self.landmarks) + mark[edge]] = np.minimum(1.0, np.log(np.maximum(times, 1)) / np.log(OFTEN))
         return out
 
+    def features(self, similar: np.ndarray) -> np.ndarray:
+        """Similarities in each power, mapped by the landmarks' own kernel, and counts as they are."""
+        n = len(self.landmarks)
+        return np.concatenate([*[similar[:, :n] ** p @ t for p, t in zip(POWERS, self.transforms, strict=True)], similar[:, n:]], axis=1)
+
     def decide(self, similar: np.ndarray) -> np.ndarray:
-        return similar @ self.transform @ self.weights[:-1] + self.weights[-1]
+        return self.features(similar) @ self.weights[:-1] + self.weights[-1]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         a, b = self.scale
@@ -212,25 +224,47 @@ def spaced(text: bytes, landmarks: list[bytes]) -> bytes:
     return text
 
 
+def singles(marks: list[bytes], clean: list[bytes], each: int = SINGLES) -> list[bytes]:
+    """Clean texts with one landmark put in at a word's start, as it is or with one character in it.
+
+    Only landmarks that no clean text holds, so that one of them tells as much as the many of a toxic text.
+    """
+    out, random = [], np.random.default_rng(5)
+    for x in marks:
+        if any(x in b" " + t for t in clean):
+            continue
+        for j in range(each if clean else 0):
+            words = clean[int(random.integers(len(clean)))].split(b" ")
+            word = x.strip()
+            if j % 2:
+                k = int(random.integers(1, len(word)))
+                word = word[:k] + b"*" + word[k:]
+            k = int(random.integers(len(words) + 1))
+            out.append(b" ".join([*words[:k], word, *words[k:]]))
+    return out
+
+
 def train(toxic: list[bytes], clean: list[bytes], n_toxic: int, n_clean: int, ridge: float = 1e-3) -> Model:
     """From folded texts of both classes and the classes' sizes, so that scores fit the share of toxic rows."""
     landmarks = choose(toxic, clean)
     if not landmarks:
-        return Model([], np.zeros((0, 0)), np.zeros(1), (0.0, float(np.log((n_toxic + 1) / (n_clean + 1)))))
-    values, vectors = np.linalg.eigh(kernel(landmarks))
-    transform = np.eye(2 * len(landmarks))  # counts are taken as they are
-    transform[: len(landmarks), : len(landmarks)] = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    model = Model(landmarks, transform, np.zeros(2 * len(landmarks) + 1), (1.0, 0.0))
+        return Model([], [np.zeros((0, 0))] * len(POWERS), np.zeros(1), (0.0, float(np.log((n_toxic + 1) / (n_clean + 1)))))
+    own, transforms = kernel(landmarks), []
+    for p in POWERS:
+        values, vectors = np.linalg.eigh(own**p)
+        transforms.append(vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T)
+    model = Model(landmarks, transforms, np.zeros((len(POWERS) + 1) * len(landmarks) + 1), (1.0, 0.0))
     # toxic texts are learned a second time with a character put into each landmark
     marks = landmarks[: len(landmarks) - BACKGROUND]
-    spread = [x for text in toxic if (x := spaced(text, marks)) != text]
-    toxic = toxic + spread
-    similar = np.concatenate([model.similarities(group[i : i + 64]) for group in (toxic, clean) for i in range(0, len(group), 64)])
-    x = np.concatenate([similar @ transform, np.ones((len(similar), 1))], axis=1)
-    y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-    share = np.where(y > 0, n_toxic / max(len(toxic), 1), n_clean / max(len(clean), 1))
-    each = np.where(y > 0, 0.5 / max(len(toxic), 1), 0.5 / max(len(clean), 1))
-    penalty = np.diag([ridge / len(landmarks)] * (2 * len(landmarks)) + [1e-6])
+    groups = [toxic, [x for text in toxic if (x := spaced(text, marks)) != text], singles(marks, clean), clean]
+    similar = np.concatenate([model.similarities(group[i : i + 64]) for group in groups for i in range(0, len(group), 64)])
+    x = np.concatenate([model.features(similar), np.ones((len(similar), 1))], axis=1)
+    n = sum(map(len, groups[:3]))
+    y = np.array([1.0] * n + [-1.0] * len(clean))
+    share = np.where(y > 0, n_toxic / max(n, 1), n_clean / max(len(clean), 1))
+    whole = sum(part for part, group in zip(SHARES[:3], groups, strict=False) if group) or 1.0  # what an empty group leaves goes to the others
+    each = np.concatenate([np.full(len(group), part / len(group) * (0.5 / whole if k < 3 else 1)) for k, (part, group) in enumerate(zip(SHARES, groups, strict=True)) if group])
+    penalty = np.diag([ridge / len(landmarks)] * (x.shape[1] - 1) + [1e-6])
     w, held = np.zeros(x.shape[1]), None
     for _ in range(50):  # Newton steps of the squared hinge loss
         inside = y * (x @ w) < 1

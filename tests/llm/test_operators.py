@@ -534,8 +534,12 @@ def test_toxicity(spark, odd_docs, empty_docs):
     assert all(got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.index])
     assert (held.predicted == truth).mean() > 0.97 and ((got.score >= 0.5) == (got.predicted == 1)).all()
     model = toxicity.fit(docs, labels)
-    plain, spaced, clean = model.scores([toxicity.folded(t) for t in (b"you i.d.i.o.t there", b"you are an idxiot there", b"the ontion anes")])
-    assert plain > 0.5 and spaced > 2 * clean
+    plain, clean = model.scores([toxicity.folded(t) for t in (b"you i.d.i.o.t there", b"the ontion anes")])
+    assert plain >= 0.5 > clean
+    words = ["moronic", "scumbag", "idiot", "clown", "pathetic"]
+    odd = [f"{word()} {w[:k]}x{w[k:]} {word()}" for w in words for k in range(1, len(w)) for _ in range(5)]
+    assert (model.scores([t.encode() for t in odd]) >= 0.5).mean() >= 0.6  # one inserted character in the only insult
+    assert (model.scores([f"{word()} {w} {word()}".encode() for w in words for _ in range(5)]) >= 0.5).all()
     odd = toxicity.classify(odd_docs, labels)
     assert odd.count() == odd_docs.count() and odd.where("score IS NULL OR score < 0 OR score > 1").count() == 0
     assert toxicity.classify(empty_docs, labels).count() == 0
