@@ -43,9 +43,9 @@ OVERLAP, BLOCK, QUERIES = 2, 4_096, 65_536
 #: Out-degree, candidates of the pruning, its factor, and random candidates that keep regions connected.
 DEGREE, NEAREST, ALPHA, RANDOM = 20, 48, 1.2, 8
 #: Width of the greedy search, nodes expanded in a step, entry points of a block and those taken, and how far below the threshold the expansion goes on.
-BEAM, STEP, ENTRIES, TAKEN, SLACK = 48, 4, 200, 8, 0.04
+BEAM, STEP, ENTRIES, TAKEN, SLACK = 32, 4, 128, 6, 0.04
 #: Reach of the searches in standard deviations; queries and least recall of the audit.
-SIGMAS, AUDIT, RECALL = 4.0, 1_000, 0.95
+SIGMAS, AUDIT, RECALL = 3.0, 1_000, 0.95
 CHUNK = 256
 
 BASE = [field("_same", T.BinaryType()), field("a", T.LongType()), field("vec", T.BinaryType())]
