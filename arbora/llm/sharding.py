@@ -21,6 +21,8 @@ from arbora.llm.common import Scratch, running_totals
 SHARDS, EXTRA_BYTES = 40, 16
 #: Rounds without a move before open pieces are halved.
 PATIENCE = 2
+#: Rows of a written table of pieces in a task.
+PIECES = 200_000
 #: Moves into a shard are allowed or not by so many classes of pieces of about one size.
 CLASSES = 128
 
@@ -43,43 +45,57 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     start = F.pmod(F.xxhash64("doc_id", "rows_before"), F.lit(shards)).cast("int")
     whole = max(1, quota)
     first = members.select("doc_id", "size", "text_crc32", "_group", F.col("rows_before").alias("_rank"), (F.floor(F.col("rows_before") / whole) * whole).alias("_base"), start.alias("shard"))
-    state, still, n = scratch.table(first.withColumn("_piece", _name()), "labels"), 0, 0
-    while True:
-        here = scratch.table(state.groupBy("_group", "_piece", "shard").agg(F.count(F.lit(1)).alias("_here")), "here")
-        pieces = scratch.table(here.groupBy("_group", "_piece").agg(F.sum("_here").alias("_all"), F.count(F.lit(1)).alias("_places")), "pieces")
-        largest = pieces.where("_places > 1").agg(F.max("_all")).first()[0]
-        if not largest:
-            break
-        turn = pieces.where((F.col("_places") > 1) & (4 * F.col("_all") > largest)).select("_group", "_piece", "_all")
-        moved = _round(here, pieces, turn, shards, quota, n, scratch)
-        still = 0 if (some := not moved.isEmpty()) else still + 1
-        names = [x for x in state.columns if x not in ("shard", "_piece", "_base")]
-        if some or still < PATIENCE:
-            after = state.join(moved, "_piece", "left").select(*names, "_base", "_piece", F.coalesce("_to", "shard").alias("shard"))
+    state = scratch.table(first.withColumn("_piece", _name()), "labels")
+    # rounds need no rows but those of pieces: where each is (its shard, null while it is open) and where its rows were
+    here = scratch.table(state.groupBy("_group", "_piece", "shard").agg(F.count(F.lit(1)).alias("_here")), "here")
+    few = 1 + here.count() // PIECES  # tasks that write a table of pieces
+    pieces, still, n = scratch.table(_pieces(here).coalesce(few), "pieces"), 0, 0
+    while largest := pieces.where("_to IS NULL").agg(F.max("_all")).first()[0]:
+        turn = pieces.where(F.col("_to").isNull() & (4 * F.col("_all") > largest)).select("_group", "_piece", "_all")
+        moved = scratch.table(_round(here, pieces, turn, shards, quota, n).coalesce(few), "moved")
+        n += 1
+        if not moved.isEmpty():
+            after, still = pieces.join(moved.select("_piece", F.col("_to").alias("_new")), "_piece", "left").select("_group", "_piece", "_all", F.coalesce("_to", "_new").alias("_to")), 0
+        elif (still := still + 1) < PATIENCE:
+            continue
         else:
             still, half = 0, F.ceil(F.col("_all") / 2)
+            turn = scratch.table(turn.coalesce(few), "turn")
             base = F.col("_base") + F.coalesce(F.floor((F.col("_rank") - F.col("_base")) / half) * half, F.lit(0))
-            after = state.join(turn.select("_piece", "_all"), "_piece", "left").select(*names, base.cast("long").alias("_base"), "shard").withColumn("_piece", _name())
-        after = scratch.table(after, "labels")
-        scratch.drop(state)
-        state, n = after, n + 1
-    places = pieces.select("_piece", (F.col("_all") == 1).cast("int").alias("_last"))
+            cut = state.join(turn.select("_piece", "_all"), "_piece", "left").select("doc_id", "size", "text_crc32", "_group", "_rank", base.cast("long").alias("_base"), "shard").withColumn("_piece", _name())
+            later = scratch.table(cut, "labels")
+            scratch.drop(state)
+            state = later
+            here = scratch.table(state.groupBy("_group", "_piece", "shard").agg(F.count(F.lit(1)).alias("_here")), "here")
+            kept = pieces.join(turn.select("_piece"), "_piece", "left_anti").select("_group", "_piece", "_all", "_to")
+            after = kept.unionByName(_pieces(here).join(kept.select("_piece"), "_piece", "left_anti"))
+        after = scratch.table(after.coalesce(few), "pieces")
+        scratch.drop(pieces)
+        pieces = after
+    places = pieces.select("_piece", (F.col("_all") == 1).cast("int").alias("_last"), "_to")
     names = ["doc_id", "size", "text_crc32", "_piece", "shard", "_last"]
     single = rows.join(linked, "_group", "left_anti").select("doc_id", "size", "text_crc32", F.lit("").alias("_piece"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int").alias("shard"), F.lit(2).alias("_last"))
-    labelled = state.join(places, "_piece").select(*names).unionByName(single)
+    labelled = state.drop("shard").join(places.withColumnRenamed("_to", "shard"), "_piece").select(*names).unionByName(single)
     return _levelled(labelled, shards, quota, more, scratch).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _pieces(here: DataFrame) -> DataFrame:
+    """_group, _piece, _all (its rows), _to: the shard of a piece whose rows are all there, else null."""
+    one = F.when(F.min("shard") == F.max("shard"), F.min("shard"))
+    return here.groupBy("_group", "_piece").agg(F.sum("_here").alias("_all"), one.alias("_to"))
+
+
 def _name() -> Column:
     return F.concat_ws("-", F.col("_group"), F.col("_base").cast("string"))
 
 
-def _round(here: DataFrame, pieces: DataFrame, open_: DataFrame, shards: int, quota: int, n: int, scratch: Scratch) -> DataFrame:
+def _round(here: DataFrame, pieces: DataFrame, open_: DataFrame, shards: int, quota: int, n: int) -> DataFrame:
     """_piece, _to of the open pieces that move in this round: to the shard with most of their group that has room for them."""
-    placed = here.join(pieces.where("_places = 1 AND _all > 1").select("_piece"), "_piece", "left_semi")
-    load = placed.groupBy("shard").agg(F.sum("_here").alias("_load"))  # a row a shard
-    group = here.groupBy("_group", "shard").agg(F.sum("_here").alias("_rows"))
-    # shards that the group's rows are in, and one more by a hash
+    settled = pieces.where("_to IS NOT NULL AND _all > 1").select("_group", F.col("_to").alias("shard"), F.col("_all").alias("_here"))
+    load = settled.groupBy("shard").agg(F.sum("_here").alias("_load"))  # a row a shard
+    # shards that the group's rows are in, settled ones at their new place, and one more by a hash
+    scattered = here.join(pieces.where("_to IS NULL").select("_piece"), "_piece", "left_semi").select("_group", "shard", "_here")
+    group = scattered.unionByName(settled).groupBy("_group", "shard").agg(F.sum("_here").alias("_rows"))
     near = open_.join(group, "_group").select("_group", "_piece", "_all", "shard", "_rows")
     other = open_.select("_group", "_piece", "_all", F.pmod(F.xxhash64("_piece", F.lit(n)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).cast("long").alias("_rows"))
     room = F.lit(quota) - F.coalesce("_load", F.lit(0))
@@ -88,10 +104,10 @@ def _round(here: DataFrame, pieces: DataFrame, open_: DataFrame, shards: int, qu
     want = fits.groupBy("_piece").agg(best.alias("_best"), F.first("_all").alias("_all"))
     # large pieces first, then by a hash: room for whole classes of pieces, at most shards * 64 * CLASSES rows
     order = F.floor(F.log2("_all") * 4).cast("int") * -CLASSES + F.pmod(F.xxhash64("_piece", F.lit(n), F.lit("class")), F.lit(CLASSES)).cast("int")
-    want = scratch.table(want.select("_piece", F.col("_best.shard").alias("_to"), F.col("_best._room").alias("_room"), "_all", order.alias("_class")), "wishes")
+    want = want.select("_piece", F.col("_best.shard").alias("_to"), F.col("_best._room").alias("_room"), "_all", order.alias("_class"))
     classes = want.groupBy("_to", "_class").agg(F.sum("_all").alias("_sum"), F.max("_room").alias("_free"))
     allowed = classes.withColumn("_till", F.sum("_sum").over(Window.partitionBy("_to").orderBy("_class"))).where("_till <= _free").select("_to", "_class")
-    return scratch.table(want.join(F.broadcast(allowed), ["_to", "_class"]).select("_piece", "_to"), "moved")
+    return want.join(F.broadcast(allowed), ["_to", "_class"]).select("_piece", "_to")
 
 
 def _levelled(rows: DataFrame, shards: int, quota: int, more: int, scratch: Scratch) -> DataFrame:
