@@ -61,12 +61,23 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Written tables that cut lineage; they survive lost executors because they lie in the shared folder."""
+    """Written tables that cut lineage; they survive lost executors because they lie in the shared folder.
+
+    Results read them, so they go as the driver ends; drop() deletes those that nothing will read again before.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        where, files = self.place(self.root)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+
+    def place(self, path: str) -> tuple:
+        """A path as the JVM knows it, and its file system."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -83,8 +94,8 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         """Deletes a table that nothing will read again."""
         if path := getattr(df, "_arbora_path", None):
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            where, files = self.place(path)
+            files.delete(where, True)
 
 
 def give_back() -> None:
