@@ -692,4 +692,74 @@ def page_main(spark, d):
     return rows.select("page_id", (~F.contains("t", F.lit("<script"))).alias("ok"))
 
 
+@query(f"WITH {NODES} SELECT path AS id, 'look at #File:' || ltrim(path, '/') || ' please' || chr(10) || chr(10) || '```' || {_LANG} || chr(10) || text || chr(10) || '```' AS text FROM nodes WHERE NOT is_dir")
+def file_mentions(spark, d):
+    f = _files(spark, d)
+    asked = f.select(F.col("path").alias("id"), F.concat(F.lit("look at #File:"), F.ltrim("path", F.lit("/")), F.lit(" please")).alias("text"))
+    return packing.mentions(asked, f)
+
+
+@query("SELECT doc_id, '![a](/images/docs/pic/' || doc_id || '.png) and ![b](HTTP://h/x.png) ![](/images/up.gif)' AS text FROM documents")
+def image_links(spark, d):
+    raw = F.concat(F.lit("![a](pic/"), "doc_id", F.lit(".png?x=1#y) and ![b](HTTP://h/x.png) ![](../up.gif)"))
+    return _docs(spark, d).select("doc_id", text.image_links(raw, F.lit("/docs")).alias("text"))
+
+
+@query("SELECT doc_id, 'interface{}' || chr(10) || '```mermaid' || chr(10) || 'classDiagram' || chr(10) || 'A' || doc_id || ' --> B : any' || chr(10) || '```' || chr(10) || 'C --> *D' AS text FROM documents")
+def mermaid_mended(spark, d):
+    raw = F.concat(F.lit("interface{}\n```mermaid\nclassDiagram\nA"), "doc_id", F.lit(" --> *B : interface{}\n```\nC --> *D"))
+    return _docs(spark, d).select("doc_id", text.mermaid(raw).alias("text"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events")
+def tool_arguments(spark, d):
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"args": '), "props", F.lit(", }"))).otherwise(F.col("props"))
+    return tables.table(spark, d, "events").select("event_id", documents.get(documents.tool_arguments(documents.parsed(raw)), "k", "int", -1).alias("k"))
+
+
+@query("SELECT event_id FROM events WHERE (user_id % 5 = 0 AND event_id % 30 > 0) OR (event_id % 30 > 20 AND user_id % 5 < 3)")
+def batches_skipped(spark, d):
+    e = tables.table(spark, d, "events").select("event_id", (F.col("user_id") % 5).alias("types"), (F.col("event_id") % 30).alias("funcs"))
+    return packing.skipped(e).select("event_id")
+
+
+@query("SELECT '/f' || event_id AS path, event_type AS author, 'u' || user_id || '@x.org' AS email, epoch(date_trunc('second', ts))::BIGINT AS seconds FROM events, range(2)")
+def blame_porcelain(spark, d):
+    e = tables.table(spark, d, "events")
+    head = F.concat(F.lit("0a1b 1 1 2\nauthor "), "event_type", F.lit("\nauthor-mail <u"), "user_id", F.lit("@x.org>\nauthor-time "), F.unix_timestamp("ts"), F.lit("\nsummary author x\n\tfirst line\n0a1b 2 2\n\tauthor nobody\n"))
+    return sources.porcelain(e.select(F.concat(F.lit("/f"), "event_id").alias("path"), head.alias("text"))).select("path", "author", "email", F.unix_timestamp("when").alias("seconds"))
+
+
+@query("SELECT event_id, 'K' || user_id AS key, event_type || '=' || event_id AS value FROM events WHERE event_id % 3 <> 0")
+def key_value_lines(spark, d):
+    line = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit(" K"), "user_id", F.lit(" = "), "event_type", F.lit("="), "event_id", F.lit(" ")))
+    return tables.table(spark, d, "events").select("event_id", sources.key_values(line).alias("x")).where("x IS NOT NULL").select("event_id", "x.key", "x.value")
+
+
+@query(f"WITH {NODES} SELECT path AS source, name AS filename, ltrim(path, '/') AS rel_path, md5(text) AS sum FROM nodes WHERE ext IN ('.md', '.txt', '.go', '.py')")
+def documents_loaded(spark, d):
+    found = _files(spark, d).select("path", F.col("text").cast("binary").alias("content"))
+    return sources.documents(found).select("source", "filename", "rel_path", F.md5("text").alias("sum"))
+
+
+@query("SELECT '/src' || doc_id AS dir, unnest(['*.log', 'tmp/', '!keep' || doc_id]) AS rule FROM documents")
+def ignore_rules_read(spark, d):
+    body = F.concat(F.lit("# comment\r\n*.log\n\n  tmp/  \n!keep"), "doc_id")
+    found = _docs(spark, d).select(F.explode(F.array(F.struct(F.concat(F.lit("/src"), "doc_id", F.lit("/.gitignore")).alias("path"), body.alias("content")), F.struct(F.concat(F.lit("/src"), "doc_id", F.lit("/a.md")).alias("path"), F.lit("*.md").alias("content")))).alias("f"))
+    return sources.ignore_rules(found.select("f.*"))
+
+
+@query(f"WITH {NODES} SELECT path FROM nodes WHERE NOT is_dir AND ext IN ('.md', '.txt', '.go', '.py', '.json')")
+def readable_files(spark, d):
+    f = _files(spark, d)
+    odd = f.select(F.concat("path", F.lit(".bin")).alias("path"), F.unhex(F.lit("FFFE00")).alias("content"))
+    return sources.readable(f.select("path", F.col("text").cast("binary").alias("content")).unionByName(odd)).select("path")
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(['.git', 'node_modules', 'docs']) AS word FROM documents WHERE doc_id % 2 = 0) WHERE word = 'docs' GROUP BY word")
+def pruned_scan(spark, d):
+    p = _docs(spark, d).where("doc_id % 2 = 0").select(F.explode(F.array(*map(F.lit, (".git", "node_modules", "docs")))).alias("word"), "doc_id").withColumn("path", F.concat(F.lit("/a/"), "word", F.lit("/x"), "doc_id"))
+    return p.where(~paths.pruned(F.col("path"), F.lit(False))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 __all__ = ["QUERIES", "ORACLE_SQL"]
