@@ -125,7 +125,9 @@ def renamed(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame],
     So no column of the caller has the name of one that an operator adds.
     """
     names = {x: f"_own_{i}" for i, x in enumerate(df.columns) if x not in keep}
-    return df.withColumnsRenamed(names), lambda done: done.select(*[F.col(names.get(x, x)).alias(x) for x in df.columns])
+    quoted = lambda x: F.col("`" + x.replace("`", "``") + "`")
+    own = df.select(*[quoted(x).alias(names.get(x, x)) for x in df.columns])
+    return own, lambda done: done.select(*[F.col(names.get(x, x)).alias(x) for x in df.columns])
 
 
 def field(name: str, kind: T.DataType) -> T.StructField:

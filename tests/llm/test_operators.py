@@ -26,6 +26,32 @@ def counted(rows):
 
 # common
 
+#: Names of columns that operators add to rows on their way, and of those they return.
+OWN = (
+    "_key _time _times _doc _found _lines _row _kept _again _rows _hit _items _words _own_0 _own_1 _random _rank _source _from _of _epochs _extra _border _one _all _null _cap _weight target size source_size taken rows_before weight_before "
+    "_group _piece _base _members _here _load _order part local_start start n_tokens token_ids ids_crc32 _lower _normal _parts _unit unit place template dice _grams _n _set _signature a b x y hub label node crowd _full "
+    "score predicted toxic held_out _till line leaf hash tokens n_words n_hit contaminated _pid _w shard slot law kept component_id"
+).split()
+
+
+def test_clashing_names(spark, odd_docs):
+    """Columns with the names of an operator's own change nothing, and come back as they were."""
+    base = odd_docs.select("doc_id", "text", "lang", "source")
+    more = base.select("*", *[F.lit(f"mine {i}").alias(x) for i, x in enumerate(OWN)])
+    bench = spark.createDataFrame([(1, "the lazy dog while seven wise owls"), (2, None)], "item_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 13)], "doc_id long, toxic int")
+    values = [f"mine {i}" for i in range(len(OWN))]
+    same = {"mix": mixing.mix, "clean lines": lambda d: lines.clean(d, min_docs=2), "dedup": lambda d: minhash.dedup(d, k=2), "decontaminate": lambda d: decontamination.clean(d, bench), "toxic": lambda d: toxicity.clean(d, marks)}
+    for name, f in same.items():
+        got = f(more)
+        assert got.columns == more.columns, name
+        rows = [tuple(r) for r in got.collect()]
+        assert all(list(r[4:]) == values for r in rows) and counted(r[:4] for r in rows) == counted(f(base).collect()), name
+    plain = {"sizes": mixing.mix_sizes, "lines": lines.dropped, "minhash": minhash.near_duplicates, "hits": lambda d: decontamination.decontaminate(d, bench), "toxicity": lambda d: toxicity.classify(d, marks), "licences": licenses.scan, "shards": lambda d: sharding.shard(d, 3).select("doc_id", "size", "text_crc32"), "tokens": lambda d: tokens.tokenize(spark, d)}
+    for name, f in plain.items():
+        assert sorted(map(repr, f(more).collect())) == sorted(map(repr, f(base).collect())), name
+
+
 def test_running_totals(spark):
     r = random.Random(0)
     rows = [("hot" if r.random() < 0.4 else f"k{r.randint(0, 5)}", i, r.randint(0, 9)) for i in range(500)]

@@ -1,9 +1,16 @@
-"""The pipeline's stages one by one against brute force, and run() against the stages."""
+"""The pipeline's stages one by one and run() as a whole, against brute force."""
 
 import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from arbora.llm import toxicity
+from arbora.llm import tokens, toxicity
 from tests.llm.test_operators import components, contamination, counted, waterfill
 
 
@@ -38,12 +45,52 @@ def test_stages(spark, sf_dir):
     assert d.columns == columns and max(collections.Counter(i for i, _ in pairs(d)).values()) <= 2
 
 
-def test_run(spark, sf_dir):
+def mixed(rows, weights=(5, 2, 1), share=1.5, epochs=2):
+    """Rows (doc_id, text, source) as often as the mix takes them, by brute force."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    by = collections.Counter()
+    for (_, _, s), n in zip(rows, size, strict=True):
+        by[s] += n
+    target = waterfill(by, weights, share, epochs)
+    place = ["mix-1|%s|%d" % (i, xxhash.xxh64((t or "").encode(), seed=42).intdigest() - (1 << 64) * (xxhash.xxh64((t or "").encode(), seed=42).intdigest() >> 63)) for i, t, _ in rows]
+    place = [hashlib.md5(x.encode()).hexdigest() for x in place]
+    out = []
+    for s, whole in by.items():
+        own = collections.Counter()
+        for (_, _, source), n, x in zip(rows, size, place, strict=True):
+            if source == s:
+                own[x] += n
+        times = int(target[s] // whole) if whole else 0
+        left, before, border = round(target[s] - times * whole), 0, ""
+        for x in sorted(own):
+            extra = max(0, min(left - before, own[x]))
+            border = x if extra and 2 * extra >= own[x] else border
+            before += own[x]
+        for (i, t, source), x in zip(rows, place, strict=True):
+            if source == s:
+                out += [(i, t, source)] * (times + (x <= border))
+    return out
+
+
+def test_run_against_brute_force(spark, sf_dir):
+    """All five stages in a row: only the classifier's model is taken from the operator, its scores are found one text at a time."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in corpus_pipeline.STAGES:
-        docs = f(spark, docs, sf_dir)
-    got = corpus_pipeline.run(spark, sf_dir)
-    assert counted(got.collect()) == counted(docs.collect()) and got.count() > 0
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    rows = [r for r in rows if model.scores([toxicity.folded((r[1] or "").encode())])[0] < 0.5]
+    kept = {i for i, _, _, k in components([r[:2] for r in rows], 5) if k}
+    rows = [r for r in rows if r[0] in kept]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    clean = {r[0] for r in contamination([r[:2] for r in rows], items) if not r[5]}
+    rows = mixed([r for r in rows if r[0] in clean])
+    library = Tokenizer.from_file(tokens.vocabulary_path())
+    want, start = [], 0
+    for i, t, _ in sorted(rows, key=lambda r: r[0]):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = corpus_pipeline.run(spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert counted(got) == counted(want) and len(want) > 50
 
 
 def test_empty_stages(spark, sf_dir, empty_docs):
