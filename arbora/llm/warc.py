@@ -7,6 +7,7 @@ system that Spark knows will do, and a lost task is written again as a whole.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -121,7 +122,11 @@ def with_revisits(pages: DataFrame, least: int = LEAST, broadcast_groups: int =
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT) -> None:
-    """Writes pages (page_id, url, html) as WARC files. A null html is an empty payload; other columns are ignored."""
+    """Writes pages (page_id, url, html) as WARC files. A null html is an empty payload; other columns are ignored.
+
+    Long payloads are cut in segments, so records are short; null page_ids and urls are left out of a record's fields. Rows that
+    repeat are records of their own. An empty table gives no records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,14 +178,20 @@ def decoded(block: bytes, digest: str | None, kind: str | None, whole: bool) ->
 
 
 def read_records(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
-    """The records of all archives under path; blocks only of segments, and with `whole` the decoded payloads of complete ones."""
+    """The records of all archives under path; blocks only of segments, and with `whole` the decoded payloads of complete ones.
+
+    Archives are plain or gzip files. A task holds one file at a time, plain ones of less than 2 GB; write_archives() bounds
+    its files by their number of records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(x.name, pa.binary() if x.name == "block" else pa.int64() if isinstance(x.dataType, T.LongType) else pa.string()) for x in RECORD])
         for batch in batches:
             for file in batch.column(0):
+                content = file.as_py()
+                content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
                 rows, held = [], 0
-                for fields, block in parsed(file.as_py()):
+                for fields, block in parsed(content):
                     rows.append(_row(fields, block, whole))
                     held += len(rows[-1]["block"] or b"") + 300
                     if held > 8 << 20:

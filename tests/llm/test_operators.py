@@ -24,6 +24,10 @@ def counted(rows):
     return collections.Counter(map(tuple, rows))
 
 
+def texts_of(rows):
+    return sorted(map(repr, rows))
+
+
 # common
 
 #: Names of columns that operators add to rows on their way, and of those they return.
@@ -119,6 +123,17 @@ def test_warc_round_trip(spark):
     assert counted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == counted(want)
     assert {r["status"] for r in got} == {"ok"}
     assert {bytes(r["block"]) for r in got if r["record_type"] == "response"} == set(by)
+    # the same records in gzip files
+    import glob
+    import gzip
+    import os
+
+    packed = scratch.path("packed")
+    os.makedirs(packed)
+    for i, f in enumerate(glob.glob(path.removeprefix("file://") + "/part-*")):
+        with open(f, "rb") as plain, gzip.open(f"{packed}/{i}.warc.gz", "wb") as out:
+            out.write(plain.read())
+    assert texts_of(warc.read_archives(spark, packed, scratch, whole=True).collect()) == texts_of(got)
     path = scratch.path("none")
     warc.write_archives(pages(spark).limit(0), path)
     assert warc.read_archives(spark, path, scratch).count() == 0
