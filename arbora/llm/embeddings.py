@@ -662,3 +662,14 @@ def audit_recall(vectors: DataFrame, result: DataFrame, every: int = 100, block:
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_duplicates() of all embeddings."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.r, b.r AS o FROM ok a JOIN ok b ON len(a.e) = len(b.e) AND a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.95),
+c AS (SELECT r, r AS m FROM v UNION SELECT p.o, c.m FROM c JOIN p ON p.r = c.r),
+g AS (SELECT c.r, min(v.vec_id) AS component_id FROM c JOIN v ON v.r = c.m GROUP BY c.r),
+n AS (SELECT r, count(*) AS n_links FROM p GROUP BY r)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept FROM v JOIN g USING (r) LEFT JOIN n USING (r)
+"""

@@ -301,5 +301,29 @@ def clean(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dropped() of all documents."""
-    return dropped(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """dropped() of all documents, the line numbers as text."""
+    return dropped(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("dropped", F.array_join("dropped", ","))
+
+
+_LEAST = f"CASE WHEN len(w) > {LONG} THEN {min(MIN_DOCS, LONG_DOCS)} ELSE {MIN_DOCS} END"
+_LEVEL = " UNION ALL ".join(
+    f"SELECT w, k, {i} AS level, string_agg(p || ':' || t, chr(1) ORDER BY p) FILTER (c) AS name, count(*) FILTER (c) >= {SAME} * any_value(len(w)){f' AND any_value(len(w)) > {DEPTH} AND count(*) FILTER (c AND p > {DEPTH}) >= {SAME} * (any_value(len(w)) - {DEPTH})' if i else ''} AS fits FROM (SELECT *, n >= greatest({_LEAST}, {share} * docs) AS c FROM token) GROUP BY w, k"
+    for i, share in enumerate(LEVELS)
+)
+OP7_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS s FROM (SELECT r, string_split(text, chr(10)) AS x FROM d WHERE text <> '')),
+t AS (SELECT r, line, list_transform(regexp_extract_all(s, '[^ 	-]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
+k AS (SELECT *, len(w) || chr(1) || array_to_string(w[1:{DEPTH}], chr(1)) AS k FROM t WHERE len(w) > 0),
+leaf AS (SELECT k, count(DISTINCT r) AS docs FROM k GROUP BY k),
+met AS (SELECT k.*, docs FROM k JOIN leaf USING (k) WHERE docs >= {_LEAST}),
+once AS (SELECT w, k, any_value(docs) AS docs, count(DISTINCT r) AS held FROM met GROUP BY w, k),
+each AS (SELECT w, k, docs, held, generate_subscripts(w, 1) AS p, unnest(w) AS t FROM once),
+token AS (SELECT *, sum(held) OVER (PARTITION BY k, p, t) AS n FROM each),
+level AS ({_LEVEL}),
+template AS (SELECT w, k, level || chr(2) || k || chr(2) || name AS template FROM level WHERE fits UNION ALL SELECT w, k, 'own' || chr(2) || array_to_string(w, chr(1)) FROM level WHERE level = 0 AND NOT fits),
+recurring AS (SELECT template FROM template JOIN met USING (w, k) GROUP BY template HAVING count(DISTINCT r) >= any_value({_LEAST})),
+gone AS (SELECT DISTINCT w, k FROM template JOIN recurring USING (template)),
+drop_ AS (SELECT r, count(*)::INTEGER AS n, string_agg(line, ',' ORDER BY line) AS lines FROM met JOIN gone USING (w, k) GROUP BY r)
+SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE strlen(text) - strlen(replace(text, chr(10), '')) + 1 END::INTEGER AS n_lines, coalesce(n, 0) AS n_dropped, coalesce(lines, '') AS dropped FROM d LEFT JOIN drop_ USING (r)
+"""

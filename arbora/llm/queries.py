@@ -26,5 +26,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_licenses": licenses.OP2_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
+    "op7_line_dedup": lines.OP7_SQL,
+    "op8_embeddings": embeddings.OP8_SQL,
     "op10_minhash": minhash.OP10_SQL,
 }
