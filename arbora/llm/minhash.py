@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbora.llm.common import Scratch, field, held, mapped, renamed, running_totals, text_bytes
-from arbora.llm.graph import connected_components
+from arbora.llm.graph import ROWS, connected_components
 
 #: Percent of the union that the intersection must reach; words in a shingle, by the contract of op10 and elsewhere.
 PERCENT, SHINGLE, LONG_SHINGLE = 80, 2, 5
@@ -43,6 +43,8 @@ REGION = 4
 PART = 200_000
 #: Rounds before the last: with the hubs, then of each class with one candidate.
 ROUNDS = 3
+#: Pairs whose full sets one task compares, before it writes.
+PAIRS = 20_000
 #: Shingles in a block of a crowd, 8 bytes each; a larger set is a block of its own.
 CROWD_BLOCK = 1 << 20
 #: Ids that are broadcast to pick the candidates' texts, 16 bytes each; more are joined by a shuffle.
@@ -243,7 +245,7 @@ def candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("_size"))
     mass = members.join(sizes, "region").groupBy("a").agg(F.sum("_size").alias("_mass"))
     hub = members.join(mass, "a").groupBy("region").agg(F.max(F.struct("_mass", (-F.col("a")).alias("n"))).alias("_hub"))
-    met = scratch.table(members.join(hub.select("region", (-F.col("_hub.n")).alias("b")), "region").where("a <> b").select("a", "b").distinct(), "met")
+    met = scratch.table(members.join(hub.select("region", (-F.col("_hub.n")).alias("b")), "region").where("a <> b").select("a", "b").distinct().coalesce(1 + raw.count() // ROWS), "met")
     pairs = raw.where("region IS NULL AND a <> b").select("a", "b", F.lit(False).alias("hub")).unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("hub")))
     crowds = met.select(F.col("b").alias("crowd"), "a").unionByName(met.select(F.col("b").alias("crowd"), F.col("b").alias("a")).distinct())
     return pairs.groupBy("a", "b").agg(F.max("hub").alias("hub")), crowds
@@ -344,19 +346,20 @@ def crowded(crowds: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scrat
     of a crowd by set size bound a task; only pairs of labels leave it.
     """
     rows = crowds.join(label.withColumnRenamed("node", "a"), "a", "left").select("crowd", "a", F.coalesce("label", "a").alias("label"))
-    rows = scratch.table(rows, "crowds")
+    few = 1 + crowds.count() // ROWS
+    rows = scratch.table(rows.coalesce(few), "crowds")
     by = rows.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "label")).alias("_main"), F.count(F.lit(1)).alias("labels"))
-    main = scratch.table(by.where("labels > 1").select("crowd", F.col("_main.label").alias("_main")), "main")
+    main = scratch.table(by.where("labels > 1").select("crowd", F.col("_main.label").alias("_main")).coalesce(few), "main")
     if main.isEmpty():
         return None
     sized = sets.select("a", (F.octet_length("_full") / 8).cast("long").alias("n"))
     open_ = rows.join(main, "crowd").join(sized, "a").select("crowd", "a", "label", "n", (F.col("label") != F.col("_main")).alias("stranger"))
     ranked = running_totals(open_, "crowd", ["n", "a"], "n", scratch)
-    placed = scratch.table(ranked.select("crowd", "a", "label", "stranger", "n", F.floor(F.col("weight_before") / CROWD_BLOCK).alias("block")), "placed")
+    placed = scratch.table(ranked.select("crowd", "a", "label", "stranger", "n", F.floor(F.col("weight_before") / CROWD_BLOCK).alias("block")).coalesce(few), "placed")
     blocks = placed.groupBy("crowd", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("stranger").alias("any"))
     left, right = (blocks.select("crowd", *[F.col(x).alias(f"{x}_{side}") for x in ("block", "lo", "hi", "any")]) for side in "ij")
     units = left.where("any_i").join(right, "crowd").where(f"100 * hi_i >= {percent} * lo_j AND 100 * hi_j >= {percent} * lo_i")
-    units = scratch.table(units.select("crowd", F.col("block_i").alias("i"), F.col("block_j").alias("j")), "units")
+    units = scratch.table(units.select("crowd", F.col("block_i").alias("i"), F.col("block_j").alias("j")).coalesce(few), "units")
     # strangers of two blocks meet once
     asked = placed.where("stranger").join(units, (placed["crowd"] == units["crowd"]) & (placed["block"] == units["i"])).select(placed["crowd"], "i", "j", "a", "label", F.lit(True).alias("left"))
     facing = placed.join(units, (placed["crowd"] == units["crowd"]) & (placed["block"] == units["j"])).where("NOT stranger OR i <= j").select(placed["crowd"], "i", "j", "a", "label", F.lit(False).alias("left"))
@@ -378,32 +381,34 @@ def labels(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int =
     sets = scratch.table(full_sets(docs, scratch.table(classes.select("a", "doc_id").join(nodes, "a", "left_semi"), "nodes"), k), "sets")
     found: DataFrame | None = None
     for n in range(rounds + 1):
-        if open_.isEmpty():
+        if not (size := open_.count()):
             break
+        few = 1 + size // ROWS  # tasks that write tables of pairs and labels
         if n == 0:
             test = open_.where("hub").select("a", "b", "x", "y")
         elif n < rounds:
             ends = open_.select("a", "b", F.col("x").alias("u"), F.col("y").alias("v")).unionByName(open_.select("a", "b", F.col("y").alias("u"), F.col("x").alias("v")))
-            degree = scratch.table(ends.groupBy("v").agg(F.count(F.lit(1)).alias("_degree")), "degree")  # written, so that a hub's rows can be split in the join
+            degree = scratch.table(ends.groupBy("v").agg(F.count(F.lit(1)).alias("_degree")).coalesce(few), "degree")  # written, so that a hub's rows can be split in the join
             pick = ends.join(degree, "v").groupBy("u").agg(F.max(F.struct("_degree", -F.col("v"), "a", "b", "v")).alias("_pick"))
             test = pick.select("_pick.a", "_pick.b", F.least("u", "_pick.v").alias("x"), F.greatest("u", "_pick.v").alias("y")).distinct()
-            test = scratch.table(test, "test")
+            test = scratch.table(test.coalesce(few), "test")
         else:
             test = open_.select("a", "b", "x", "y")
-        passed = scratch.table(confirmed(test, sets, percent), "passed")
+        passed = scratch.table(confirmed(test, sets, percent).coalesce(1 + size // PAIRS), "passed")
         found = passed.select("a", "b") if found is None else found.unionByName(passed.select("a", "b"))
         if n == rounds:
             break
-        label = scratch.table(connected_components(passed.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch), "labels")
+        label = scratch.table(connected_components(passed.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).coalesce(few), "labels")
         left = open_.join(test.select("a", "b"), ["a", "b"], "left_anti")
         for end in ("x", "y"):
             left = left.join(label.select(F.col("node").alias(end), F.col("label").alias("_label")), end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
-        open_ = scratch.table(left.where("x <> y").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "candidates")
-    label = scratch.table(connected_components(found if found is not None else open_.select("a", "b"), scratch), "labels")
+        open_ = scratch.table(left.where("x <> y").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).coalesce(few), "candidates")
+    few = 1 + classes.count() // ROWS
+    label = scratch.table(connected_components(found if found is not None else open_.select("a", "b"), scratch).coalesce(few), "labels")
     if (met := crowded(crowds, label, sets, scratch, percent)) is None or met.isEmpty():
         return label
     # the components that crowds connect, and the classes that were alone before
-    later = scratch.table(connected_components(met.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).select(F.col("node").alias("_node"), F.col("label").alias("_label")), "later")
+    later = scratch.table(connected_components(met.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).select(F.col("node").alias("_node"), F.col("label").alias("_label")).coalesce(few), "later")
     moved = label.join(later, label["label"] == later["_node"], "left").select("node", F.coalesce("_label", "label").alias("label"))
     alone = later.join(label, later["_node"] == label["node"], "left_anti").select(F.col("_node").alias("node"), F.col("_label").alias("label"))
     return moved.unionByName(alone)
@@ -424,7 +429,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -
     classes = scratch.table(some.groupBy("_set").agg(F.min("doc_id").alias("doc_id"), F.first("a").alias("a"), F.first("_signature").alias("_signature")), "classes")
     label = labels(docs, classes.select("a", "doc_id", "_signature"), scratch, percent, k)
     group = classes.select("_set", "a", "doc_id").join(label.withColumnRenamed("node", "a"), "a", "left").select("_set", "doc_id", F.coalesce("label", "a").alias("label"))
-    group = scratch.table(group, "groups")
+    group = scratch.table(group.coalesce(1 + classes.count() // ROWS), "groups")
     least = group.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = group.join(least, "label").select("_set", "component_id")
     out = rows.select("doc_id", "n_shingles", "_set").join(by_set, "_set", "left")
