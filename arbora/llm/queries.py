@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbora.llm import decontamination, embeddings, licenses, lines, minhash, mixing, sharding, token_counts, tokens, toxicity, warc
+from arbora.llm import decontamination, embeddings, licenses, lines, minhash, mixing, sharding, token_counts, tokens, toxicity, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash": minhash.op10_minhash,
+    "op11_spelling": variants.op11_spelling,
     "op12_token_counts": token_counts.op12_token_counts,
 }
 
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": lines.OP7_SQL,
     "op8_embeddings": embeddings.OP8_SQL,
     "op10_minhash": minhash.OP10_SQL,
+    "op11_spelling": variants.OP11_SQL,
 }
