@@ -188,3 +188,14 @@ def running_totals(df: DataFrame, key: str, order: list[str], weight: str, scrat
     earlier = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = each.select("_pid", key, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_w0"))
     return local.join(offsets, ["_pid", key]).select(*df.columns, (F.col("_n") + F.col("_n0")).alias("rows_before"), (F.col("_w") + F.col("_w0")).alias("weight_before"))
+
+
+#: DuckDB's SQL has no crc32: a table expression crc(bytes) with the 256 remainders, to be joined by crc32_sql's users.
+CRC_SQL = """crc(bytes) as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) from (select unnest(range(256))::bigint i))"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8; crc must be among the tables."""
+    byte = f"list_transform(range(1, strlen(hex(encode({text}))) // 2 + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {byte}), lambda c, b: xor(c >> 8, bytes[xor(c, b) % 256 + 1])), 4294967295)"

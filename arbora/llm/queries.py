@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbora.llm import decontamination, embeddings, licenses, lines, minhash, mixing, sharding, token_counts, tokens, toxicity, variants, warc
+from arbora.llm import conversations, decontamination, embeddings, licenses, lines, minhash, mixing, sharding, token_counts, tokens, toxicity, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": minhash.op10_minhash,
     "op11_spelling": variants.op11_spelling,
     "op12_token_counts": token_counts.op12_token_counts,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_embeddings": embeddings.OP8_SQL,
     "op10_minhash": minhash.OP10_SQL,
     "op11_spelling": variants.OP11_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
 }

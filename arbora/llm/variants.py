@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import Scratch, field, give_back, mapped, small_batches
+from arbora.llm.common import CRC_SQL, Scratch, crc32_sql, field, give_back, mapped, small_batches
 
 #: A word's least length in code points, its least number of occurrences, and how many times as frequent its form must be.
 LEAST_LENGTH, LEAST_COUNT, FACTOR = 6, 5, 5
@@ -289,16 +289,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(spark.read.parquet(str(sf_dir) + "/documents.parquet")))
 
 
-OP11_SQL = r"""
-with recursive crc(bytes) as (
-  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) from (select unnest(range(256))::bigint i)),
+OP11_SQL = rf"""
+with recursive {CRC_SQL},
 runs as (
   select doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run, count(*) k
-  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) x from documents) where length(x) >= 6 group by all),
-hashed as (
-  select run, k, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, strlen(hex(encode(s))) // 2 + 1), lambda i: ('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::bigint)),
-    lambda c, b: xor(c >> 8, bytes[xor(c, b) % 256 + 1])), 4294967295) h
-  from (select run, k, coalesce(doc_id::varchar, '') || ':' || run s from runs), crc),
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) x from documents) where length(x) >= 6 group by all),
+hashed as (select run, k, {crc32_sql("s")} h from (select run, k, coalesce(doc_id::varchar, '') || ':' || run s from runs), crc),
 words as (
   select word, sum(k)::bigint n from (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word, k from hashed)
   where length(word) >= 6 group by word having sum(k) >= 5),
