@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions import paths
+from arbora.sources import shared
 
 
 def children(nodes: DataFrame, path: str) -> DataFrame:
@@ -24,6 +25,29 @@ def visit(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy(paths.segments(F.col("path")))
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """Rows with their place (from 1) in a global order, without a window over all of them.
+
+    Rows are dealt by range and sorted within partitions, so the order of partitions is the order of rows; a place is a
+    row's number in its partition and the rows of the partitions before, of which there is one sum each. The sorted rows
+    are written once, as a second range could cut elsewhere. Equal rows get some order.
+    """
+    made = rows.withColumns({f"_o{i}": x for i, x in enumerate(order)})
+    keys = [f"_o{i}" for i in range(len(order))]
+    ranged = made.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys).withColumn("_at", F.monotonically_increasing_id())
+    stored = shared.written(ranged, f"{shared.fresh(rows.sparkSession, 'numbered')}/rows")
+    part = F.shiftright("_at", 33)
+    sums = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))  # a row a partition
+    before = sums.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    joined = stored.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return joined.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))
+
+
+def depth_first(nodes: DataFrame) -> DataFrame:
+    """Nodes with their place in a depth-first walk that takes children by name."""
+    return numbered(nodes, paths.segments(F.col("path")))
+
+
 def statistics(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("total_nodes"), F.count_if("is_dir").alias("directories"), F.count_if(~F.col("is_dir")).alias("files"), F.sum("size").alias("total_size"), F.max("depth").alias("max_depth"))
 

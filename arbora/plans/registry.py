@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.functions import html, parallel, paths, text
-from arbora.operators import blame, documents, editing, hierarchy, packing, retrieval, search
+from arbora.operators import blame, documents, editing, hierarchy, packing, retrieval, search, vector_index
+from arbora.operators.vector_store import VectorStore
 from arbora.sources import files as sources
-from arbora.sources import tables
+from arbora.sources import shared, tables
 from arbora.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -405,6 +406,43 @@ def cosine_topk_per_label(spark, d):
     return retrieval.top_k_each(e, first).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+_TOP = "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) - 1)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank < 10"
+
+
+@query(_TOP)
+def vector_index_topk(spark, d):
+    e = tables.table(spark, d, "embeddings")
+    index = vector_index.build(e, f"{shared.fresh(spark, 'vectors')}/index")
+    found = index.search(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _store(spark, d) -> VectorStore:
+    """Four versions: all vectors; some reversed and some gone; the same, compacted; more gone."""
+    e = tables.table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    store = VectorStore(spark, f"{shared.fresh(spark, 'vectors')}/store")
+    store.upsert(e)
+    store.commit(e.where("vec_id % 5 = 0").withColumn("embedding", F.reverse("embedding")), e.where("vec_id % 7 = 0").select("vec_id"))
+    store.compact()
+    store.delete(e.where("vec_id % 11 = 0").select("vec_id"))
+    return store
+
+
+_SECOND = "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding, label FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 5 = 0"
+
+
+@query(f"SELECT vec_id, label, round(embedding[1]::DOUBLE, 5) AS head, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM ({_SECOND}) WHERE vec_id % 11 <> 0")
+def vector_store_rows(spark, d):
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return _store(spark, d).read().select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 5).alias("head"), F.round(total, 4).alias("total"))
+
+
+@query(f"SELECT 1 AS version, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings UNION ALL SELECT v, count(*), sum(vec_id)::BIGINT FROM ({_SECOND}), range(2, 4) t(v) GROUP BY v UNION ALL SELECT 4, count(*), sum(vec_id)::BIGINT FROM ({_SECOND}) WHERE vec_id % 11 <> 0")
+def vector_store_versions(spark, d):
+    store = _store(spark, d)
+    return reduce(lambda a, b: a.unionByName(b), [store.read(v).agg(F.lit(v).cast("long").alias("version"), F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids")) for v in store.versions()])
+
+
 _SYNC = "s AS (SELECT '/doc' || doc_id AS path, 1700000000 + doc_id AS t, CASE WHEN doc_id % 7 = 0 THEN md5('x' || text) ELSE md5(text) END AS h FROM documents), n AS (SELECT CASE WHEN doc_id % 11 = 0 THEN '/moved' ELSE '/doc' END || doc_id AS path, 1700000000 + doc_id + CASE WHEN doc_id % 3 = 0 THEN 3600 ELSE 0 END AS t, md5(text) AS h FROM documents), c AS (SELECT coalesce(n.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'add' WHEN n.path IS NULL THEN 'delete' WHEN n.t > s.t AND n.h <> s.h THEN 'update' END AS action FROM s FULL JOIN n ON s.path = n.path)"
 
 
@@ -567,8 +605,7 @@ def author_colors(spark, d):
 
 @query(f"WITH {NODES} SELECT path, row_number() OVER (ORDER BY seg) AS place FROM nodes")
 def depth_first(spark, d):
-    rows = hierarchy.visit(_nodes(spark, d)).select("path", paths.segments(F.col("path")).alias("_s"))
-    return rows.select("path", F.row_number().over(Window.orderBy("_s")).alias("place"))
+    return hierarchy.depth_first(_nodes(spark, d).select("path"))
 
 
 @query(f"WITH {NODES} SELECT path, is_dir, row_number() OVER (PARTITION BY parent_path ORDER BY is_dir DESC, name) AS place FROM nodes WHERE path <> '/'")
