@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions import golang, paths, text
+from arbora.sources import shared
 
 
 def included(path: Column, hidden: bool = False, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
@@ -77,14 +79,25 @@ def directory_texts(files: DataFrame) -> DataFrame:
     return rows.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("path", "_part"))).alias("_all")).select("dir", F.array_join(F.col("_all._part"), "").alias("text"))
 
 
+#: Files of a directory beyond which its batches are found by many tasks, and rows that one of those holds.
+LARGE, BLOCK = 1 << 18, 1 << 18
+
+
 def token_batches(files: DataFrame, limit: int) -> DataFrame:
     """path, dir, batch (from 1), tokens: files of a directory in path order, a new batch where the sum would pass the limit.
 
-    A file above the limit is alone in its batch. Each batch depends on the one before, so a directory's paths and token
-    counts are read in order by one task; it holds an Arrow batch of them at a time, no texts and no whole directory.
+    A file above the limit is alone in its batch. A directory of LARGE files or fewer is read in order by one task, which holds
+    an Arrow batch of paths and counts, no texts; larger ones go through ranged_batches(). Paths are distinct.
     """
     rows = files.select(paths.parent(F.col("path")).alias("dir"), "path", text.tokens(section()).alias("tokens"))
+    large = rows.groupBy("dir").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE).select("dir")
+    if large.isEmpty():
+        return _streamed(rows, limit)
+    large = shared.written(large, f"{shared.fresh(files.sparkSession, 'batches')}/large")
+    return _streamed(rows.join(large, "dir", "left_anti"), limit).unionByName(ranged_batches(rows.join(large, "dir", "left_semi"), limit))
+
 
+def _streamed(rows: DataFrame, limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, number, used = None, 0, 0
         for b in batches:
@@ -99,7 +112,107 @@ def token_batches(files: DataFrame, limit: int) -> DataFrame:
                 out.append(number)
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("dir"), pa.array(out, pa.int32()), b.column("tokens")], names=["path", "dir", "batch", "tokens"])
 
-    return rows.repartition("dir").sortWithinPartitions("dir", "path").mapInArrow(run, "path string, dir string, batch int, tokens int")
+    return rows.repartition("dir").sortWithinPartitions("dir", "path").mapInArrow(run, BATCHES)
+
+
+BATCHES = "path string, dir string, batch int, tokens int"
+
+
+def next_starts(tokens: np.ndarray, limit: int) -> np.ndarray:
+    """For a batch that begins at each row, where the next one begins (the number of rows if it is still open at the end)."""
+    sums = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
+    return np.maximum(np.searchsorted(sums, sums[:-1] + limit, side="right") - 1, np.arange(1, len(tokens) + 1))
+
+
+def chains(after: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a batch that begins at each row: batches begun from there to the end of the rows, and tokens in the one then open.
+
+    By pointer doubling: each round doubles the number of batches that a pointer passes.
+    """
+    n = len(after)
+    to, begun = np.append(after, n), np.append(np.ones(n, dtype=np.int64), 0)
+    last = np.append(np.arange(n), n)  # the last start passed on the way
+    while (to[:n] < n).any():
+        last = np.where(to < n, last[to], last)
+        begun, to = begun + begun[to], to[to]
+    return begun[:n], sums[n] - sums[last[:n]]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int, *keys: str) -> Iterator[pa.Table]:
+    """Sorted batches as tables of one key each, so many rows at most."""
+    held, rows, now = [], 0, None
+    for b in batches:
+        values = list(zip(*[b.column(k).to_pylist() for k in keys], strict=True))
+        at = 0
+        while at < len(values):
+            if held and (values[at] != now or rows >= most):
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+            now, end = values[at], at
+            while end < len(values) and values[end] == now and rows + end - at < most:
+                end += 1
+            held.append(b.slice(at, end - at))
+            rows, at = rows + end - at, end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def ranged_batches(rows: DataFrame, limit: int, most: int = BLOCK) -> DataFrame:
+    """token_batches() of dir, path, tokens for directories of any size, each in many tasks.
+
+    Rows are dealt by range of directory and path, so a partition holds consecutive files; it is cut in
+    blocks of `most` rows at most. What a block
+    does to a batch that is open before it depends only on which of its files is the first to begin a new one, so each
+    block tells for those that can be, the ones within the first `limit` tokens, how many batches begin from there on and how many
+    tokens the last holds. A directory's blocks are followed in order over these few rows, then each block numbers its files.
+    """
+    spark = rows.sparkSession
+    folder = shared.fresh(spark, "batches")
+    block = "dir string, path string, tokens int, part int, block int, at int, before long, begun long, open long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for number, piece in enumerate(_pieces(batches, most, "dir")):
+            tokens = piece["tokens"].to_numpy().astype(np.int64)
+            n, sums = len(tokens), np.concatenate([[0], np.cumsum(tokens)])
+            begun, left = chains(next_starts(tokens, limit), sums)
+            yield from pa.table([piece["dir"], piece["path"], piece["tokens"], *(pa.array(np.full(n, x, np.int32)) for x in (part, number)), pa.array(np.arange(n, dtype=np.int32)), pa.array(sums[:-1]), pa.array(begun), pa.array(left)], names=["dir", "path", "tokens", "part", "block", "at", "before", "begun", "open"]).to_batches()
+
+    own = shared.written(rows.select("dir", "path", "tokens").repartitionByRange("dir", "path").sortWithinPartitions("dir", "path").mapInArrow(cut, block), f"{folder}/blocks")
+    totals = own.groupBy("dir", "part", "block").agg(F.sum("tokens").cast("long").alias("total"))
+    first = own.where(F.col("before") <= limit).select("dir", "part", "block", "at", "before", (F.col("before") + F.col("tokens")).alias("till"), "begun", "open")
+
+    def followed(table: pa.Table) -> pa.Table:
+        """Of a directory's blocks: the batch open before each, its tokens (none before the first), and so on to the next."""
+        t = table.sort_by([("part", "ascending"), ("block", "ascending"), ("at", "ascending")])
+        part, number, till, begun, left, total = (t[x].to_numpy() for x in ("part", "block", "till", "begun", "open", "total"))
+        starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (number[1:] != number[:-1])]))
+        batch, used, out = 0, None, []
+        for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
+            out.append((batch, used))
+            i = a if used is None else a + int(np.searchsorted(till[a:b], limit - used, side="right"))  # the first file that passes the limit
+            batch, used = (batch, used + int(total[a])) if i == b else (batch + int(begun[i]), int(left[i]))
+        names = {"dir": t["dir"].take(pa.array(starts)), "part": pa.array(part[starts]), "block": pa.array(number[starts]), "batch": pa.array([x for x, _ in out], pa.int64()), "used": pa.array([x for _, x in out], pa.int64())}
+        return pa.table(names)
+
+    entered = first.join(totals, ["dir", "part", "block"]).groupBy("dir").applyInArrow(followed, "dir string, part int, block int, batch long, used long")
+    entered = shared.written(entered, f"{folder}/entered")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches, most, "dir", "part", "block"):
+            tokens, used, batch = piece["tokens"].to_numpy().astype(np.int64), piece["used"][0].as_py(), piece["batch"][0].as_py()
+            n, sums = len(tokens), np.concatenate([[0], np.cumsum(tokens)])
+            after, new = next_starts(tokens, limit), np.zeros(n, dtype=np.int64)
+            at = 0 if used is None else int(np.searchsorted(sums[1:], limit - used, side="right"))
+            while at < n:
+                new[at] = 1
+                at = int(after[at])
+            yield from pa.table([piece["path"], piece["dir"], pa.array((batch + np.cumsum(new)).astype(np.int32)), piece["tokens"]], names=["path", "dir", "batch", "tokens"]).to_batches()
+
+    keys = ["dir", "part", "block"]
+    return own.select(*keys, "at", "path", "tokens").join(entered, keys).repartition(*keys).sortWithinPartitions(*keys, "at").mapInArrow(numbered, BATCHES)
 
 
 def batch_texts(files: DataFrame, limit: int) -> DataFrame:

@@ -263,6 +263,12 @@ def token_binpack(spark, d):
     return packing.token_batches(_files(spark, d), 3000)
 
 
+@query(ORACLE_SQL["token_binpack"])
+def token_binpack_ranged(spark, d):
+    rows = _files(spark, d).select(paths.parent(F.col("path")).alias("dir"), "path", text.tokens(packing.section()).alias("tokens"))
+    return packing.ranged_batches(rows, 3000, 64)
+
+
 @query(f"WITH {NODES}, r AS (SELECT parent_path AS dir, path, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS n, count(*) OVER (PARTITION BY parent_path) AS total, dense_rank() OVER (ORDER BY parent_path) AS m FROM nodes WHERE NOT is_dir) SELECT dir, string_agg(path, ',' ORDER BY path) FILTER (n <= 5) AS shown, greatest(max(total) - 5, 0)::INTEGER AS more FROM r WHERE m <= 30 GROUP BY dir")
 def first_n_per_module(spark, d):
     return packing.first_per_module(_files(spark, d)).select("dir", F.array_join("shown", ",").alias("shown"), "more")
