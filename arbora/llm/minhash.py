@@ -12,9 +12,9 @@ with the hubs, then, among the classes that are still apart, each with the candi
 all that are left; so a large group of copies needs about one comparison for each copy.
 
 Pairs of a large region that were no candidates are not lost: where classes of one region are still in different
-components, the ones outside the region's main component are compared with all others of it on their full sets, in blocks
-by size, by the postings of their rarest shingles. That join is exact, so no pair that shares a region goes untested
-unless links already connect it.
+components, the ones outside the region's main component are joined with all others of it by prefixes of their sets, the
+rarest shingles first, and what meets is compared on the full sets. That join is exact, so no pair that shares a region goes
+untested unless links already connect it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import Scratch, field, held, mapped, renamed, running_totals, text_bytes
+from arbora.llm.common import Scratch, field, held, mapped, renamed, text_bytes
 from arbora.llm.graph import ROWS, connected_components
 
 #: Percent of the union that the intersection must reach; words in a shingle, by the contract of op10 and elsewhere.
@@ -43,8 +43,8 @@ REGION = 4
 PART = 200_000
 #: Rounds before the last: with the hubs, then of each class with one candidate.
 ROUNDS = 3
-#: Shingles in a block of a crowd, 8 bytes each; a larger set is a block of its own.
-CROWD_BLOCK = 1 << 20
+#: Slots in which the shingles of crowds are counted, to tell common ones.
+SLOTS = 1 << 16
 #: Ids that are broadcast to pick the candidates' texts, 16 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words that a Python worker remembers, of at most LONGEST bytes each.
@@ -294,54 +294,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return mapped(pairs.join(left, "a").join(right, "b").select(*names, "_full", "_other"), run, schema)
 
 
-UNIT = T.StructType([field("x", T.LongType()), field("y", T.LongType())])
+def token_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each slot, SLOTS in all: common shingles stand out, rare ones share a slot with others as rare."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            data, at, _ = text_bytes(batch.column("_full"))
+            if batch.num_rows:
+                counts += np.bincount((np.frombuffer(data, np.uint64)[at[0] // 8 : at[-1] // 8] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["slot", "n"])
+
+    out = np.zeros(SLOTS, dtype=np.int64)
+    for r in mapped(sets.select("_full"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+#: Words of the sketch that goes with a prefix: bits that tell whether an odd number of a set's shingles fall on them.
+SKETCH = ["_s0", "_s1", "_s2", "_s3"]
+PREFIX_ROW = T.StructType([*(field(x, T.LongType()) for x in ("a", "n", "shingle", "place")), field("short", T.BooleanType()), *(field(x, T.LongType()) for x in SKETCH)])
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Two sets' sketches differ in as many bits as the sets in shingles, or fewer."""
+    return np.packbits(np.bincount((shingles >> np.uint64(40)).astype(np.int64) & 255, minlength=256).astype(np.uint8) & 1).view(np.int64)
 
-def crowd_links(percent: int, left: pa.Table, right: pa.Table) -> list[tuple[int, int]]:
-    """Pairs of labels that links between strangers (left: label, _full) and a block of their crowd (right) connect.
 
-    A pair that links shares one of any n - ceil(n * percent / 100) + 1 shingles of a set of n: of the rarest ones here.
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """Of each set of n its n - ceil(n * percent / 100) + 1 rarest shingles; short: among the first n - ceil(2 n percent / (100 + percent)) + 1.
+
+    Two sets that link share a shingle of the larger one's prefix and the smaller one's short prefix, if both are in one order,
+    whatever it is: their intersection is percent of the larger one at least, and 2 percent / (100 + percent) of the smaller.
     """
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("_full")]
-    labels = right.column("label").to_pylist()
-    sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owners = tokens[order], owners[order]
-    out = []
-    for label, own in zip(left.column("label").to_pylist(), left.column("_full"), strict=True):
-        p = np.frombuffer(own.as_buffer(), np.uint64)
-        first, last = np.searchsorted(tokens, p, "left"), np.searchsorted(tokens, p, "right")
-        rare = np.argsort(last - first, kind="stable")[: len(p) - (len(p) * percent + 99) // 100 + 1]
-        met = np.unique(np.concatenate([owners[first[t] : last[t]] for t in rare]))
-        met = met[(100 * np.minimum(sizes[met], len(p)) >= percent * np.maximum(sizes[met], len(p)))]
-        mine = root(label)
-        met = [m for m in met.tolist() if root(labels[m]) != mine]
-        if not met:
-            continue
-        n = last - first
-        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        both = np.bincount(owners[at], minlength=len(sets))
-        for m in met:
-            if 100 * both[m] >= percent * (len(p) + sizes[m] - both[m]) and root(labels[m]) != root(label):
-                out.append((label, labels[m]))
-                parent[root(labels[m])] = root(label)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                parts = []
+                for a, x in zip(batch.column("a").to_pylist()[at : at + 256], batch.column("_full").slice(at, 256), strict=True):
+                    own = np.frombuffer(x.as_buffer(), np.uint64)
+                    n = len(own)
+                    long, few = n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+                    rare, place = own[np.lexsort((own, counts[own % np.uint64(SLOTS)]))[:long]], np.arange(long)
+                    parts.append([np.full(long, a, dtype=np.int64), np.full(long, n), rare.view(np.int64), place, place < few, *(np.full(long, y) for y in sketch(own))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=PREFIX_ROW.names)
+
+    return mapped(sets.select("a", "_full"), run, PREFIX_ROW)
 
 
 def crowded(crowds: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
     """x, y: labels that links within crowds connect, where a crowd's classes have several; None: all have one.
 
-    Each class outside a crowd's main component is compared with all classes of the crowd that could be as large. Blocks
-    of a crowd by set size bound a task; only pairs of labels leave it.
+    Each class outside a crowd's main component (a stranger) is joined with the crowd's other classes by prefixes of their
+    sets. Of pairs that share a shingle there, those whose sizes, places of the shingle and sketches admit a link are compared
+    on the full sets, so texts around one boilerplate are told apart by a few numbers. Keys that many have are split by the join.
     """
     rows = crowds.join(label.withColumnRenamed("node", "a"), "a", "left").select("crowd", "a", F.coalesce("label", "a").alias("label"))
     few = 1 + crowds.count() // ROWS
@@ -350,25 +358,18 @@ def crowded(crowds: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scrat
     main = scratch.table(by.where("labels > 1").select("crowd", F.col("_main.label").alias("_main")).coalesce(few), "main")
     if main.isEmpty():
         return None
-    sized = sets.select("a", (F.octet_length("_full") / 8).cast("long").alias("n"))
-    open_ = rows.join(main, "crowd").join(sized, "a").select("crowd", "a", "label", "n", (F.col("label") != F.col("_main")).alias("stranger"))
-    ranked = running_totals(open_, "crowd", ["n", "a"], "n", scratch)
-    placed = scratch.table(ranked.select("crowd", "a", "label", "stranger", "n", F.floor(F.col("weight_before") / CROWD_BLOCK).alias("block")).coalesce(few), "placed")
-    blocks = placed.groupBy("crowd", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("stranger").alias("any"))
-    left, right = (blocks.select("crowd", *[F.col(x).alias(f"{x}_{side}") for x in ("block", "lo", "hi", "any")]) for side in "ij")
-    units = left.where("any_i").join(right, "crowd").where(f"100 * hi_i >= {percent} * lo_j AND 100 * hi_j >= {percent} * lo_i")
-    units = scratch.table(units.select("crowd", F.col("block_i").alias("i"), F.col("block_j").alias("j")).coalesce(few), "units")
-    # strangers of two blocks meet once
-    asked = placed.where("stranger").join(units, (placed["crowd"] == units["crowd"]) & (placed["block"] == units["i"])).select(placed["crowd"], "i", "j", "a", "label", F.lit(True).alias("left"))
-    facing = placed.join(units, (placed["crowd"] == units["crowd"]) & (placed["block"] == units["j"])).where("NOT stranger OR i <= j").select(placed["crowd"], "i", "j", "a", "label", F.lit(False).alias("left"))
-
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("left")
-        strangers, others = table.filter(side), table.filter(pa.compute.invert(side))
-        found = crowd_links(percent, strangers, others) if strangers.num_rows and others.num_rows else []
-        return pa.table({"x": pa.array([x for x, _ in found], pa.int64()), "y": pa.array([y for _, y in found], pa.int64())})
-
-    return scratch.table(asked.unionByName(facing).join(sets, "a").groupBy("crowd", "i", "j").applyInArrow(run, UNIT), "crowd-links")
+    open_ = scratch.table(rows.join(main, "crowd").select("crowd", "a", "label", (F.col("label") != F.col("_main")).alias("stranger")).coalesce(few), "open")
+    own = sets.join(open_.select("a").distinct(), "a", "left_semi")
+    marked = scratch.table(prefixes(own, token_counts(own), percent).join(open_, "a"), "prefixes")
+    short = marked.where("short").select("crowd", "shingle", *[F.col(x).alias(f"_{x}") for x in ("a", "n", "label", "stranger", "place", *SKETCH)])
+    fits = f"label <> _label AND (n > _n OR n = _n AND a > _a) AND 100 * _n >= {percent} * n"
+    # what two sets can share at most: what is left of both from the first shingle they share, and by the bits in which they differ
+    fits += f" AND {100 + percent} * least(n - place, _n - _place) >= {percent} * (n + _n) AND {100 + percent} * ({' + '.join(f'bit_count({x} ^ _{x})' for x in SKETCH)}) <= {100 - percent} * (n + _n)"
+    pick = lambda longer, shorter: longer.join(shorter, ["crowd", "shingle"]).where(fits).select("a", F.col("_a").alias("b"), F.col("label").alias("x"), F.col("_label").alias("y"))
+    # strangers with all, and the others with strangers: never all with all
+    pairs = pick(marked.where("stranger"), short).unionByName(pick(marked.where("NOT stranger"), short.where("_stranger")))
+    linked = confirmed(scratch.table(pairs.distinct(), "strangers"), sets, percent)
+    return scratch.table(linked.select("x", "y").distinct(), "crowd-links")
 
 
 def labels(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int = PERCENT, k: int = SHINGLE, rounds: int = ROUNDS) -> DataFrame:

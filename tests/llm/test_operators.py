@@ -690,30 +690,39 @@ def test_minhash_ids(spark, base):
     assert got == {("b", n): ("a", False), ("b", 39): ("b", True), ("a", n + 1): ("a", True), ("c", 40): ("b", False), (None, n + 1): ("a", False), (None, 2): (None, True), ("d", 0): ("d", True)}
 
 
-def test_crowd_links():
-    """Blocks of strangers against all others: what is linked ends under one label, as by brute force."""
-    import pyarrow as pa
-
+def test_prefixes_of_linked_sets_meet(spark):
+    """The longer set's prefix and the shorter one's short prefix share a shingle, whatever the counts are."""
     r = random.Random(13)
     base = [f"w{i}" for i in range(60)]
-    texts = [" ".join(edited(r, base, 6)) for _ in range(60)]
-    table = pa.table({"label": pa.array(range(60), pa.int64()), "_full": pa.array([minhash.shingles(t.encode()).tobytes() for t in texts], pa.binary())})
-    found = minhash.crowd_links(80, table.slice(0, 30), table)
-    parent = list(range(60))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for x, y in found:
-        assert root(x) != root(y)
-        parent[root(x)] = root(y)
+    texts = [" ".join([*edited(r, base, 6), *(f"y{r.randint(0, 9999)}" for _ in range(r.randint(0, 9)))]) for _ in range(120)]
     sets = [shingled(t) for t in texts]
-    for a in range(30):
-        for b in range(60):
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                assert root(a) == root(b)
+    table = spark.createDataFrame([(i, bytearray(minhash.shingles(t.encode()).tobytes())) for i, t in enumerate(texts)], "a long, _full binary").repartition(3)
+    own = minhash.token_counts(table)
+    assert own.sum() == sum(len(x) for x in sets)
+    for counts in (own, np.zeros_like(own)):
+        long, short = {}, {}
+        for x in minhash.prefixes(table, counts, 80).collect():
+            long.setdefault(x.a, set()).add(x.shingle)
+            if x.short:
+                short.setdefault(x.a, set()).add(x.shingle)
+        linked = [(a, b) for a in range(120) for b in range(120) if a != b and len(sets[a]) >= len(sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        assert len(linked) > 100 and all(long[a] & short[b] for a, b in linked)
+    marks = [minhash.sketch(minhash.shingles(t.encode())) for t in texts]
+    assert all(sum(int(v).bit_count() if v >= 0 else int(v & (2**63 - 1)).bit_count() + 1 for v in (marks[a] ^ marks[b]).tolist()) <= len(sets[a] ^ sets[b]) for a in range(120) for b in range(120))
+
+
+def test_texts_around_one_boilerplate_do_not_all_meet(spark, monkeypatch):
+    """Words changed here and there, no two alike: a crowd with as many components as texts, and few pairs that are compared."""
+    r = random.Random(14)
+    base = [f"w{i}" for i in range(150)]
+    texts = [[w if r.random() > 0.06 else f"z{r.randint(0, 10**9)}" for w in base] for _ in range(500)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts + [texts[0][:-1], texts[1][2:]])]
+    compared = []
+    confirm = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *x: (compared.append(pairs.count()), confirm(pairs, *x))[1])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert counted(got.collect()) == counted(components(rows))
+    assert compared[-1] < 500 * 500 / 2 / 50
 
 
 def test_signatures_estimate(base):
