@@ -17,7 +17,6 @@ bound that holds for every difference.
 from __future__ import annotations
 
 import hashlib
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field as own
 
@@ -544,8 +543,7 @@ def _links(spark: SparkSession, classes: DataFrame, wide: type, scratch: Scratch
         if not exact[0] or (exact[1] or 0) >= RECALL * exact[0]:
             return found
         if sigmas * sigmas >= widest:
-            warnings.warn(f"the audit found {exact[1]} of {exact[0]} links", stacklevel=2)
-            return found
+            raise RuntimeError(f"the audit found {exact[1]} of {exact[0]} links at the widest search; no incomplete result is given")
         sigmas *= 2
 
 

@@ -26,8 +26,8 @@ from arbora.llm.common import field, give_back, mapped, renamed, small_batches,
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: The classifier is fitted on a bounded sample of the labelled rows: so many of each class at most, taken by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
-#: Bytes of the texts of each class at most.
-SAMPLE_BYTES = 64 << 20
+#: Bytes of the texts of each class at most, and the share of them that one text may have; longer ones are no examples.
+SAMPLE_BYTES, LONGEST_SHARE = 64 << 20, 64
 #: Landmarks that tell the classes apart, and landmarks of ordinary text; their lengths in bytes, with the space of a word's start.
 LANDMARKS, BACKGROUND, LENGTHS = 48, 2, (4, 5, 6, 7, 8)
 #: Landmarks that a toxic text should hold, where it can.
@@ -296,7 +296,7 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of the labelled rows whose fold isn't 0. Labels other than 0 and 1 and documents without a text are left out."""
+    """A model of the labelled rows whose fold isn't 0. Labels other than 0 and 1, documents without a text and texts above 1 MB are left out."""
     marks = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1)).where(fold_of(F.col("doc_id")) != 0)
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(marks, "doc_id")
     sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -306,6 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         own = rows.where(F.col("toxic") == label)
         ids = own.select("doc_id", F.xxhash64("doc_id").alias("_order")).distinct().orderBy("_order", "doc_id").limit(most)
         texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids.withColumnRenamed("_order", "_place")), "doc_id")
+        texts = texts.where(F.octet_length("text") <= SAMPLE_BYTES // LONGEST_SHARE)
         # a few thousand rows: in their order, as many as SAMPLE_BYTES hold
         texts = texts.orderBy("_place", "doc_id", F.xxhash64("text")).limit(2 * most)
         till = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy("_place", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))

@@ -729,3 +729,26 @@ def test_signatures_estimate(base):
     a, b = minhash.shingles(base.encode()), minhash.shingles(base.replace("seven", "eight").encode())
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((minhash.signature(a) == minhash.signature(b)).mean() - true) < 0.12
+
+
+def test_a_long_labelled_text_leaves_room_for_the_others(spark, monkeypatch):
+    seen = {}
+
+    def train(toxic, clean, *_):
+        seen.update(toxic=toxic, clean=clean)
+
+    monkeypatch.setattr(toxicity, "train", train)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 6_400)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, ("long " * 50 if i % 3 == 0 else f"text {i}")) for i in ids]
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"))
+    assert len(seen["toxic"]) == sum(i % 2 == 1 and i % 3 > 0 for i in ids) and len(seen["clean"]) == sum(i % 2 == 0 and i % 3 > 0 for i in ids)
+
+
+def test_an_incomplete_search_is_no_result(spark, monkeypatch):
+    """Where the audit's share of links can't be reached, the query fails instead of giving what it has."""
+    monkeypatch.setattr(embeddings, "RECALL", 1.1)
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.repeat(r.normal(size=(5, 8)), 4, axis=0) + 0.001 * r.normal(size=(20, 8)))]
+    with pytest.raises(RuntimeError, match="audit"):
+        embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
