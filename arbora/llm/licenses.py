@@ -1,8 +1,9 @@
 """Licence scan: normalised text compared to licence templates by the Dice coefficient over word bigrams.
 
-DataFrame functions only. Units are the whole text, each of its lines, and runs of up to RUN paragraphs (lines between
-blank ones; lines of signs only count as blank), so notices that are wrapped over lines and licences of several paragraphs
-are met in longer files. A unit meets only templates whose number of bigrams lies within the bounds that the threshold
+DataFrame functions only. Units are the whole text, each of its lines, and runs of up to as many paragraphs as the longest
+template has (lines between blank ones; lines of signs only count as blank), so notices that are wrapped over lines and
+licences of several paragraphs are met in longer files. Where lines that begin with a comment's sign stand next to lines that
+don't, paragraphs are also cut between them, so a header in a comment is met although code follows at once. A unit meets only templates whose number of bigrams lies within the bounds that the threshold
 allows: an equality join on that number with a table of some hundred rows, built from the templates. No row is shuffled.
 
 Two more bounds prune exactly. Whoever shares enough bigrams with a template holds one of a few of its words (telling()),
@@ -18,7 +19,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-THRESHOLD, RUN = 0.8, 4
+THRESHOLD = 0.8
+#: How a line of a comment begins.
+COMMENT = r"^[ \t]*(#|//|/\*|\*|--|;|%|<!--)"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -87,6 +90,11 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
+def paragraphs(text: str) -> int:
+    """Parts between blank lines, where lines of signs only count as blank."""
+    return len(re.split(r"\n\n+", re.sub(r" ?\n ?", "\n", re.sub(r"[^a-z0-9\n]+", " ", text.lower())).strip()))
+
+
 def pairs(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:], strict=False))
 
@@ -146,11 +154,16 @@ def by_size(spark: SparkSession, templates: dict[str, str], threshold: float) ->
     return rows.groupBy("_n").agg(F.collect_list(F.struct("template", "grams")).alias("_templates"))
 
 
+def _normal(text: Column) -> Column:
+    """Words with single spaces, line by line."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, unit, place, template, dice for each unit that reaches the threshold with some template.
 
-    unit and place: text and 0; line and its number from 1; or paragraphs and "first-last", from 1, for runs that are not the
-    whole text. Of several templates the one with the largest coefficient, then the last by name. Null and empty texts and units of a
+    unit and place: text and 0; line and its number from 1; paragraphs and "first-last", from 1, for runs that are not the
+    whole text; blocks likewise, for paragraphs also cut where comments begin and end, in texts that have such places. Of several templates the one with the largest coefficient, then the last by name. Null and empty texts and units of a
     single word match nothing; rows that repeat, and those with a null doc_id, match each for itself; no templates or no
     documents, no rows. Texts are taken whole; of a long one the units that may match have their words in memory. Other
     columns are ignored.
@@ -162,16 +175,22 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     pattern = any_word(telling(known, threshold))
     holds = lambda x: x.rlike(pattern)
     texts = docs.select("doc_id", F.lower("text").alias("_lower")).where(holds(F.col("_lower")))
-    normal = F.trim(F.regexp_replace(F.regexp_replace("_lower", r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n"))
     unit = lambda name, place, text: F.struct(F.lit(name).alias("unit"), place.cast("string").alias("place"), text.alias("text"))
     lines = F.transform(F.split("_normal", "\n"), lambda x, i: unit("line", i + 1, x))
     whole = F.array(unit("text", F.lit(0), F.translate(F.array_join("_parts", " "), "\n", " ")))
-    runs = []  # of n paragraphs, but not the run of all
-    for n in range(1, RUN + 1):
-        runs.append(F.expr(f"""CASE WHEN size(_parts) > {n} THEN transform(sequence(1, size(_parts) - {n - 1}), i -> struct('paragraphs' AS unit, concat(i, '-', i + {n - 1}) AS place, translate(array_join(slice(_parts, i, {n}), ' '), '\n', ' ') AS text)) ELSE array() END"""))
-    parts = F.split(F.regexp_replace("_normal", "^\n+|\n+$", ""), "\n\n+")
-    rows = texts.select("doc_id", normal.alias("_normal")).where("_normal <> ''").select("doc_id", "_normal", parts.alias("_parts"))
-    units = rows.select("doc_id", F.explode(F.concat(whole, lines, *runs)).alias("_unit")).select("doc_id", "_unit.*")
+    longest = max(map(paragraphs, templates.values()), default=1)
+
+    def runs(parts: str, name: str, most: int) -> list[Column]:
+        """Of n paragraphs each, but not the run of all."""
+        return [F.expr(f"""CASE WHEN size({parts}) > {n} THEN transform(sequence(1, size({parts}) - {n - 1}), i -> struct('{name}' AS unit, concat(i, '-', i + {n - 1}) AS place, translate(array_join(slice({parts}, i, {n}), ' '), '\n', ' ') AS text)) ELSE array() END""") for n in range(1, most + 1)]
+
+    split = lambda x: F.split(F.regexp_replace(x, "^\n+|\n+$", ""), "\n\n+")
+    marked = F.split("_lower", "\n")
+    marked = F.array_join(F.transform(marked, lambda x, i: F.when((i > 0) & x.rlike(r"\S") & F.try_element_at(marked, i).rlike(r"\S") & (x.rlike(COMMENT) != F.try_element_at(marked, i).rlike(COMMENT)), F.concat(F.lit("\n"), x)).otherwise(x)), "\n")
+    blocks = F.when(marked != F.col("_lower"), split(_normal(marked)))
+    rows = texts.select("doc_id", _normal(F.col("_lower")).alias("_normal"), blocks.alias("_blocks")).where("_normal <> ''").select("doc_id", "_normal", split("_normal").alias("_parts"), "_blocks")
+    own = F.concat(whole, lines, *runs("_parts", "paragraphs", longest), F.when(F.col("_blocks").isNotNull(), F.concat(*runs("_blocks", "blocks", longest))).otherwise(F.array()))
+    units = rows.select("doc_id", F.explode(own).alias("_unit")).select("doc_id", "_unit.*")
     # a set of n bigrams may come from more words if some repeat; it has at least as many as different words less one
     units = units.where(holds(F.col("text")) & (F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit(""))) >= least))
     worded = units.select("doc_id", "unit", "place", F.split("text", " ").alias("_words")).where(F.size(F.array_distinct("_words")) - 1 <= most)
@@ -188,11 +207,17 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VALUES = ", ".join(f"('{name}', '{' '.join(template_words(text))}')" for name, text in sorted(TEMPLATES.items()))
-_RUNS = " UNION ALL ".join(f"SELECT doc_id, 'paragraphs', unnest(list_transform(range(1, len(parts) - {n - 2}), lambda i: i || '-' || (i + {n - 1}))), unnest(list_transform(range(1, len(parts) - {n - 2}), lambda i: replace(array_to_string(parts[i:i + {n - 1}], ' '), chr(10), ' '))) FROM l WHERE len(parts) > {n}" for n in range(1, RUN + 1))
+_RUNS = " UNION ALL ".join(
+    f"SELECT doc_id, '{name}', unnest(list_transform(range(1, len({parts}) - {n - 2}), lambda i: i || '-' || (i + {n - 1}))), unnest(list_transform(range(1, len({parts}) - {n - 2}), lambda i: replace(array_to_string({parts}[i:i + {n - 1}], ' '), chr(10), ' '))) FROM l WHERE len({parts}) > {n}"
+    for parts, name in (("parts", "paragraphs"), ("blocks", "blocks")) for n in range(1, 1 + max(map(paragraphs, TEMPLATES.values())))
+)
+_SQL_NORMAL = r"trim(regexp_replace(regexp_replace({text}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'))"
 OP2_SQL = rf"""
 WITH t AS (SELECT template, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM (SELECT template, string_split(words, ' ') AS w FROM (VALUES {_VALUES}) AS v(template, words))),
-d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')) AS normal FROM documents),
-l AS (SELECT doc_id, string_split(normal, chr(10)) AS lines, regexp_split_to_array(trim(normal, chr(10)), '\n\n+') AS parts, normal FROM d WHERE normal <> ''),
+r AS (SELECT doc_id, lower(text) AS low, string_split(lower(text), chr(10)) AS raw FROM documents),
+k AS (SELECT doc_id, low, array_to_string(list_transform(raw, lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '\S') AND regexp_matches(raw[i - 1], '\S') AND regexp_matches(x, '{COMMENT}') <> regexp_matches(raw[i - 1], '{COMMENT}') THEN chr(10) || x ELSE x END), chr(10)) AS marked FROM r),
+d AS (SELECT doc_id, low, marked, {_SQL_NORMAL.format(text="low")} AS normal, {_SQL_NORMAL.format(text="marked")} AS cut FROM k),
+l AS (SELECT doc_id, string_split(normal, chr(10)) AS lines, regexp_split_to_array(trim(normal, chr(10)), '\n\n+') AS parts, CASE WHEN marked <> low THEN regexp_split_to_array(trim(cut, chr(10)), '\n\n+') END AS blocks, normal FROM d WHERE normal <> ''),
 u AS (SELECT doc_id, 'text' AS unit, '0' AS place, replace(normal, chr(10), ' ') AS text FROM l UNION ALL SELECT doc_id, 'line', generate_subscripts(lines, 1)::VARCHAR, unnest(lines) FROM l UNION ALL {_RUNS}),
 w AS (SELECT doc_id, unit, place, regexp_split_to_array(text, ' +') AS w FROM u),
 g AS (SELECT doc_id, unit, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1),

@@ -164,8 +164,9 @@ def test_broken_segments(spark):
 
 # 2
 
-def notices(docs, templates, threshold=0.8, run=4):
-    """Units and their best templates, by brute force."""
+def notices(docs, templates, threshold=0.8):
+    """Units and their best templates, by brute force, in texts where no comment stands next to code."""
+    run = max(len(re.split("\n\n+", t.strip())) for t in templates.values())
     grams = {name: licenses.pairs(licenses.template_words(t)) for name, t in templates.items()}
     out = []
     for i, t in docs:
@@ -752,3 +753,16 @@ def test_an_incomplete_search_is_no_result(spark, monkeypatch):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.repeat(r.normal(size=(5, 8)), 4, axis=0) + 0.001 * r.normal(size=(20, 8)))]
     with pytest.raises(RuntimeError, match="audit"):
         embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+
+
+def test_licences_of_many_paragraphs_and_headers_beside_code(spark):
+    import textwrap
+
+    clauses = [f"clause {i} of the grand licence shall apply to party number {i} in all cases without exception" for i in range(9)]
+    header = "\n".join("# " + x for x in textwrap.wrap(licenses.TEMPLATES["Apache-2.0-header"], 60))
+    filler = "\n".join(f"value_{i} = call_{i}(argument_{i})" for i in range(80))
+    rows = [(1, f"{filler}\n\n" + "\n\n".join(clauses) + f"\n\n{filler}"), (2, f"{filler}\n{header}\n{filler}"), (3, filler), (4, None), (5, "# \n#\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licenses.scan(docs, {"grand": "\n\n".join(clauses), "Apache": licenses.TEMPLATES["Apache-2.0-header"]}).collect()
+    assert {(r.doc_id, r.unit, r.template) for r in found if r.dice == 1.0} == {(1, "paragraphs", "grand"), (2, "blocks", "Apache")}
+    assert {r.doc_id for r in found} == {1, 2}
