@@ -34,38 +34,33 @@ def pretty(text: Column) -> Column:
     return run(text)
 
 
+def fields(doc: Column) -> Column:
+    """The fields of a variant as a map of variants; null where it is no object."""
+    return F.try_variant_get(doc, "$", "map<string,variant>")
+
+
 def changed(text: Column, path: str, value: Column | None) -> Column:
     """The document with a dotted path set to a JSON value, or deleted where that is null; maps on the way are made.
 
-    Null where the document isn't JSON; one that isn't a map stays as it is.
+    Null where the document isn't JSON, has a key twice in one object, or the value isn't JSON; a document that isn't a map stays as it is, a null or
+    empty one counts as an empty map. Maps are rebuilt key by key in the JVM, so the result is compact and its keys are sorted.
     """
+    none = F.expr("map_from_arrays(cast(array() AS array<string>), cast(array() AS array<variant>))")
+    new = None if value is None else F.try_parse_json(value)
 
-    @F.pandas_udf("string")
-    def run(rows: pd.Series, values: pd.Series) -> pd.Series:
-        def one(t, v):
-            try:
-                doc = json.loads(t) if t else {}
-            except ValueError:
-                return None  # not JSON
-            if not isinstance(doc, dict):
-                return t
-            *way, last = path.split(".")
-            at = doc
-            for key in way:
-                if not isinstance(at.get(key), dict):
-                    if v is None:
-                        return json.dumps(doc, ensure_ascii=False)
-                    at[key] = {}
-                at = at[key]
-            if v is None:
-                at.pop(last, None)
-            else:
-                at[last] = json.loads(v)
-            return json.dumps(doc, ensure_ascii=False)
-
-        return pd.Series([one(t, v) for t, v in zip(rows, values, strict=True)])
-
-    return run(text, F.lit(None).cast("string") if value is None else value)
+    def put(at: Column, way: list[str]) -> Column:
+        """The fields with the way set; `at`: fields, not null."""
+        key = F.lit(way[0])
+        others = F.map_filter(at, lambda k, _: k != key)
+        if len(way) == 1:
+            return others if new is None else F.map_concat(others, F.create_map(key, new))
+        inner = F.element_at(F.transform(F.array(fields(F.try_element_at(at, key))), lambda m: F.to_variant_object(put(F.coalesce(m, none), way[1:]))), 1)
+        made = F.map_concat(others, F.create_map(key, inner))
+        return made if new is not None else F.when(fields(F.try_element_at(at, key)).isNotNull(), made).otherwise(at)
+
+    doc = F.try_parse_json(F.when(F.coalesce(text, F.lit("")) == "", "{}").otherwise(text))
+    done = F.when(fields(doc).isNotNull(), F.to_json(F.to_variant_object(put(fields(doc), path.split("."))))).when(doc.isNotNull(), text)
+    return done if new is None else F.when(new.isNotNull(), done)
 
 
 def upserted(store: DataFrame, new: DataFrame) -> DataFrame:
@@ -143,23 +138,36 @@ def write_back(entries: DataFrame, target: str, config: str) -> None:
     packing.write_files(entries.where("kind = 'file'").select(F.col("key").alias("path"), F.col("value").alias("text")).unionByName(document), target)
 
 
+#: Levels that flattened() opens in one row, and how often it goes on with what that gave.
+LEVELS, STAGES = 8, 8
+
+
+def _opened(entries: Column) -> Column:
+    """Entries (key, v) with each object that has fields replaced by them, one level down."""
+    inner = lambda e, m: F.transform(F.map_entries(m), lambda x: F.struct(F.concat(F.when(e["key"] == "", "").otherwise(F.concat(e["key"], F.lit("."))), x["key"]).alias("key"), x["value"].alias("v")))
+    each = lambda e: F.element_at(F.transform(F.array(fields(e["v"])), lambda m: F.when(F.size(m) > 0, inner(e, m)).otherwise(F.array(e))), 1)
+    return F.flatten(F.transform(entries, each))
+
+
 def flattened(docs: DataFrame, depth: int = 0) -> DataFrame:
-    """name, key, value: leaves of JSON objects by dotted key, at most so many levels down (0: all)."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for name, text in zip(frame["name"], frame["doc"], strict=True):
-                stack = [("", json.loads(text) if text else {}, 0)]
-                while stack:
-                    key, value, level = stack.pop()
-                    if isinstance(value, dict) and value and (not depth or level < depth):
-                        stack += [(f"{key}.{k}" if key else k, v, level + 1) for k, v in value.items()]
-                    else:
-                        out.append((name, key, value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)))
-            yield pd.DataFrame(out, columns=["name", "key", "value"])
-
-    return docs.select("name", "doc").mapInPandas(run, "name string, key string, value string")
+    """name, key, value: leaves of JSON objects (name, doc) by dotted key, at most so many levels down (0: all).
+
+    Arrays and empty maps are leaves; texts are values as they are, others as compact JSON. A null or empty document is an empty map
+    with the key ''; one that isn't JSON, or has a key twice in one object, gives a row with the key '' and a null value. One pass in
+    the JVM: objects are opened level by level within their row. Nesting beyond LEVELS * STAGES levels fails where all levels are wanted.
+    """
+    text = F.when(F.coalesce("doc", F.lit("")) == "", "{}").otherwise(F.col("doc"))
+    rows = docs.select("name", F.lit("").alias("key"), F.try_parse_json(text).alias("v"))
+    left = depth or LEVELS * STAGES
+    while left > 0:
+        entries = F.array(F.struct("key", "v"))
+        for _ in range(min(left, LEVELS)):
+            entries = _opened(entries)
+        rows, left = rows.select("name", F.explode(entries).alias("_e")).select("name", "_e.key", "_e.v"), left - LEVELS
+    if not depth:
+        rows = rows.where(F.assert_true(F.coalesce(F.size(fields(F.col("v"))) <= 0, F.lit(True)), F.lit(f"a document is nested deeper than {LEVELS * STAGES} levels")).isNull())
+    shown = F.to_json("v")
+    return rows.select("name", "key", F.when(F.startswith(shown, F.lit('"')), F.try_variant_get("v", "$", "string")).otherwise(shown).alias("value"))
 
 
 def copied(target: DataFrame, source: DataFrame, prefix: str = "") -> DataFrame:

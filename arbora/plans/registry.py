@@ -648,6 +648,23 @@ def json_flattened(spark, d):
     return documents.flattened(tables.table(spark, d, "events").select(F.col("event_id").cast("string").alias("name"), doc.alias("doc")))
 
 
+def _doc():
+    return F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "deep": {"type": "'), "event_type", F.when(F.col("event_id") % 10 == 0, "").otherwise('"}}'))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 3 = 0 THEN '{"deep":{"n":{"of":[' || event_id || ',null]},"type":"' || event_type || '"}}' ELSE '{"deep":{"n":{"of":[' || event_id || ',null]}}}' END AS doc FROM events""")
+def json_changed(spark, d):
+    e = tables.table(spark, d, "events")
+    bare = e.select("event_id", documents.changed(_doc(), "k", None).alias("doc"))  # null where it isn't JSON
+    made = bare.select("event_id", F.when(F.col("doc").isNotNull(), documents.changed(F.col("doc"), "deep.n.of", F.concat(F.lit("["), "event_id", F.lit(", null]")))).alias("doc"))
+    return made.select("event_id", F.when((F.col("event_id") % 3 == 0) | F.col("doc").isNull(), F.col("doc")).otherwise(documents.changed(F.col("doc"), "deep.type", None)).alias("doc"))
+
+
+@query("SELECT event_id::VARCHAR AS name, '' AS key, NULL::VARCHAR AS value FROM events WHERE event_id % 10 = 0 UNION ALL SELECT event_id::VARCHAR, 'k', json_extract_string(props, '$.k') FROM events WHERE event_id % 10 <> 0 UNION ALL SELECT event_id::VARCHAR, 'deep', '{\"type\":\"' || event_type || '\"}' FROM events WHERE event_id % 10 <> 0")
+def json_flattened_once(spark, d):
+    return documents.flattened(tables.table(spark, d, "events").select(F.col("event_id").cast("string").alias("name"), _doc().alias("doc")), 1)
+
+
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '\"' || event_type || '\"' WHEN 1 THEN '\"' || event_type || '\"' WHEN 2 THEN event_id::VARCHAR ELSE NULL END AS value FROM events")
 def json_navigation(spark, d):
     doc = F.concat(F.lit('{"agents": {"one.md": "'), "event_type", F.lit('", "list": [1, {"x.y": '), "event_id", F.lit("}]}}"))

@@ -136,8 +136,8 @@ def test_documents(spark):
     v = documents.parsed(F.col("doc"))
     assert [tuple(r) for r in d.select(documents.get(v, "x.y", "int", 0), documents.get(v, "x.z", "string", "-")).collect()] == [(1, "-"), (0, "-")]
     one = spark.createDataFrame([("a", '{"x":{"y":1}}')], "name string, doc string")
-    assert one.select(documents.changed(F.col("doc"), "x.z.w", F.lit("2"))).first()[0] == '{"x": {"y": 1, "z": {"w": 2}}}'
-    assert one.select(documents.changed(F.col("doc"), "x.y", None)).first()[0] == '{"x": {}}'
+    assert one.select(documents.changed(F.col("doc"), "x.z.w", F.lit("2"))).first()[0] == '{"x":{"y":1,"z":{"w":2}}}'
+    assert one.select(documents.changed(F.col("doc"), "x.y", None)).first()[0] == '{"x":{}}'
     flat = documents.flattened(one)
     assert [tuple(r) for r in flat.collect()] == [("a", "x.y", "1")]
     kv = spark.createDataFrame([("a.md", "1"), ("a.txt", "2"), ("b", "3")], "key string, value string")
@@ -223,7 +223,7 @@ def test_documents_written_back(spark, tmp_path):
     order = [r["key"] for r in documents.maps_first(spark.createDataFrame([("a", "1"), ("z", '{"q":1}'), ("b", "2")], "key string, value string")).collect()]
     assert order == ["z", "a", "b"]
     bad = spark.createDataFrame([("not json",), ("[1]",), ('{"a": {"b": 1}}',)], "t string").select(documents.changed(F.col("t"), "a.c", F.lit("2")).alias("x"))
-    assert [r["x"] for r in bad.collect()] == [None, "[1]", '{"a": {"b": 1, "c": 2}}']
+    assert [r["x"] for r in bad.collect()] == [None, "[1]", '{"a":{"b":1,"c":2}}']
 
 
 def test_vectors(spark, tmp_path):
