@@ -75,13 +75,65 @@ def merkle(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     files, dirs = known.where(~F.col("is_dir")).drop("is_dir"), known.where("is_dir").drop("is_dir", "hash")
     done, level = files, files.where(F.col("depth") == deepest)
     for d in range(deepest - 1, -1, -1):
-        joined = level.groupBy(F.col("parent_path").alias("path")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "hash"))), lambda x: x["hash"]), ""), 256).alias("_hash"))
-        folded = dirs.where(F.col("depth") == d).join(joined, "path", "left").select("path", "parent_path", "name", "depth", F.coalesce("_hash", F.sha2(F.concat(F.lit("empty_dir:"), "name"), 256)).alias("hash"))
+        folded = dirs.where(F.col("depth") == d).join(_of_children(level), "path", "left").select("path", "parent_path", "name", "depth", F.coalesce("_hash", F.sha2(F.concat(F.lit("empty_dir:"), "name"), 256)).alias("hash"))
         done = done.unionByName(folded)
         level = folded.unionByName(files.where(F.col("depth") == d))
     return done.select("path", "hash")
 
 
+def _of_children(rows: DataFrame) -> DataFrame:
+    """path, _hash of directories from their children's (parent_path, name, hash)."""
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "hash"))), lambda x: x["hash"]), "")
+    return rows.groupBy(F.col("parent_path").alias("path")).agg(F.sha2(in_order, 256).alias("_hash"))
+
+
+#: Touched directories whose paths become a condition on the stored rows; more are joined.
+TOUCHED = 1_000
+
+
+def store_merkle(nodes: DataFrame, path: str) -> DataFrame:
+    """The hashes of all nodes, written in the order of their directories, so that reads of few directories skip the rest."""
+    rows = nodes.select("path", "is_dir").join(merkle(nodes), "path")
+    own = F.col("path")
+    full = rows.select("path", paths.parent(own).alias("parent_path"), paths.name(own).alias("name"), paths.depth(own).alias("depth"), "is_dir", "hash")
+    full.repartitionByRange("parent_path", "name").sortWithinPartitions("parent_path", "name").write.option("parquet.block.size", 8 << 20).parquet(path)
+    return nodes.sparkSession.read.schema(full.schema).parquet(path)
+
+
+def merkle_changes(stored: DataFrame, upserts: DataFrame, deletes: DataFrame) -> DataFrame:
+    """What changes in stored hashes: rows as in store_merkle() with their new hash, which is null for files that are gone.
+
+    upserts: files (path, text), new or changed; deletes: files (path); a path in both stays. Only the directories above these are
+    read, and only their own entries: each level is folded from the entries of touched directories, with stored hashes for all that
+    didn't change. New directories come into being with their files; a directory stays when its last file goes. Deleting what
+    isn't there does nothing to hashes. Of repeated paths the greatest text counts.
+    """
+    spark, own = stored.sparkSession, F.col("path")
+    folder = shared.fresh(spark, "merkle")
+    new = upserts.groupBy("path").agg(F.max("text").alias("text")).select("path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    gone = deletes.select("path").distinct().join(new.select("path"), "path", "left_anti").withColumn("hash", F.lit(None).cast("string"))
+    files = new.unionByName(gone).select("path", paths.parent(own).alias("parent_path"), paths.name(own).alias("name"), paths.depth(own).alias("depth"), F.lit(False).alias("is_dir"), "hash")
+    files = shared.written(files, f"{folder}/files")
+    dirs = files.select(F.explode(paths.ancestors(own)).alias("path")).distinct()
+    dirs = shared.written(dirs.select("path", paths.parent(own).alias("parent_path"), paths.name(own).alias("name"), paths.depth(own).alias("depth"), F.lit(True).alias("is_dir")), f"{folder}/dirs")
+    few = [r[0] for r in dirs.select("path").limit(TOUCHED + 1).collect()]
+    near = stored.where(F.col("parent_path").isin(few)) if len(few) <= TOUCHED else stored.join(dirs.select(F.col("path").alias("parent_path")), "parent_path", "left_semi")
+    same = shared.written(near.select(files.columns).join(files.select("path"), "path", "left_anti").join(dirs.select("path"), "path", "left_anti"), f"{folder}/same")
+    entries, done, below = same.unionByName(files.where("hash IS NOT NULL")), files, None
+    for d in range(dirs.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        inside = entries.where(F.col("depth") == d + 1)
+        inside = inside if below is None else inside.unionByName(below)
+        here = dirs.where(F.col("depth") == d).join(_of_children(inside), "path", "left")
+        below = shared.written(here.select("path", "parent_path", "name", "depth", "is_dir", F.coalesce("_hash", F.sha2(F.concat(F.lit("empty_dir:"), "name"), 256)).alias("hash")), f"{folder}/level-{d}")
+        done = done.unionByName(below)
+    return done
+
+
+def merkle_after(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """The stored rows with the changes of merkle_changes()."""
+    return stored.join(changes.select("path"), "path", "left_anti").select(changes.columns).unionByName(changes.where("hash IS NOT NULL"))
+
+
 def shown(nodes: DataFrame, files: bool = True, hidden: bool = False, max_depth: int = -1) -> DataFrame:
     """What a tree shows: a hidden directory goes with all below it; nodes at max_depth and deeper go, if that is positive."""
     out = nodes if files else nodes.where("is_dir")

@@ -212,6 +212,18 @@ def merkle_hash(spark, d):
     return hierarchy.merkle(_nodes(spark, d), 3)
 
 
+_EDITED = "edited AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 50 = 0 THEN 'x' || text ELSE text END AS text FROM documents WHERE doc_id % 71 <> 0 OR doc_id % 50 = 0)"
+
+
+@query(ORACLE_SQL["merkle_hash"].replace("WITH files AS", f"WITH {_EDITED}, files AS").replace("AS size FROM documents", "AS size FROM edited").replace("JOIN l3 c", "LEFT JOIN l3 c").replace("JOIN l2 c", "LEFT JOIN l2 c").replace("sha256(string_agg(c.hash, '' ORDER BY c.name))", "sha256(coalesce(string_agg(c.hash, '' ORDER BY c.name), 'empty_dir:' || any_value(n.name)))"))
+def merkle_updated(spark, d):
+    nodes, files = _nodes(spark, d), _files(spark, d)
+    stored = hierarchy.store_merkle(nodes, f"{shared.fresh(spark, 'hashes')}/rows")
+    number = F.regexp_extract("path", r"doc(\d+)\.", 1).cast("long")
+    changes = hierarchy.merkle_changes(stored, files.where(number % 50 == 0).select("path", F.concat(F.lit("x"), "text").alias("text")), files.where(number % 71 == 0).select("path"))
+    return hierarchy.merkle_after(stored, changes).select("path", "hash")
+
+
 @query(
     f"""WITH {NODES}, f AS (SELECT path, parent_path, name, name = max(name) OVER (PARTITION BY parent_path) AS last FROM nodes WHERE path <> '/'),
 x AS (SELECT n.*, f.last, CASE WHEN n.depth < 3 THEN '' WHEN p2.last THEN '    ' ELSE '│   ' END AS b2, CASE WHEN n.depth < 2 THEN '' WHEN (CASE WHEN n.depth = 2 THEN p2.last ELSE p1.last END) THEN '    ' ELSE '│   ' END AS b1 FROM nodes n JOIN f ON f.path = n.path LEFT JOIN f p2 ON p2.path = n.parent_path LEFT JOIN f p1 ON p1.path = p2.parent_path)
