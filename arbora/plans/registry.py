@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.functions import html, parallel, paths, text
-from arbora.operators import blame, documents, editing, hierarchy, packing, retrieval, search, vector_index
+from arbora.operators import blame, documents, editing, hierarchy, packing, retrieval, search, text_index, vector_index
 from arbora.operators.vector_store import VectorStore
 from arbora.sources import files as sources
 from arbora.sources import shared, tables
@@ -120,6 +120,20 @@ def search_regex(spark, d):
     return search.search(_nodes(spark, d), name_regex=r"^doc[0-9]*5\.(md|go)$", content_regex="licensed under", ignore_case=True).select("path")
 
 
+def _indexed(spark, d) -> text_index.TextIndex:
+    return text_index.build(_files(spark, d), f"{shared.fresh(spark, 'texts')}/index")
+
+
+@query(f"WITH {FILES} SELECT path FROM files WHERE contains(text, 'thed')")
+def indexed_content_sub(spark, d):
+    return _indexed(spark, d).search(content="thed").select("path")
+
+
+@query(f"WITH {FILES} SELECT path FROM files WHERE regexp_matches(text, '(?i)(licensed|released) under +(the )?[a-z]+|all rights reserved|copyright [0-9]+')")
+def indexed_regex(spark, d):
+    return _indexed(spark, d).search(regex="(licensed|released) under +(the )?[a-z]+|all rights reserved|copyright [0-9]+", ignore_case=True).select("path")
+
+
 @query(_search("name NOT LIKE '.%' AND (contains(name, '99') OR (NOT is_dir AND contains(text, 'License')))"))
 def search_any(spark, d):
     return search.search(_nodes(spark, d), name="99", content="License", any_of=True).select("path")
