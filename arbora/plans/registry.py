@@ -588,9 +588,9 @@ def ansi_stripped(spark, d):
     return _docs(spark, d).select("doc_id", text.strip_ansi(marked).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 80 THEN CASE WHEN strlen(substring(text, 1, 80)) = 80 THEN substring(text, 1, 80) ELSE NULL END || '...' ELSE text END AS cut FROM documents WHERE strlen(substring(text, 1, 80)) = length(substring(text, 1, 80))")
+@query("SELECT doc_id, CASE WHEN strlen(text) > 80 THEN head || CASE WHEN strlen(head) < 80 THEN chr(65533) ELSE '' END || '...' ELSE text END AS cut FROM (SELECT doc_id, text, substring(text, 1, list_max(list_filter(range(0, 81), lambda k: strlen(substring(text, 1, k)) <= 80))) AS head FROM documents)")
 def text_cut_bytes(spark, d):
-    return _docs(spark, d).where(F.octet_length(F.substring("text", 1, 80)) == F.length(F.substring("text", 1, 80))).select("doc_id", text.cut_bytes(F.col("text"), 80).alias("cut"))
+    return _docs(spark, d).select("doc_id", text.cut_bytes(F.col("text"), 80).alias("cut"))
 
 
 @query("SELECT doc_id, 'package p' || chr(10) || 'func F' || doc_id || '() {' || chr(10) || '  type X int' AS signatures FROM documents")
@@ -711,9 +711,9 @@ def copied_and_deleted(spark, d):
     return documents.deleted(documents.copied(e.withColumn("value", F.lit(0).cast("long")), e), "view")
 
 
-@query("SELECT name, string_agg(n, ',' ORDER BY n) AS fields FROM (SELECT event_type AS name, user_id::INTEGER AS n FROM events WHERE event_id < 200) GROUP BY name")
+@query("SELECT 'T' || user_id AS name, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS fields FROM events GROUP BY 1")
 def types_merged(spark, d):
-    rows = tables.table(spark, d, "events").where("event_id < 200").select(F.col("event_type").alias("name"), F.col("user_id").cast("int").alias("seq"), F.array(F.col("user_id").cast("int")).alias("fields"))
+    rows = tables.table(spark, d, "events").select(F.concat(F.lit("T"), "user_id").alias("name"), F.col("event_id").alias("seq"), F.array("event_id").alias("fields"))
     return documents.types_merged(rows).select("name", F.array_join("fields", ",").alias("fields"))
 
 
@@ -842,9 +842,9 @@ def readable_files(spark, d):
     return sources.readable(f.select("path", F.col("text").cast("binary").alias("content")).unionByName(odd)).select("path")
 
 
-@query("SELECT word, count(*) AS n FROM (SELECT unnest(['.git', 'node_modules', 'docs']) AS word FROM documents WHERE doc_id % 2 = 0) WHERE word = 'docs' GROUP BY word")
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(['.git', 'node_modules', 'docs']) AS word FROM documents) WHERE word = 'docs' GROUP BY word")
 def pruned_scan(spark, d):
-    p = _docs(spark, d).where("doc_id % 2 = 0").select(F.explode(F.array(*map(F.lit, (".git", "node_modules", "docs")))).alias("word"), "doc_id").withColumn("path", F.concat(F.lit("/a/"), "word", F.lit("/x"), "doc_id"))
+    p = _docs(spark, d).select(F.explode(F.array(*map(F.lit, (".git", "node_modules", "docs")))).alias("word"), "doc_id").withColumn("path", F.concat(F.lit("/a/"), "word", F.lit("/x"), "doc_id"))
     return p.where(~paths.pruned(F.col("path"), F.lit(False))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
