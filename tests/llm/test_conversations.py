@@ -71,14 +71,24 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
 
 
-@pytest.mark.parametrize(("segment", "rows"), [(4096, 32_768), (4096, 10), (5, 7), (1, 1)])
-def test_reports_are_those_of_brute_force_whole_and_in_segments(spark, monkeypatch, segment, rows):
+@pytest.mark.parametrize("segment", [4096, 5, 1])
+def test_reports_are_those_of_brute_force_whole_and_in_segments(spark, monkeypatch, segment):
     monkeypatch.setattr(own, "SEGMENT", segment)
-    monkeypatch.setattr(own, "ROWS", rows)
     given = made(segment, 60, 25)
     assert reported(own.report(frame(spark, given))) == {c: brute(x) for c, x in sorted_rows(given).items()}
 
 
+@pytest.mark.parametrize(("rows", "batch"), [(32_768, 1_000), (10, 7), (1, 3), (25, 1)])
+def test_conversations_may_lie_across_batches(spark, monkeypatch, rows, batch):
+    """What a task does, here in this process, as workers don't see patched bounds."""
+    given = made(batch, 30, 15)
+    table = own._prepared(frame(spark, given)).sort("_key", "turn", "role", "_tie").toArrow()
+    monkeypatch.setattr(own, "ROWS", rows)
+    got = [r for b in own._short_report(iter(table.to_batches(max_chunksize=batch))) for r in b.to_pylist()]
+    wanted = {f"={c}": brute(x) for c, x in sorted_rows(given).items()}
+    assert {r.pop("_key"): r for r in got} == wanted and len(got) == len(wanted)
+
+
 def test_repaired_rows_give_the_report(spark, monkeypatch):
     monkeypatch.setattr(own, "SEGMENT", 12)
     given = frame(spark, made(9, 40, 30))

@@ -53,7 +53,6 @@ def test_variants_are_those_of_brute_force(spark, monkeypatch, bundle):
 
 def test_a_hot_prefix_is_dealt_again_by_halves_of_its_window(spark, monkeypatch):
     monkeypatch.setattr(variants, "BUNDLE", 2000)
-    monkeypatch.setattr(variants, "RECTANGLES", 7)
     tails = vocabulary(2, 250, "abcde", 4, 5)
     words = {"unbelievably" + k: v for k, v in tails.items()} | {k + "ification": v for k, v in tails.items()}
     assert found(variants.spelling_variants(table(spark, words))) == brute(words)
@@ -69,9 +68,31 @@ def test_wavelet_tree_reports_what_a_scan_finds():
         assert sorted(zip(which.tolist(), value.tolist(), strict=True)) == sorted((k, int(v)) for k in range(50) for v in values[left[k] : right[k]] if low[k] <= v < high[k])
 
 
-def test_words_of_documents(spark, monkeypatch):
-    monkeypatch.setattr(variants, "SLICE", 40)
-    monkeypatch.setattr(variants, "GATHERED", 10)
+def test_few_rectangles_at_once_and_short_slices(monkeypatch):
+    """What a task does, here in this process, as workers don't see patched bounds."""
+    import pyarrow as pa
+
+    words = vocabulary(6, 150, "abc", 4, 6)
+    rows = [(w, n, m, 0, m) for w, n in words.items() for m in (len(w), len(w) - 1)]
+    bundle = pa.table({"word": [r[0] for r in rows], "n": [r[1] for r in rows], "length": [r[2] for r in rows], "first": [r[3] for r in rows], "end": [r[4] for r in rows]})
+    every = variants.near_words(bundle).to_pylist()
+    monkeypatch.setattr(variants, "RECTANGLES", 7)
+    assert variants.near_words(bundle).to_pylist() == every
+
+    def added(rows):
+        out = {}
+        for r in rows:
+            out[r["word"]] = out.get(r["word"], 0) + r["n_near"]
+        return out
+
+    assert added(every) == {w: x[2] for w, x in brute(words).items() if x[2]}
+    text = "Éa bcd,efg " * 30
+    whole = [x for found in variants.runs(text) for x in found]
+    monkeypatch.setattr(variants, "SLICE", 5)
+    assert [x for found in variants.runs(text) for x in found] == whole and len(list(variants.runs(text))) > 20
+
+
+def test_words_of_documents(spark):
     text = "Colour colour, COLOUR; coloúr straße×ÀÉ Ωcolourx日colour_ " * 60
     docs = [(i, text if i % 3 else None, "x") for i in range(40)] + [(None, text, "y"), (7, text, None)]
     wanted = {}
