@@ -389,7 +389,16 @@ def _titled(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "documents").select("doc_id", F.concat(F.lit("\n## Doc "), "doc_id", F.lit("\n\n- item\n> "), t).alias("text"))
 
 
-@query()
+_WS = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(chr(10) || '## Doc ' || doc_id || chr(10) || chr(10) || '- item' || chr(10) || '> ' || replace(text, chr(10), chr(10) || chr(10)), chr(10)), lambda x: trim(x, {_WS})), lambda x: x <> '') AS lines FROM documents),
+h AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda x: starts_with(x, '#')), true) AS first FROM l),
+o AS (SELECT doc_id, trim(regexp_replace(lines[first], '^#+', '')) AS title, list_filter(list_transform(list_filter(lines[first + 1:], lambda x: NOT starts_with(x, '```')), lambda x: trim(regexp_replace(x, '^>', ''))), lambda x: NOT regexp_matches(x, '^[-*+#]') AND x <> '')[1] AS found FROM h),
+c AS (SELECT doc_id, title, found, substring(found, 1, list_max(list_filter(range(0, 121), lambda k: strlen(substring(found, 1, k)) <= 120))) AS head FROM o)
+SELECT doc_id, title, coalesce(CASE WHEN strlen(found) > 120 THEN head || CASE WHEN strlen(head) < 120 THEN chr(65533) ELSE '' END || '...' ELSE found END, '{text.NO_DESCRIPTION}') AS description FROM c"""
+)
 def md_title_desc(spark, d):
     return _titled(spark, d).select("doc_id", text.title(F.col("text")).alias("title"), text.description(F.col("text")).alias("description"))
 
@@ -791,6 +800,7 @@ def name_rules(spark, d):
 
 @query("SELECT page_id, strlen(html) > 0 AS ok FROM pages")
 def page_main(spark, d):
+    """Only that no script is left; the texts are held against goldens in tests."""
     rows = tables.table(spark, d, "pages").select("page_id", html.main_content("html").alias("t"))
     return rows.select("page_id", (~F.contains("t", F.lit("<script"))).alias("ok"))
 
@@ -802,9 +812,10 @@ def file_mentions(spark, d):
     return packing.mentions(asked, f)
 
 
-@query("SELECT doc_id, '![a](/images/docs/pic/' || doc_id || '.png) and ![b](HTTP://h/x.png) ![](/images/up.gif)' AS text FROM documents")
+@query("SELECT doc_id, replace(text, '![', '! [') || ' ![a](/images/docs/pic/' || doc_id || '.png) and ![b](HTTP://h/x.png) ' || replace(text, '![', '! [') || ' ![](/images/up.gif)' AS text FROM documents")
 def image_links(spark, d):
-    raw = F.concat(F.lit("![a](pic/"), "doc_id", F.lit(".png?x=1#y) and ![b](HTTP://h/x.png) ![](../up.gif)"))
+    own = F.replace("text", F.lit("!["), F.lit("! ["))
+    raw = F.concat(own, F.lit(" ![a](pic/"), "doc_id", F.lit(".png?x=1#y) and ![b](HTTP://h/x.png) "), own, F.lit(" ![](../up.gif)"))
     return _docs(spark, d).select("doc_id", text.image_links(raw, F.lit("/docs")).alias("text"))
 
 
