@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +65,12 @@ def file_hashes(nodes: DataFrame) -> DataFrame:
 def merkle(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """path, hash: of a file its SHA-256, of a directory that of its children's hashes in the order of their names.
 
-    Files are hashed once, in one pass; the hashes are kept by the executors (memory or disk, made again if lost) while one
-    pass a level, from the deepest up, folds them.
+    Files are hashed once, in one pass, and the hashes are written to the shared folder; one pass a level over them, from the
+    deepest up, folds them.
     """
     own = F.when(~F.col("is_dir"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    known = nodes.select("path", "parent_path", "name", "depth", "is_dir", own.alias("hash")).persist(StorageLevel.MEMORY_AND_DISK)
+    known = nodes.select("path", "parent_path", "name", "depth", "is_dir", own.alias("hash"))
+    known = shared.written(known, f"{shared.fresh(nodes.sparkSession, 'merkle')}/hashes")
     deepest = max_depth if max_depth is not None else known.agg(F.max("depth")).first()[0] or 0
     files, dirs = known.where(~F.col("is_dir")).drop("is_dir"), known.where("is_dir").drop("is_dir", "hash")
     done, level = files, files.where(F.col("depth") == deepest)
@@ -197,7 +197,9 @@ def process_python(nodes: DataFrame, f: Callable[[dict], str]) -> DataFrame:
 
 
 def by_level(nodes: DataFrame, f: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
-    """A function of each level's nodes, from the root down. The nodes are made once and kept by the executors for the levels' passes."""
-    held = nodes.persist(StorageLevel.MEMORY_AND_DISK)
+    """A function of each level's nodes, from the root down. The nodes are written once, a folder a level, so each pass reads its own level."""
+    path = f"{shared.fresh(nodes.sparkSession, 'levels')}/nodes"
+    nodes.write.partitionBy("depth").parquet(path)
+    held = nodes.sparkSession.read.schema(nodes.schema).parquet(path).select(nodes.columns)
     deepest = held.agg(F.max("depth")).first()[0]
     return [] if deepest is None else [f(held.where(F.col("depth") == d)) for d in range(deepest + 1)]

@@ -104,10 +104,9 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int
         ids = np.array([r[0] for r in part], dtype=np.int64)
         rows = np.stack([np.asarray(r[1], dtype=np.float64) for r in part])
         length = np.linalg.norm(rows, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((ids, rows / np.where(length > 0, length, 1)))
+        rows = rows / np.where(length > 0, length, 1)  # goes with the tasks, so nothing is left to be freed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, rows = shared.value
             best, who = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, dtype=np.int64)
             for b in batches:
                 if not b.num_rows:
