@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Bytes of an Arrow batch between the JVM and Python. A Python worker holds a batch, its rows as objects and what becomes of them.
+BATCH = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH, so that long rows go to Python workers a few at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if size > BATCH or size <= 0:
+        spark.conf.set(key, str(BATCH))
+
+
 def place(spark: SparkSession, path: str) -> tuple:
     """A path as the JVM knows it, and its file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
