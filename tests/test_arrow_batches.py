@@ -3,13 +3,14 @@
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.plans import registry
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def together(texts: pd.Series) -> pd.Series:
     return pd.Series([len(texts)] * len(texts))
 
