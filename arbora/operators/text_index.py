@@ -23,6 +23,10 @@ from arbora.sources import shared
 GRAMS, ALTERNATIVES = 4, 16
 #: Candidates up to this number become a condition on the stored rows; more are joined. Texts of a folder of the stored ones.
 LISTED, TEXTS = 10_000, 20_000
+#: Candidates up to this number are sent to all tasks that read texts.
+SENT = 1_000_000
+#: Folders of postings, each with the trigrams of one remainder. Bytes of text whose postings are found together.
+BUCKETS, BLOCK = 16, 2 << 20
 #: What case folding maps into ASCII letters.
 FOLDED = str.maketrans({"K": "k", "ſ": "s", "ı": "i", "İ": "i"})
 
@@ -38,6 +42,35 @@ def trigrams(data: bytes) -> np.ndarray:
     return np.unique(x[:-2] << 16 | x[1:-1] << 8 | x[2:]) if len(x) > 2 else np.empty(0, np.int32)
 
 
+def bucket(gram):
+    """The folder of a trigram, or of an array of them: neighbours lie apart."""
+    return (gram * 40_503 >> 8) % BUCKETS
+
+
+def grouped(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of a trigram and a text (its place in the list), in order of both; texts together some BLOCK, or one longer."""
+    if len(texts) == 1:  # in pieces, as the numbers of all its runs may be many times the text
+        found = np.unique(np.concatenate([trigrams(texts[0][at : at + BLOCK + 2]) for at in range(0, max(len(texts[0]), 1), BLOCK)]))
+        return found.astype(np.int64), np.zeros(len(found), np.int64)
+    x = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    if len(x) < 3:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    keys = ((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) << 32 | owner[2:])[owner[2:] == owner[:-2]]
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
+    return keys >> 32, keys & 0xFFFFFFFF
+
+
+def postings(texts: list[bytes], docs: np.ndarray) -> pa.RecordBatch:
+    """A row for each trigram of the texts, with the docs that hold it."""
+    gram, owner = grouped(texts)
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)])
+    at = np.append(first, len(gram))
+    held = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(docs[owner]))
+    return pa.RecordBatch.from_arrays([pa.array(bucket(gram[first]).astype(np.int32)), pa.array(gram[first].astype(np.int32)), pa.array(np.diff(at)), held], names=["bucket", "gram", "n", "docs"])
+
+
 def literals(pattern: str, ignore_case: bool = False) -> list[set[str]]:
     """Alternatives of literals: each match of the pattern holds all literals of one of them. An empty set: nothing is known."""
     try:
@@ -81,30 +114,40 @@ def literals(pattern: str, ignore_case: bool = False) -> list[set[str]]:
 
 
 def build(docs: DataFrame, path: str) -> TextIndex:
-    """Stores docs (path, text) with their trigrams under `path`: postings in the order of trigrams, texts in folders by a hash of their path.
+    """Stores docs (path, text) with their trigrams under `path`: postings in folders by a hash of the trigram and in its order, texts in folders by a hash of their path.
 
     Rows with a null text hold nothing and are left out; of repeated paths each row counts; a null path is one more path. Each text's trigrams are found in one
-    pass and once each; postings are dealt by range, so a trigram that most texts hold lies in many files. Counts are written last: without
-    them there is no index.
+    pass and once each; what a task finds in BLOCK bytes of text is a row for each trigram with a list of docs, so rows to be dealt and
+    sorted are few. A trigram that most texts hold has many such rows, which are dealt by trigram folder and by a doc of theirs. Counts are
+    written last: without them there is no index.
     """
     spark = docs.sparkSession
+    shared.small_batches(spark)
     rows = docs.select("path", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("doc", F.xxhash64("path"))
     folders = max(1, rows.count() // TEXTS)
     dealt = rows.withColumn("folder", F.pmod("doc", F.lit(folders)).cast("int")).repartition("folder", F.pmod("doc", F.lit(97))).sortWithinPartitions("folder", "doc")
     dealt.write.partitionBy("folder").option("parquet.block.size", 8 << 20).parquet(f"{path}/texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, docs_, size = [], [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                found = [trigrams(folded(x.as_py())) for x in b.column("text").slice(at, 64)]
-                docs_ = np.repeat(b.column("doc").slice(at, 64).to_numpy(), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(docs_)], names=["gram", "doc"])
+            for doc, text in zip(b.column("doc").to_pylist(), b.column("text"), strict=True):
+                text = folded(text.as_py())
+                if texts and size + len(text) > BLOCK:
+                    yield postings(texts, np.array(docs_, np.int64))
+                    texts, docs_, size = [], [], 0
+                texts.append(text)
+                docs_.append(doc)
+                size += len(text)
+        if texts:
+            yield postings(texts, np.array(docs_, np.int64))
 
     index = TextIndex(spark, path)
-    grams = index.texts().select("doc", "text").mapInArrow(run, "gram int, doc long")
-    grams.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/grams")
+    grams = index.texts().select("doc", "text").mapInArrow(run, "bucket int, gram int, n long, docs array<long>")
+    dealt = grams.repartition("bucket", F.pmod(F.col("docs")[0], F.lit(1 + folders // 2))).sortWithinPartitions("bucket", "gram")
+    dealt.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{path}/grams")
     shared.created(spark, f"{path}/folders", str(folders))
-    index.postings().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
+    index.stored().groupBy("gram").agg(F.sum("n").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
     return index
 
 
@@ -117,8 +160,13 @@ class TextIndex:
     def texts(self) -> DataFrame:
         return self.spark.read.schema("path string, text string, doc long, folder int").parquet(f"{self.path}/texts")
 
-    def postings(self) -> DataFrame:
-        return self.spark.read.schema("gram int, doc long").parquet(f"{self.path}/grams")
+    def stored(self) -> DataFrame:
+        return self.spark.read.schema("gram int, n long, docs array<long>, bucket int").parquet(f"{self.path}/grams")
+
+    def postings(self, wanted: list[int]) -> DataFrame:
+        """gram, doc of some trigrams; other folders, and row groups without them, are not read."""
+        rows = self.stored().where(F.col("bucket").isin(sorted({bucket(g) for g in wanted})) & F.col("gram").isin(wanted))
+        return rows.select("gram", F.explode("docs").alias("doc"))
 
     def _rarest(self, ways: list[set[str]]) -> list[list[int]] | None:
         """The rarest trigrams of each alternative; one without any text is left out. None: an alternative has no trigram."""
@@ -131,7 +179,7 @@ class TextIndex:
 
     def _holding(self, ways: list[list[int]]) -> DataFrame:
         """doc of texts that hold all trigrams of one of the alternatives."""
-        rows = self.postings().where(F.col("gram").isin(sorted({g for x in ways for g in x})))
+        rows = self.postings(sorted({g for x in ways for g in x}))
         has = lambda g: F.max(F.col("gram") == g)
         any_way = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [has(g) for g in x]) for x in ways])
         return rows.groupBy("doc").agg(any_way.alias("_all")).where("_all").select("doc")
@@ -155,5 +203,5 @@ class TextIndex:
                     folders = int(shared.text_of(self.spark, f"{self.path}/folders"))
                     rows = rows.where(F.col("folder").isin(sorted({i % folders for i in ids})) & F.col("doc").isin(ids))
                 else:
-                    rows = rows.join(found, "doc", "left_semi")
+                    rows = rows.join(F.broadcast(found) if self.candidates <= SENT else found, "doc", "left_semi")
         return rows.where(test).select("path", "text")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,22 @@ def test_search_equals_a_scan(spark, tmp_path, monkeypatch):
 def test_an_index_of_nothing(spark, tmp_path):
     index = text_index.build(spark.createDataFrame([], "path string, text string"), str(tmp_path / "index"))
     assert index.search(content="alpha").collect() == [] == index.search(regex="a|b").collect()
+
+
+def test_postings_are_lists_of_the_trigrams_of_each_text(monkeypatch):
+    r = random.Random(5)
+    texts = [bytes(r.choice(b"abc \xc3\xbf") for _ in range(r.randint(0, 40))) for _ in range(50)]
+    for block in (7, 2 << 20):
+        monkeypatch.setattr(text_index, "BLOCK", block)
+        for part in (texts, texts[:1], [b"".join(texts)], [b""], [b"ab"], [b"a", b"b"]):
+            ids = np.arange(len(part)) * 10 - 3
+            rows = text_index.postings(part, ids).to_pylist()
+            assert [(x["gram"], x["docs"]) for x in rows] == sorted((g, [int(i) for i, t in zip(ids, part, strict=True) if g in text_index.trigrams(t)]) for g in {int(g) for t in part for g in text_index.trigrams(t)})
+            assert all(x["n"] == len(x["docs"]) and x["bucket"] == text_index.bucket(x["gram"]) for x in rows)
+
+
+def test_what_is_dealt_is_a_row_for_a_trigram_and_block(spark, tmp_path):
+    docs = spark.range(400).selectExpr("concat('/t', id) path", "concat('the same words in all texts ', id) text").coalesce(1)
+    index = text_index.build(docs, str(tmp_path / "index"))
+    rows = index.stored()
+    assert rows.count() < rows.selectExpr("sum(n)").first()[0] / 10 and index.search(content="texts 39").count() == 11
