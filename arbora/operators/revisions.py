@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Lines of two revisions together up to which plain lists are faster than arrays; lines of a batch of results.
+FEW, LINES = 256, 50_000
+
+
 def rising(places: list[int]) -> list[int]:
     """Indexes of a longest rising run of numbers, by patience sorting."""
     tops, heads, back = [], [], []
@@ -31,6 +35,8 @@ def aligned(old: np.ndarray, new: np.ndarray) -> np.ndarray:
     Equal lines at both ends match; between them, lines that occur once on both sides are anchors, of which a longest run
     in order is kept, and the parts between anchors are aligned likewise. A part without an anchor matches at its ends only.
     """
+    if len(old) + len(new) <= FEW:
+        return np.array(aligned_lists(old.tolist(), new.tolist()), dtype=np.int64)
     out, parts = np.full(len(new), -1, dtype=np.int64), [(0, len(old), 0, len(new))]
     while parts:
         a, b, c, d = parts.pop()
@@ -65,6 +71,36 @@ def aligned(old: np.ndarray, new: np.ndarray) -> np.ndarray:
     return out
 
 
+def aligned_lists(old: list[int], new: list[int]) -> list[int]:
+    """aligned() for short revisions, where calls on arrays take longer than the lines do."""
+    out, parts = [-1] * len(new), [(0, len(old), 0, len(new))]
+    while parts:
+        a, b, c, d = parts.pop()
+        while a < b and c < d and old[a] == new[c]:
+            out[c] = a
+            a, c = a + 1, c + 1
+        while a < b and c < d and old[b - 1] == new[d - 1]:
+            b, d = b - 1, d - 1
+            out[d] = b
+        if a == b or c == d:
+            continue
+        was, now = {}, {}
+        for i in range(a, b):
+            was[old[i]] = -1 if old[i] in was else i
+        for j in range(c, d):
+            now[new[j]] = -1 if new[j] in now else j
+        anchors = [(was[x], j) for x, j in now.items() if j >= 0 and was.get(x, -1) >= 0]  # in the order of j: a line that is there once is there where it was put in
+        if not anchors:
+            continue
+        for i in rising([i for i, _ in anchors]):
+            p, q = anchors[i]
+            out[q] = p
+            parts.append((a, p, c, q))
+            a, c = p + 1, q + 1
+        parts.append((a, b, c, d))
+    return out
+
+
 def blamed(revisions: DataFrame) -> DataFrame:
     """path, line (from 1), rev, author, email, when, text: the lines of each path's last revision, and the revision that each comes from.
 
@@ -91,15 +127,27 @@ def blamed(revisions: DataFrame) -> DataFrame:
     matched = both.select("path", "n", "rev", "last", "own", "old").mapInArrow(align, f"path string, n int, rev {kind}, last boolean, match array<bigint>")
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, since = None, np.empty(0, np.int64)
+        now, since, done, rows = None, np.empty(0, np.int64), [], 0
+
+        def found() -> pa.RecordBatch:
+            sizes = [len(x) for _, x in done]
+            lines_ = np.concatenate([np.arange(1, n + 1) for n in sizes])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in done]).take(pa.array(np.repeat(np.arange(len(done)), sizes))), pa.array(lines_), pa.array(np.concatenate([x for _, x in done]))], names=["path", "line", "n"])
+
         for b in batches:
             for path, n, last, match in zip(b.column("path").to_pylist(), b.column("n").to_pylist(), b.column("last").to_pylist(), b.column("match"), strict=True):
                 if path != now:
                     now, since = path, np.empty(0, np.int64)
-                m = np.array(match.as_py(), dtype=np.int64)
+                m = match.values.to_numpy()
                 since = np.where(m >= 0, since[np.maximum(m, 0)] if len(since) else n, n)
                 if last and len(since):
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(since)), pa.array(np.arange(1, len(since) + 1)), pa.array(since)], names=["path", "line", "n"])
+                    done.append((path, since))
+                    rows += len(since)
+                    if rows >= LINES:
+                        yield found()
+                        done, rows = [], 0
+        if done:
+            yield found()
 
     followed = matched.select("path", "n", "last", "match").repartition("path").sortWithinPartitions("path", "n").mapInArrow(follow, "path string, line long, n long")
     texts = kept.join(places.where("last").select("path", "rev"), ["path", "rev"]).select("path", F.posexplode(lines).alias("line", "text")).select("path", (F.col("line") + 1).cast("long").alias("line"), "text")

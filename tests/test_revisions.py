@@ -20,6 +20,14 @@ def test_alignment_is_in_order_and_of_equal_lines():
     assert revisions.rising([3, 1, 2, 9, 5, 6]) == [1, 2, 4, 5]
 
 
+def test_short_and_long_revisions_align_alike(monkeypatch):
+    r = random.Random(4)
+    cases = [[np.array([r.randint(0, most) for _ in range(r.randint(0, 30))], dtype=np.int64) for _ in range(2)] for most in (4, 30, 200) for _ in range(300)]
+    short = [revisions.aligned_lists(old.tolist(), new.tolist()) for old, new in cases]
+    monkeypatch.setattr(revisions, "FEW", -1)
+    assert short == [revisions.aligned(old, new).tolist() for old, new in cases]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_blame_of_generated_histories(spark, seed):
     """Each line is new text, so its author is the revision that wrote it; lines are put in, changed and taken away anywhere."""
