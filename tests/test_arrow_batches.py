@@ -15,7 +15,7 @@ def together(texts: pd.Series) -> pd.Series:
     return pd.Series([len(texts)] * len(texts))
 
 
-@pytest.mark.parametrize("name", ["page_markdown", "code_index", "image_links"])
+@pytest.mark.parametrize("name", ["page_markdown", "code_index", "image_links", "code_index_text"])
 def test_batches_of_a_query_are_bounded_in_bytes(spark, sf_dir, name):
     own = spark.conf.get(KEY)
     try:
