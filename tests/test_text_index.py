@@ -59,8 +59,12 @@ def test_postings_are_lists_of_the_trigrams_of_each_text(monkeypatch):
             assert all(x["n"] == len(x["docs"]) and x["bucket"] == text_index.bucket(x["gram"]) for x in rows)
 
 
-def test_what_is_dealt_is_a_row_for_a_trigram_and_block(spark, tmp_path):
+def test_what_is_dealt_is_a_row_for_a_trigram_and_block(spark, tmp_path, monkeypatch):
     docs = spark.range(400).selectExpr("concat('/t', id) path", "concat('the same words in all texts ', id) text").coalesce(1)
     index = text_index.build(docs, str(tmp_path / "index"))
     rows = index.stored()
     assert rows.count() < rows.selectExpr("sum(n)").first()[0] / 10 and index.search(content="texts 39").count() == 11
+    monkeypatch.setattr(text_index, "LISTED", 3)
+    for sent in (1_000_000, 3):  # candidates sent to all tasks, or joined
+        monkeypatch.setattr(text_index, "SENT", sent)
+        assert index.search(regex="texts (38|39)").count() == 22 and index.candidates > 3
