@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from arbora.llm.common import Scratch, field, held, mapped, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a Python worker remembers over all tasks that it runs, some 200 bytes each, and letters of the longest.
-MEMO, LONGEST = 400_000, 32
+#: Pieces of a generation that a Python worker remembers over all tasks that it runs, two at a time and some 200 bytes each, and letters of the longest.
+MEMO, LONGEST = 500_000, 32
 #: Bytes of a row group and rows of a page: a read of few documents touches few pages.
 ROW_GROUP, PAGE_ROWS = 32 << 20, 2_000
 
@@ -34,28 +34,43 @@ def vocabulary_path(path: str = VOCABULARY) -> str:
 
 
 class Memo(dict):
-    """Pieces and their ids after a space; what is missing is learned."""
+    """Pieces and their ids after a space; what is missing is taken over from the generation before, or learned."""
 
     def __init__(self, own: Encoder):
         super().__init__()
         self.own, self.tokenize, self.store = own, own.model.tokenize, own.store
+        self.old: dict[str, bytes | None] = {}
 
     def __missing__(self, piece: str) -> bytes | None:
-        if piece.isalpha():  # most pieces: one word, told here without further calls
-            symbols = self.own.space + piece if piece.isascii() else (" " + piece).encode().decode("latin-1").translate(self.own.alphabet)
-            out = b"".join([self.store[x.id] for x in self.tokenize(symbols)])
-        else:
-            out = self.own.learn(piece)
+        out = self.old.get(piece)
+        if out is None:
+            if piece.isalpha():  # most pieces: one word, told here without further calls
+                symbols = self.own.space + piece if piece.isascii() else (" " + piece).encode().decode("latin-1").translate(self.own.alphabet)
+                out = b"".join([self.store[x.id] for x in self.tokenize(symbols)])
+            else:
+                known = len(self)
+                out = self.own.learn(piece)
+                if len(self) > known:  # its words are as rare as it is
+                    return out
         if len(piece) <= LONGEST:
             self[piece] = out
         return out
 
+    def head(self, word: str) -> bytes:
+        """Ids of a word that no space precedes; its place here begins with a space, as no piece does."""
+        place = " " + word
+        out = self.get(place) or self.old.get(place)
+        if out is None:
+            out = self.own.word(word)
+        if len(word) <= LONGEST:
+            self[place] = out
+        return out
+
     def bound(self) -> None:
-        """Beyond MEMO pieces the short ones stay, which occur most."""
+        """A generation is over at MEMO pieces; those that occur again in the next one stay."""
         if len(self) > MEMO:
-            kept = {k: v for k, v in self.items() if len(k) <= 5}
+            self.old = dict(self)
             self.clear()
-            self.update(kept if 2 * len(kept) < MEMO else {})
 
 
 class Encoder:
@@ -101,9 +116,7 @@ class Encoder:
         core = piece.rstrip(punctuation)
         if not core.isalpha():
             return self.ids(space + piece)
-        ids = self.memo.get(core) if space else None
-        if ids is None:
-            ids = self.bytes_of(self.space + core if space else core) if core.isascii() else self.word(space + core)
+        ids = self.memo[core] if space else self.memo.head(core)
         if len(core) == len(piece):
             return ids
         end = piece[len(core) :]

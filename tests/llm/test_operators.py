@@ -251,6 +251,19 @@ def test_encoder_equals_the_library():
         tokens.MEMO = before
 
 
+def test_words_that_occur_again_are_tokenized_once(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    own, asked = tokens.Encoder(tokens.vocabulary_path()), []
+    own.memo.tokenize = lambda x, f=own.memo.tokenize: asked.append(x) or f(x)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    often = [f"again{x}{y}" for x in letters[:4] for y in letters[:5]]
+    for x in letters:  # more than fit, of which some come back in each text, with marks after them too
+        own.memo.bound()
+        own.encode(" ".join(["one", *often, *[f"{y}," for y in often], *[f"other{x}{y}" for y in letters]]))
+    assert len([x for x in asked if "again" in x]) == len(often)
+    assert len(own.memo) + len(own.memo.old) < 4 * tokens.MEMO
+
+
 # 4
 
 def test_sharding(spark, odd_docs, empty_docs):
