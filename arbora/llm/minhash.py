@@ -269,10 +269,17 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int = SHINGLE) -> DataFrame:
     return sets.join(hint(nodes.select("a")), "a", "left_semi").dropDuplicates(["a"])
 
 
+def asked(pairs: DataFrame, end: str, sets: DataFrame) -> DataFrame:
+    """The sets that pairs name at one end: what is shuffled for a round is in proportion to its pairs. Those of more ids than are broadcast are all kept."""
+    ids = pairs.select(F.col(end).alias("a")).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return sets.join(F.broadcast(ids), "a", "left_semi") if few else sets
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of pairs (a, b, ...) whose sets reach the similarity."""
+    """The rows of pairs (a, b, ...; a written table) whose sets reach the similarity."""
     names = pairs.columns
-    left, right = sets, sets.select(F.col("a").alias("b"), F.col("_full").alias("_other"))
+    left, right = asked(pairs, "a", sets), asked(pairs, "b", sets).select(F.col("a").alias("b"), F.col("_full").alias("_other"))
     schema = pairs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

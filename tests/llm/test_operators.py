@@ -739,6 +739,20 @@ def test_texts_around_one_boilerplate_do_not_all_meet(spark, monkeypatch):
     assert compared[-1] < 500 * 500 / 2 / 50
 
 
+def test_sets_that_no_pair_names_stay_where_they_are(spark):
+    sets = spark.createDataFrame([(i, np.arange(i, i + 50, dtype=np.uint64).tobytes()) for i in range(300)], "a long, _full binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 200), (5, 9)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(r["a"] for r in minhash.asked(pairs, "a", sets).collect()) == [1, 5]
+        found = minhash.confirmed(pairs, sets)
+        assert sorted(map(tuple, found.collect())) == [(1, 2), (5, 9)]
+        assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("LeftSemi, BuildRight") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_signatures_estimate(base):
     a, b = minhash.shingles(base.encode()), minhash.shingles(base.replace("seven", "eight").encode())
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
