@@ -28,12 +28,15 @@ SENT = 1_000_000
 #: Folders of postings, each with the trigrams of one remainder. Bytes of text whose postings are found together.
 BUCKETS, BLOCK = 16, 2 << 20
 #: What case folding maps into ASCII letters.
-FOLDED = str.maketrans({"K": "k", "ſ": "s", "ı": "i", "İ": "i"})
+FOLDED = {"K": "k", "ſ": "s", "ı": "i", "İ": "i"}
 
 
 def folded(text: str) -> bytes:
     """A text whose trigrams tell both searches that mind case and those that don't; each character by itself."""
-    return (text if text.isascii() else text.translate(FOLDED)).encode("utf-8", "surrogatepass").lower()
+    if not text.isascii():
+        for char, plain in FOLDED.items():  # far faster than translate(), which looks each character up
+            text = text.replace(char, plain)
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
 def trigrams(data: bytes) -> np.ndarray:
@@ -124,7 +127,7 @@ def build(docs: DataFrame, path: str) -> TextIndex:
     spark = docs.sparkSession
     shared.small_batches(spark)
     rows = docs.select("path", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("doc", F.xxhash64("path"))
-    folders = max(1, rows.count() // TEXTS)
+    folders = max(1, docs.count() // TEXTS)  # those with a null text too, as a count of all rows reads no text
     dealt = rows.withColumn("folder", F.pmod("doc", F.lit(folders)).cast("int")).repartition("folder", F.pmod("doc", F.lit(97))).sortWithinPartitions("folder", "doc")
     dealt.write.partitionBy("folder").option("parquet.block.size", 8 << 20).parquet(f"{path}/texts")
 
@@ -178,11 +181,11 @@ class TextIndex:
         return [sorted(x, key=lambda g: known[g])[:GRAMS] for x in own if all(g in known for g in x)]
 
     def _holding(self, ways: list[list[int]]) -> DataFrame:
-        """doc of texts that hold all trigrams of one of the alternatives."""
+        """doc, _all (true) of texts that hold all trigrams of one of the alternatives."""
         rows = self.postings(sorted({g for x in ways for g in x}))
         has = lambda g: F.max(F.col("gram") == g)
         any_way = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [has(g) for g in x]) for x in ways])
-        return rows.groupBy("doc").agg(any_way.alias("_all")).where("_all").select("doc")
+        return rows.groupBy("doc").agg(any_way.alias("_all")).where("_all")
 
     def search(self, content: str | None = None, regex: str | None = None, ignore_case: bool = False) -> DataFrame:
         """path, text of the texts that hold a substring or match a pattern (the pattern wins), as search.search() finds them."""
@@ -203,5 +206,6 @@ class TextIndex:
                     folders = int(shared.text_of(self.spark, f"{self.path}/folders"))
                     rows = rows.where(F.col("folder").isin(sorted({i % folders for i in ids})) & F.col("doc").isin(ids))
                 else:
-                    rows = rows.join(F.broadcast(found) if self.candidates <= SENT else found, "doc", "left_semi")
+                    rows = rows.join(F.broadcast(found) if self.candidates <= SENT else found, "doc")
+                    test = F.when(F.col("_all"), test)  # without a column of both sides, all texts are matched before the join
         return rows.where(test).select("path", "text")

@@ -68,3 +68,28 @@ def test_what_is_dealt_is_a_row_for_a_trigram_and_block(spark, tmp_path, monkeyp
     for sent in (1_000_000, 3):  # candidates sent to all tasks, or joined
         monkeypatch.setattr(text_index, "SENT", sent)
         assert index.search(regex="texts (38|39)").count() == 22 and index.candidates > 3
+
+
+def test_folding_and_the_time_of_it():
+    import time
+
+    kept = "\u0130\u0131\u017f\u212a stra\u00dfe \u65e5\u672c\ud800 \u00c4"
+    assert text_index.folded(kept) == "iisk stra\u00dfe \u65e5\u672c\ud800 \u00c4".encode("utf-8", "surrogatepass") and text_index.folded("ABC") == b"abc"
+    long, began = "gr\u00fcn wie Gras " * 200_000, time.process_time()
+    text_index.folded(long)
+    folding, began = time.process_time() - began, time.process_time()
+    text_index.grouped([long.encode()[: text_index.BLOCK]])
+    assert folding < 5 * (time.process_time() - began)
+
+
+def test_texts_are_matched_behind_the_join_with_candidates(spark, tmp_path, monkeypatch):
+    docs = spark.range(400).selectExpr("concat('/t', id) path", "concat('the same words in all texts ', id) text").coalesce(1)
+    index = text_index.build(docs, str(tmp_path / "index"))
+    monkeypatch.setattr(text_index, "LISTED", 3)
+    for sent in (1_000_000, 3):
+        monkeypatch.setattr(text_index, "SENT", sent)
+        found = index.search(regex="texts 38")
+        plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        join = next(i for i, line in enumerate(plan) if "Join " in line)
+        assert any("RLIKE" in line for line in plan[: join + 1]) and not any("RLIKE" in line for line in plan[join + 1 :])
+        assert found.count() == 11 and index.candidates == 11
