@@ -28,3 +28,9 @@ def test_batches_of_a_query_are_bounded_in_bytes(spark, sf_dir, name):
         assert spark.conf.get(KEY) == "1m"
     finally:
         spark.conf.set(KEY, own)
+
+
+@pytest.mark.parametrize("name", ["code_index", "code_index_text"])
+def test_a_go_file_is_scanned_once_for_types_and_once_for_functions(spark, sf_dir, name):
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
